@@ -5,8 +5,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, quality
-from .common import read
+from . import chat, langid, quality, toxicity
+from .common import crc_mod, read
+
+
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    model = langid.fit(docs.where(crc_mod("doc_id", 4) != 2))
+    found = langid.identify(docs, model)
+    return found.select("doc_id", (crc_mod("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score", "runner_up", "ambiguous")
+
+
+def toxicity_model(docs: DataFrame, labels: DataFrame) -> toxicity.Model:
+    """Learnt from the labelled rows outside the held-out third; a document labelled twice counts as toxic if any label is."""
+    known = labels.where((crc_mod("doc_id", 3) != 1) & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("label"))
+    train = docs.select("doc_id", "text").where(crc_mod("doc_id", 3) != 1)
+    return toxicity.fit(train.join(known, "doc_id"))
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    scored = toxicity.score(docs, toxicity_model(docs, read(spark, sf_dir, "labels")))
+    return scored.select("doc_id", (crc_mod("doc_id", 3) == 1).alias("held_out"), "score", "predicted")
 
 
 def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,6 +57,8 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_language_id": op1_language_id,
+    "op2_toxicity": op2_toxicity,
     "op7_chat_formatting": op7_chat_formatting,
     "op10_quality_rules": op10_quality_rules,
 }
