@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, langid, quality, toxicity
+from . import bpe, chat, langid, quality, toxicity
 from .common import crc_mod, read
+from .tokens import public
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,8 +24,7 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def toxicity_model(docs: DataFrame, labels: DataFrame) -> toxicity.Model:
     """Learnt from the labelled rows outside the held-out third; a document labelled twice counts as toxic if any label is."""
     known = labels.where((crc_mod("doc_id", 3) != 1) & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("label"))
-    train = docs.select("doc_id", "text").where(crc_mod("doc_id", 3) != 1)
-    return toxicity.fit(train.join(known, "doc_id"))
+    return toxicity.fit(docs.where(crc_mod("doc_id", 3) != 1), known)
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,6 +33,22 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (crc_mod("doc_id", 3) == 1).alias("held_out"), "score", "predicted")
 
 
+def _digests(t: bpe.Tables, ids: np.ndarray, starts: np.ndarray) -> list[pa.Array]:
+    """n_tokens, the digest of the decimal ids, and the digest of what decoding gives back."""
+    decimals, at = bpe.gather(t.decimals, t.decimal_offsets, ids)
+    data, cut = bpe.decode_bytes(t, ids)
+    at, cut, n = at[starts], cut[starts], len(starts) - 1
+    coded = [hashlib.sha256(decimals[at[k] : max(at[k], at[k + 1] - 1)]).hexdigest() for k in range(n)]
+    texts = (data[cut[k] : cut[k + 1]].tobytes().decode("utf-8", "replace") for k in range(n))
+    back = [hashlib.sha256(x.encode()).hexdigest() for x in texts]
+    return [pa.array(np.diff(starts)), pa.array(coded, pa.string()), pa.array(back, pa.string())]
+
+
+def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return bpe.map_encoded(docs, public("byte_bpe_50k.json"), _digests, "n_tokens long, ids_sha256 string, decoded_sha256 string")
+
+
 def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     planted = "\\### Assistant: </turn> ok"
@@ -59,6 +79,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_toxicity": op2_toxicity,
+    "op3_bpe": op3_bpe,
     "op7_chat_formatting": op7_chat_formatting,
     "op10_quality_rules": op10_quality_rules,
 }

@@ -15,12 +15,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks
+from .common import chunks, stored
 from .ngrams import grams, letters
 
 BITS = 22
 WIDTHS = (3, 4, 5)
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 #: The bound of the learning sample: labelled texts of each class.
 PER_CLASS = 3000
 #: n-grams kept: those in at least LEAST_TEXTS texts of a class with a ratio of at least LEAST_RATIO either way.
@@ -57,21 +57,20 @@ def _mark(buckets: np.ndarray) -> np.ndarray:
     return mark
 
 
-def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "label", id_col: str = "doc_id") -> Model:
-    """Learns from rows with a text and a label of 0 or 1; other labels are left out.
+def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", label_col: str = "label", id_col: str = "doc_id") -> Model:
+    """Learns from the documents with a text and a label of 0 or 1 (``labels``: the id and the label, one row an id).
 
-    Without rows of both labels no n-gram tells anything: the model then has only a bias, the smoothed share of 1.
+    The sample is drawn from the labels alone, so that at most 2 * PER_CLASS ids are broadcast to the documents and no
+    text is shuffled but the sampled ones'. Without documents of both labels no n-gram tells anything: the model then
+    has only a bias, the smoothed share of 1.
     """
-    rows = labelled.where(F.col(text_col).isNotNull() & F.col(label_col).isin(0, 1)).select(
-        F.col(text_col).alias("text"), F.col(label_col).cast("int").alias("label"), F.xxhash64(F.col(id_col), F.lit(17)).alias("at")
+    known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1)).select(
+        F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label"), F.xxhash64(F.col(id_col), F.lit(17)).alias("at")
     )
-    sizes = {r.label: r.n for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
-    # A share of the hash range keeps about PER_CLASS rows of each label; the exact bound is held below.
-    reach = {y: min(1.0, 0.97 * PER_CLASS / n) for y, n in sizes.items()}
-    limit = F.lit(0.0)
-    for y, share in reach.items():
-        limit = F.when(F.col("label") == y, F.lit(share)).otherwise(limit)
-    sample = rows.where(F.pmod("at", F.lit(1 << 20)) < limit * (1 << 20)).repartition(4, "at")
+    drawn = [known.where(F.col("label") == y).orderBy("at", "id").limit(PER_CLASS) for y in (0, 1)]
+    texts = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    sample = stored(texts.join(F.broadcast(drawn[0].union(drawn[1])), "id").select("at", "label", "text"), "toxic-sample").repartition(4, "at")
+    sizes = {r.label: r.n for r in sample.groupBy("label").agg(F.count("*").alias("n")).collect()}
 
     def count(batches):
         seen = np.zeros((2, 1 << BITS), np.uint16)
@@ -79,7 +78,8 @@ def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "label", i
             of, h = _features(part.column("text").to_pylist())
             label = part.column("label").to_numpy()
             for y in (0, 1):
-                seen[y] += np.bincount(h[label[of] == y], minlength=1 << BITS).astype(np.uint16)
+                own, n = np.unique(h[label[of] == y], return_counts=True)
+                seen[y][own] += n.astype(np.uint16)
         yield pa.RecordBatch.from_pydict({"y": pa.array([0, 1], pa.int32()), "seen": pa.array([seen[0].tobytes(), seen[1].tobytes()], pa.binary())})
 
     texts = np.zeros((2, 1 << BITS), np.float32)
@@ -96,7 +96,7 @@ def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "label", i
         strong = np.sort(strong[np.argsort(-worth, kind="stable")[:MOST_FEATURES]])
     del texts, smooth
 
-    held = labelled.sparkSession.sparkContext.broadcast(strong.astype(np.int32))
+    held = docs.sparkSession.sparkContext.broadcast(strong.astype(np.int32))
 
     def listed(batches):
         buckets = held.value

@@ -39,6 +39,6 @@ def test_held_out_and_edges(spark, tmp_path):
 
 def test_one_class_empty_table_and_clashing_columns(spark):
     df = table(spark, [("a b c", "en")] * 3).withColumn("label", F.lit(0)).withColumn("score", F.lit("x")).withColumn("predicted", F.lit("x"))
-    model = toxicity.fit(df)
+    model = toxicity.fit(df, df.select("doc_id", "label"))
     assert [r.predicted for r in toxicity.score(df, model).collect()] == [0, 0, 0]
-    assert toxicity.score(df.limit(0), toxicity.fit(df.limit(0))).count() == 0
+    assert toxicity.score(df.limit(0), toxicity.fit(df.limit(0), df.limit(0))).count() == 0
