@@ -69,7 +69,7 @@ def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", label_col: s
     )
     drawn = [known.where(F.col("label") == y).orderBy("at", "id").limit(PER_CLASS) for y in (0, 1)]
     texts = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    sample = stored(texts.join(F.broadcast(drawn[0].union(drawn[1])), "id").select("at", "label", "text"), "toxic-sample").repartition(4, "at")
+    sample = stored(texts.join(F.broadcast(drawn[0].union(drawn[1])), "id").select("at", "label", "text"), "toxic-sample").repartition(4)
     sizes = {r.label: r.n for r in sample.groupBy("label").agg(F.count("*").alias("n")).collect()}
 
     def count(batches):
