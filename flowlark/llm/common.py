@@ -139,7 +139,7 @@ def distinct_ids_filter(df: DataFrame, column: str, bits: int = 24):
     rows = (
         df.select(slot.alias("slot"))
         .groupBy(F.shiftright("slot", 6).alias("word"))
-        .agg(F.bit_or(F.shiftleft(F.lit(1).cast("bigint"), F.pmod("slot", F.lit(64)).cast("int"))).alias("bits"))
+        .agg(F.expr("bit_or(shiftleft(1L, cast(pmod(slot, 64) as int)))").alias("bits"))
         .toPandas()
     )
     table = np.zeros(1 << (bits - 6), np.int64)

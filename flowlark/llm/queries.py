@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, langid, quality, toxicity
+from . import bpe, chat, langid, minhash, quality, toxicity
 from .common import crc_mod, read
 from .tokens import public
 
@@ -49,6 +49,10 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.map_encoded(docs, public("byte_bpe_50k.json"), _digests, "n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
+def op5_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(read(spark, sf_dir, "documents"), size=4, percent=80)
+
+
 def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     planted = "\\### Assistant: </turn> ok"
@@ -80,6 +84,7 @@ QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_toxicity": op2_toxicity,
     "op3_bpe": op3_bpe,
+    "op5_minhash_dedup": op5_minhash_dedup,
     "op7_chat_formatting": op7_chat_formatting,
     "op10_quality_rules": op10_quality_rules,
 }
