@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, langid, minhash, quality, toxicity
+from . import bpe, chat, idfile, langid, minhash, quality, toxicity
 from .common import crc_mod, read
 from .tokens import public
 
@@ -75,6 +75,12 @@ def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_token_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = idfile.file_path(spark)
+    idfile.write_ids(read(spark, sf_dir, "documents"), path, public("word_bpe_49k.json"), end_id=1)
+    return idfile.read_ids(spark, path, idfile.crc32s, "ids_crc32 long")
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.quality_rules(read(spark, sf_dir, "documents").select("doc_id", "text"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -86,6 +92,7 @@ QUERIES = {
     "op3_bpe": op3_bpe,
     "op5_minhash_dedup": op5_minhash_dedup,
     "op7_chat_formatting": op7_chat_formatting,
+    "op9_token_id_files": op9_token_id_files,
     "op10_quality_rules": op10_quality_rules,
 }
 ORACLE_SQL: dict[str, str] = {}
