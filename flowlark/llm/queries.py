@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, idfile, langid, minhash, quality, toxicity
+from . import ann, bpe, chat, idfile, langid, minhash, quality, toxicity
 from .common import crc_mod, read
 from .tokens import public
 
@@ -75,6 +75,10 @@ def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op9_token_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = idfile.file_path(spark)
     idfile.write_ids(read(spark, sf_dir, "documents"), path, public("word_bpe_49k.json"), end_id=1)
@@ -92,6 +96,7 @@ QUERIES = {
     "op3_bpe": op3_bpe,
     "op5_minhash_dedup": op5_minhash_dedup,
     "op7_chat_formatting": op7_chat_formatting,
+    "op8_nearest_neighbours": op8_nearest_neighbours,
     "op9_token_id_files": op9_token_id_files,
     "op10_quality_rules": op10_quality_rules,
 }
