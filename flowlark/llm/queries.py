@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, chat, idfile, langid, minhash, quality, toxicity
+from . import ann, bpe, chat, idfile, langid, minhash, packing, quality, toxicity
 from .common import crc_mod, read
 from .tokens import public
 
@@ -49,6 +49,10 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.map_encoded(docs, public("byte_bpe_50k.json"), _digests, "n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(read(spark, sf_dir, "documents"), public("byte_bpe_50k.tiktoken"), public("byte_bpe_50k.json"))
+
+
 def op5_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(read(spark, sf_dir, "documents"), size=4, percent=80)
 
@@ -94,6 +98,7 @@ QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_toxicity": op2_toxicity,
     "op3_bpe": op3_bpe,
+    "op4_packing": op4_packing,
     "op5_minhash_dedup": op5_minhash_dedup,
     "op7_chat_formatting": op7_chat_formatting,
     "op8_nearest_neighbours": op8_nearest_neighbours,
