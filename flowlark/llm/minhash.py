@@ -196,7 +196,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, text_col:
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     sets = stored(signatures(docs, size), "signatures")
-    classes = sets.where("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("rep"))
+    # Stored, so that the join below has no aggregate beside it and a class of very many copies can be split.
+    classes = stored(sets.where("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("rep")), "classes")
     members = sets.join(classes, "set_key", "left").select("doc_id", "n_shingles", "rep", F.when(F.col("doc_id") == F.col("rep"), F.col("bands")).alias("bands"))
     members = stored(members, "members")
     rows = members.where("bands is not null").select("rep", F.explode("bands").alias("key"))
