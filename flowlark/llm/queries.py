@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, chat, idfile, langid, minhash, packing, quality, toxicity
+from . import ann, bpe, chat, idfile, langid, minhash, packing, quality, repeats, toxicity
 from .common import crc_mod, read
 from .tokens import public
 
@@ -57,6 +57,15 @@ def op5_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(read(spark, sf_dir, "documents"), size=4, percent=80)
 
 
+def _kept_digests(rows: pa.RecordBatch, kept: list[bytes], n_words: np.ndarray, n_removed: np.ndarray) -> list[pa.Array]:
+    return [rows.column("doc_id"), pa.array(n_words), pa.array(n_removed), pa.array([hashlib.sha256(x).hexdigest() for x in kept])]
+
+
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return repeats.without_runs(docs, repeats.repeated_runs(docs, 20), _kept_digests, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+
+
 def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     planted = "\\### Assistant: </turn> ok"
@@ -100,6 +109,7 @@ QUERIES = {
     "op3_bpe": op3_bpe,
     "op4_packing": op4_packing,
     "op5_minhash_dedup": op5_minhash_dedup,
+    "op6_substring_dedup": op6_substring_dedup,
     "op7_chat_formatting": op7_chat_formatting,
     "op8_nearest_neighbours": op8_nearest_neighbours,
     "op9_token_id_files": op9_token_id_files,
