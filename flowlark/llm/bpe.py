@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import chunks
-from .tokens import BYTE_PATTERN, Remembering, byte_of_symbol, load, space_pieces
+from .tokens import BYTE_PATTERN, byte_of_symbol, from_parts, load, space_pieces
 
 CHUNK = 1 << 20
 #: Pairs whose compatibility is remembered before the table is begun anew.
@@ -72,7 +72,7 @@ class Tables:
         self.decimals, self.decimal_offsets = table([b"%d," % i for i in range(top)])
         self.shorter: dict[int, int] = {}
         self.pairs: dict[int, bool] = {}
-        self.pieces = Remembering(lambda new: [self.piece_ids(x) for x in new])
+        self.pieces = from_parts(self.pattern.findall, self.part_ids)
 
     def compatible(self, a: int, b: int) -> bool:
         """Would merging the bytes of a and b end in a and b? Undoes their merges, the youngest first, and looks whether
@@ -132,11 +132,8 @@ class Tables:
                 token = last
         return taken
 
-    def piece_ids(self, piece: str) -> bytes:
-        numbers: list[int] = []
-        for part in self.pattern.findall(piece):
-            numbers += self.encode_piece(part.encode().decode("latin-1"))
-        return self.ids[numbers].tobytes() if numbers else b""
+    def part_ids(self, part: str) -> bytes:
+        return self.ids[self.encode_piece(part.encode().decode("latin-1"))].tobytes()
 
     def encode(self, text: str) -> bytes:
         """Little-endian uint32 ids of a text; the special tokens' strings in it become their ids."""

@@ -20,10 +20,10 @@ class Remembering:
     """Encodes pieces of texts, remembering the results of the pieces used lately.
 
     New results go to the young generation; when it is full it becomes the old one, and what was only in the old one is
-    forgotten. ``encode`` gets a list of distinct pieces and returns a bytes object of little-endian uint32 ids for each.
+    forgotten. ``encode`` gets a set of pieces and returns the little-endian uint32 ids of each, as bytes.
     """
 
-    def __init__(self, encode: Callable[[list[str]], list[bytes]], most: int = REMEMBERED):
+    def __init__(self, encode: Callable[[set[str]], dict[str, bytes]], most: int = REMEMBERED):
         self.encode, self.most, self.young, self.old = encode, most, {}, {}
 
     def __call__(self, pieces: list[str]) -> bytes:
@@ -33,21 +33,36 @@ class Remembering:
             return b"".join(map(known.__getitem__, pieces))
         except KeyError:
             pass
-        new = []
         if len(known) > self.most:
             self.old, self.young = known, {}
             known = self.young
-        for piece in set(pieces):
-            if piece not in known:
-                if (got := self.old.get(piece)) is None:
-                    new.append(piece)
-                else:
-                    known[piece] = got
+        missing = set(pieces).difference(known)
+        new = missing.difference(self.old)
+        for piece in missing - new:
+            known[piece] = self.old[piece]
         if new:
-            known.update(zip(new, self.encode(new), strict=True))
+            known.update(self.encode(new))
         return b"".join(map(known.__getitem__, pieces))
 
 
+def from_parts(split: Callable, part_ids: Callable[[str], bytes], most: int = REMEMBERED) -> Remembering:
+    """Remembers pieces that ``split`` cuts into parts, with the parts: a word with a comma costs nothing new after the word."""
+
+    def encode(pieces: set[str]) -> dict[str, bytes]:
+        out, young, old = {}, held.young, held.old
+        for piece in pieces:
+            parts = split(piece)
+            for x in parts:
+                if x not in young:
+                    young[x] = old[x] if x in old else part_ids(x)
+            if len(parts) != 1:
+                out[piece] = b"".join([young[x] for x in parts])
+        return out
+
+    held = Remembering(encode, most)
+    return held
+
+
 def load(path: str) -> dict:
     with open(path, encoding="utf-8") as f:
         return json.load(f)
@@ -113,7 +128,7 @@ def library_ids(path: str, texts: list[str]) -> list[bytes]:
 
 @functools.cache
 def _by_pieces(path: str) -> Remembering:
-    """Pieces without white space, encoded by the library's own model after the splits that its file asks for."""
+    """Lower-case pieces without white space, encoded by the library's own model after the splits that its file asks for."""
     import regex
 
     spec = load(path)
@@ -124,14 +139,11 @@ def _by_pieces(path: str) -> Remembering:
     symbols = str.maketrans({chr(b): s for s, b in byte_of_symbol().items()})
     tokenize = library_tokenizer(path).model.tokenize
 
-    def encode(pieces: list[str]) -> list[bytes]:
-        out = []
-        for piece in pieces:
-            ids = [t.id for x in split(piece.lower()) for t in tokenize(x.encode().decode("latin-1").translate(symbols))]
-            out.append(struct.pack(f"<{len(ids)}I", *ids))
-        return out
+    def part_ids(part: str) -> bytes:
+        ids = [t.id for t in tokenize(part.encode().decode("latin-1").translate(symbols))]
+        return struct.pack(f"<{len(ids)}I", *ids)
 
-    return Remembering(encode)
+    return from_parts(split, part_ids)
 
 
 #: Latin-1 texts without the separators U+001C to U+001F, and without the specials' opening: there, lower-casing, normal forms and
@@ -143,7 +155,7 @@ def white_space_ids(path: str, text: str) -> bytes:
     """Ids by a tokenizer that drops white space: each run between white space is encoded by the library, and remembered."""
     if _PLAIN.search(text):
         return library_ids(path, [text])[0]
-    return _by_pieces(path)(text.split())
+    return _by_pieces(path)(text.lower().split())
 
 
 def rank_ids(path: str, library_path: str, text: str) -> np.ndarray:

@@ -42,7 +42,7 @@ def test_every_token_encodes_to_itself():
 
 
 def test_remembering_forgets_but_stays_right():
-    r = tokens.Remembering(lambda new: [x.encode() for x in new], most=3)
+    r = tokens.Remembering(lambda new: {x: x.encode() for x in new}, most=3)
     for _ in range(3):
         for k in range(20):
             assert r([f"a{k}", f"a{k + 1}", "z"]) == f"a{k}a{k + 1}z".encode()
