@@ -154,3 +154,17 @@ def distinct_ids_filter(df: DataFrame, column: str, bits: int = 24):
         return pd.Series((held.value[at >> 6].view(np.uint64) >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1)
 
     return lambda other: among(F.pmod(F.xxhash64(other), F.lit(1 << bits)))
+
+
+def without_ids(df: DataFrame, ids: DataFrame, column: str = "doc_id") -> DataFrame:
+    """The rows of ``df`` whose id isn't among ``ids``' (a null id never is). Only rows that may be are shuffled."""
+    may = F.coalesce(distinct_ids_filter(ids, column)(F.col(column)), F.lit(False)) & F.col(column).isNotNull()
+    return df.where(~may).unionByName(df.where(may).join(ids.select(column).distinct(), column, "left_anti"))
+
+
+def in_chunks(function, texts, most: int) -> np.ndarray:
+    """``function`` over lists of texts (of a pandas series) with about ``most`` characters each, the results joined."""
+    texts = texts.tolist()
+    reach = np.cumsum([len(t or "") for t in texts]) // most
+    cuts = [0, *(np.flatnonzero(np.diff(reach)) + 1).tolist(), len(texts)]
+    return np.concatenate([function(texts[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)])

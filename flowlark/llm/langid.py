@@ -13,14 +13,16 @@ executors); only the bits' accuracies are taken on a bounded sample, ``SAMPLE``
 from __future__ import annotations
 
 import itertools
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks
+from .common import chunks, in_chunks
 from .ngrams import grams, letters, per_text
 
 BITS = 16
@@ -143,6 +145,23 @@ def _trust(train: DataFrame, model: Model, every: int) -> np.ndarray:
     return rate / rate.sum(axis=1, keepdims=True)
 
 
+def share_column(spark, model: Model, text: Column) -> Column:
+    """The nearest codeword's share as a column, null where the language is ``und``; for filters."""
+    held = spark.sparkContext.broadcast(model)
+
+    def share(texts: list) -> np.ndarray:
+        m = held.value
+        margins, n = _margins(texts, m)
+        return np.where((n > 0) & bool(m.langs), _decode(margins, m).max(axis=1) if m.langs else 0.0, np.nan)
+
+    @F.pandas_udf("double")
+    def shared(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series(in_chunks(share, texts, CHUNK))
+
+    return F.nanvl(shared(text), F.lit(None))
+
+
 def identify(df: DataFrame, model: Model, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """Per row: the id, lang_pred, score (0 to 1), runner_up, ambiguous.
 

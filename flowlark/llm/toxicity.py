@@ -8,14 +8,16 @@ text's selected n-grams, and a logistic regression is fitted on x * r with an L2
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, stored
+from .common import chunks, in_chunks, stored
 from .ngrams import grams, letters
 
 BITS = 22
@@ -143,6 +145,25 @@ def _logistic(row: np.ndarray, col: np.ndarray, y: np.ndarray, ratio: np.ndarray
     return kept[0], float(kept[1])
 
 
+def _scores(texts: list, model: Model, mark: np.ndarray) -> np.ndarray:
+    of, h = _features(texts, mark)
+    z = np.bincount(of, model.weights[np.searchsorted(model.buckets, h)], minlength=len(texts)) + model.bias
+    return 1 / (1 + np.exp(-np.clip(z, -60, 60)))
+
+
+def score_column(spark, model: Model, text: Column) -> Column:
+    """The score as a column, for filters that keep their rows as they are."""
+    held = spark.sparkContext.broadcast(model)
+
+    @F.pandas_udf("double")
+    def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        mark = _mark(held.value.buckets)
+        for texts in batches:
+            yield pd.Series(in_chunks(lambda x: _scores(x, held.value, mark), texts, CHUNK))
+
+    return scored(text)
+
+
 def score(df: DataFrame, model: Model, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """Per row: the id, score (0 to 1) and predicted (1 from a score of 0.7 on). Null, empty and letterless texts get the
     bias' score; equal texts get equal scores; repeated ids are rows of their own; other columns are not read."""
@@ -154,9 +175,7 @@ def score(df: DataFrame, model: Model, text_col: str = "text", id_col: str = "do
         m = held.value
         mark = _mark(m.buckets)
         for part in chunks(batches, most=CHUNK):
-            of, h = _features(part.column("text").to_pylist(), mark)
-            z = np.bincount(of, m.weights[np.searchsorted(m.buckets, h)], minlength=part.num_rows) + m.bias
-            p = 1 / (1 + np.exp(-np.clip(z, -60, 60)))
+            p = _scores(part.column("text").to_pylist(), m, mark)
             yield pa.RecordBatch.from_arrays(
                 [part.column("doc_id"), pa.array(p), pa.array((p >= THRESHOLD).astype(np.int32))], ["doc_id", "score", "predicted"]
             )
