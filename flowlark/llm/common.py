@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that a task holds as NumPy arrays at a time; one longer text is a chunk of its own.
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 19
 #: White space between words, and nothing else: \x20 and \x09-\x0D.
 SPACES = " \t\n\x0b\f\r"
 
@@ -21,7 +21,14 @@ _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _MULT = np.uint64(0x9E3779B97F4A7C15 | 5)
 
 
+#: Bytes of a batch that goes to a Python worker, where the session leaves Spark's 64 MB.
+BATCH_BYTES = 8 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    if spark.conf.get(_BATCH, None) in ("67108864", "67108864b", "64MB", None):
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
