@@ -153,12 +153,10 @@ def distinct_ids_filter(df: DataFrame, column: str, bits: int = 24):
     table[rows["word"].to_numpy(np.int64)] = rows["bits"].to_numpy(np.int64)
     held = df.sparkSession.sparkContext.broadcast(table)
 
-    @F.pandas_udf("boolean")
-    def among(slots):
-        import pandas as pd
-
-        at = slots.to_numpy(np.int64)
-        return pd.Series((held.value[at >> 6].view(np.uint64) >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1)
+    @F.arrow_udf("boolean")
+    def among(slots: pa.Array) -> pa.Array:
+        at = slots.to_numpy(zero_copy_only=False).astype(np.int64)
+        return pa.array((held.value[at >> 6].view(np.uint64) >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1)
 
     return lambda other: among(F.pmod(F.xxhash64(other), F.lit(1 << bits)))
 
@@ -169,9 +167,7 @@ def without_ids(df: DataFrame, ids: DataFrame, column: str = "doc_id") -> DataFr
     return df.where(~may).unionByName(df.where(may).join(ids.select(column).distinct(), column, "left_anti"))
 
 
-def in_chunks(function, texts, most: int) -> np.ndarray:
-    """``function`` over lists of texts (of a pandas series) with about ``most`` characters each, the results joined."""
-    texts = texts.tolist()
-    reach = np.cumsum([len(t or "") for t in texts]) // most
-    cuts = [0, *(np.flatnonzero(np.diff(reach)) + 1).tolist(), len(texts)]
-    return np.concatenate([function(texts[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)])
+def in_chunks(function, texts: pa.Array, most: int) -> np.ndarray:
+    """``function`` over lists of texts with about ``most`` bytes each, the results joined."""
+    rows = chunks(iter([pa.RecordBatch.from_arrays([texts], ["text"])]), most=most)
+    return np.concatenate([np.zeros(0), *[function(part.column(0).to_pylist()) for part in rows]])

@@ -17,7 +17,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -27,7 +26,7 @@ from .ngrams import grams, letters, per_text
 
 BITS = 16
 WIDTH = 3
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 #: Training texts, chosen by a hash of the id, on which the bits' accuracies are measured.
 SAMPLE = 4000
 #: Languages up to which all distinct splits are used as bits; beyond, a fixed dense code.
@@ -154,10 +153,10 @@ def share_column(spark, model: Model, text: Column) -> Column:
         margins, n = _margins(texts, m)
         return np.where((n > 0) & bool(m.langs), _decode(margins, m).max(axis=1) if m.langs else 0.0, np.nan)
 
-    @F.pandas_udf("double")
-    def shared(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("double")
+    def shared(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
-            yield pd.Series(in_chunks(share, texts, CHUNK))
+            yield pa.array(in_chunks(share, texts, CHUNK))
 
     return F.nanvl(shared(text), F.lit(None))
 

@@ -12,7 +12,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -155,11 +154,11 @@ def score_column(spark, model: Model, text: Column) -> Column:
     """The score as a column, for filters that keep their rows as they are."""
     held = spark.sparkContext.broadcast(model)
 
-    @F.pandas_udf("double")
-    def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("double")
+    def scored(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         mark = _mark(held.value.buckets)
         for texts in batches:
-            yield pd.Series(in_chunks(lambda x: _scores(x, held.value, mark), texts, CHUNK))
+            yield pa.array(in_chunks(lambda x: _scores(x, held.value, mark), texts, CHUNK))
 
     return scored(text)
 
