@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from . import window_queries
+
+QUERIES: dict = dict(window_queries.QUERIES)
+ORACLE_SQL: dict[str, str] = dict(window_queries.ORACLE_SQL)
