@@ -68,8 +68,9 @@ def dense_ids(df: DataFrame, order: list[str] | None = None, name: str = "row_id
     """A dense number from 0 in the order of the input's partitions, without a sort: each partition's rows are counted
     once, and a row's number is its place in its partition plus the rows of the partitions before. ``order`` sorts the
     rows first."""
-    if order:
-        df = df.orderBy(*order)
+    if order:  # a fixed number of ranges: the count and the numbering must see the same partitions
+        n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        df = df.repartitionByRange(n, *order).sortWithinPartitions(*order)
     placed = df.withColumn("_at", F.monotonically_increasing_id())
     part, place = F.shiftright("_at", 33), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
     sizes = sorted(placed.groupBy(part.alias("p")).count().collect())

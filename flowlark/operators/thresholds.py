@@ -20,8 +20,13 @@ def threshold_for_fpr(scores: DataFrame, target: float, score: str = "score", ji
     the interpolated quantile is tried before. ``jitter`` parts scores of at most ten distinct values by less than 1e-7,
     by a hash. Scores that are missing or not finite are an error, as are targets beyond 0 and 1.
     """
-    if not 0 <= target <= 1:
-        raise ValueError("the target must lie between 0 and 1")
+    return thresholds_for_fpr(scores, [target], score, jitter, fallback)[0]
+
+
+def thresholds_for_fpr(scores: DataFrame, targets: list[float], score: str = "score", jitter: bool = False, fallback: str = "nextafter") -> list[dict[str, float]]:
+    """``threshold_for_fpr`` for several targets, from one count of the scores."""
+    if not all(0 <= t <= 1 for t in targets):
+        raise ValueError("targets must lie between 0 and 1")
     if fallback not in ("nextafter", "percentile"):
         raise ValueError(f"unknown fallback: {fallback}")
     s = F.col(score).cast("double")
@@ -29,20 +34,24 @@ def threshold_for_fpr(scores: DataFrame, target: float, score: str = "score", ji
     n, broken, top, few = scores.agg(F.count(F.lit(1)), F.sum(bad.cast("int")), F.max(s), F.approx_count_distinct(s)).first()
     if not n or broken:
         raise ValueError("finite scores are needed")
-    beyond = {"threshold": math.nextafter(top, math.inf), "calibration_fpr": 0.0, "target_fpr": target}
-    if target == 0:
-        return beyond
     if jitter and few <= 20 and scores.select(s).distinct().count() <= 10:
         noise = F.pmod(F.xxhash64(F.monotonically_increasing_id(), F.lit(42)), F.lit(1 << 30)) / (1 << 30) * JITTER
         scores, s = scores.select((s + noise).alias("_jittered")).checkpoint(), F.col("_jittered")
     counts = scores.groupBy(s.alias("s")).agg(F.count(F.lit(1)).alias("n"))
-    valid = running_totals(counts, "s", ["n"]).where(F.col("total_n") / n <= target)
-    found = valid.agg(F.min_by(F.struct("s", "total_n"), "s")).first()[0]
-    if found is None and fallback == "percentile":
-        t = scores.agg(F.percentile(s, 1 - target)).first()[0]
-        share = scores.agg(F.avg((s >= t).cast("double"))).first()[0]
-        return {"threshold": t, "calibration_fpr": share, "target_fpr": target} if share <= target else beyond
-    return beyond if found is None else {"threshold": found.s, "calibration_fpr": found.total_n / n, "target_fpr": target}
+    share = F.col("total_n") / n
+    least = [F.min_by(F.struct("s", "total_n"), F.when(share <= t, F.col("s"))).alias(f"t{k}") for k, t in enumerate(targets)]
+    reached = [F.min(F.when(share <= t, F.col("s"))).isNotNull().alias(f"r{k}") for k, t in enumerate(targets)]
+    found = running_totals(counts, "s", ["n"]).agg(*least, *reached).first()
+    beyond = math.nextafter(top, math.inf)
+    out = []
+    for k, t in enumerate(targets):
+        cut, fpr = (found[f"t{k}"].s, found[f"t{k}"].total_n / n) if t > 0 and found[f"r{k}"] else (beyond, 0.0)
+        if t > 0 and cut == beyond and fallback == "percentile":
+            tried = scores.agg(F.percentile(s, 1 - t)).first()[0]
+            over = scores.agg(F.avg((s >= tried).cast("double"))).first()[0]
+            cut, fpr = (tried, over) if over <= t else (cut, fpr)
+        out.append({"threshold": cut, "calibration_fpr": fpr, "target_fpr": t})
+    return out
 
 
 def benign_pool(df: DataFrame, mode: str = "val_only", split: str = "split", family: str = "family") -> DataFrame:
@@ -63,7 +72,7 @@ def best_f1_threshold(df: DataFrame, low: float = 0.01, high: float = 0.99, step
 
 def budget_grid(df: DataFrame, budgets=BUDGETS, score: str = "score", mode: str = "val_only", model: str = "model", **kw) -> DataFrame:
     """One model: for each budget the threshold from the benign pool and its metrics on every split."""
-    cuts = [threshold_for_fpr(benign_pool(df, mode), b, score, **kw) for b in budgets]
+    cuts = thresholds_for_fpr(benign_pool(df, mode), list(budgets), score, **kw)
     table = df.sparkSession.createDataFrame([(model, b, c["threshold"], c["calibration_fpr"]) for b, c in zip(budgets, cuts, strict=True)], "model_name string, target_fpr double, threshold double, calibration_fpr double")
     return table.join(at_thresholds(df, [c["threshold"] for c in cuts], ["split"], score), "threshold")
 
@@ -77,10 +86,10 @@ def either_grid(df: DataFrame, budgets=BUDGETS, steps: int = 11, first: str = "t
     pool = benign_pool(df, mode)
     ways = [(b, k / (steps - 1), b * k / (steps - 1), b - b * k / (steps - 1)) for b in budgets for k in range(steps)]
     cut: dict[tuple[str, float], dict] = {}
-    for _, _, x, m in ways:
-        for name, share in ((first, x), (second, m)):
-            if (name, share) not in cut:
-                cut[name, share] = threshold_for_fpr(pool, max(0.0, share), name)
+    for name, place in ((first, 2), (second, 3)):
+        shares = sorted({w[place] for w in ways})
+        cuts = thresholds_for_fpr(pool, [max(0.0, x) for x in shares], name)
+        cut |= {(name, x): c for x, c in zip(shares, cuts, strict=True)}
     sums, rows = [], []
     for k, (b, r, x, m) in enumerate(ways):
         a, c = cut[first, x], cut[second, m]

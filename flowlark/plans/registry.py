@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import window_queries
+from . import table_queries, window_queries
 
-QUERIES: dict = dict(window_queries.QUERIES)
-ORACLE_SQL: dict[str, str] = dict(window_queries.ORACLE_SQL)
+QUERIES: dict = window_queries.QUERIES | table_queries.QUERIES
+ORACLE_SQL: dict[str, str] = window_queries.ORACLE_SQL | table_queries.ORACLE_SQL

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import json
 import re
 from datetime import datetime, timezone
@@ -155,4 +156,4 @@ def run_name(label: str = "run", taken: set[str] = frozenset(), now: datetime |
     """A name for a run's folder: a cleaned label and the time, with a number if it is taken."""
     base = re.sub("[^0-9A-Za-z._-]+", "_", label).strip("_") or "run"
     stamp = f"{base}_{(now or datetime.now(timezone.utc)):%Y%m%d_%H%M%S}"
-    return next(x for x in (stamp, *(f"{stamp}_{k}" for k in range(1, 1 << 30))) if x not in taken)
+    return next(x for x in itertools.chain([stamp], (f"{stamp}_{k}" for k in itertools.count(1))) if x not in taken)
