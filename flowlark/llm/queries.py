@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, chat, idfile, langid, minhash, packing, quality, repeats, toxicity
+from . import ann, bpe, chat, idfile, langid, minhash, oracles, packing, quality, repeats, toxicity
 from .common import crc_mod, read
 from .tokens import public
 
@@ -115,4 +115,4 @@ QUERIES = {
     "op9_token_id_files": op9_token_id_files,
     "op10_quality_rules": op10_quality_rules,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = dict(oracles.SQL)
