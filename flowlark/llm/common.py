@@ -8,7 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that a task holds as NumPy arrays at a time; one longer text is a chunk of its own.
@@ -29,6 +29,8 @@ _BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     if spark.conf.get(_BATCH, None) in ("67108864", "67108864b", "64MB", None):
         spark.conf.set(_BATCH, str(BATCH_BYTES))
+    # Arrow's own pool keeps what it once held; workers stay and serve one operator after the other.
+    spark.sparkContext.environment.setdefault("ARROW_DEFAULT_MEMORY_POOL", "system")
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
@@ -136,29 +138,45 @@ def window_hashes(hashes: np.ndarray, width: int) -> np.ndarray:
     return mix64(out)
 
 
-def distinct_ids_filter(df: DataFrame, column: str, bits: int = 24):
-    """A test for a scan that drops most rows whose ``column`` isn't among ``df``'s, before their texts are shuffled.
+class IdFilter:
+    """Tells which ids are surely not among those of ``df``'s ``column``, before texts are shuffled to meet them.
 
-    It holds one bit for each of 2**bits hash values, so its size (2 MB at 24 bits) is fixed whatever the input; it lets
-    false positives through and an exact join must follow. Returns a function from a column to a boolean column.
+    It holds one bit for each of 2**BITS hash values, so its size (1 MB) is fixed whatever the input; it lets false
+    positives through and an exact join must follow.
     """
-    slot = F.pmod(F.xxhash64(F.col(column)), F.lit(1 << bits))
-    rows = (
-        df.select(slot.alias("slot"))
-        .groupBy(F.shiftright("slot", 6).alias("word"))
-        .agg(F.expr("bit_or(shiftleft(1L, cast(pmod(slot, 64) as int)))").alias("bits"))
-        .toPandas()
-    )
-    table = np.zeros(1 << (bits - 6), np.int64)
-    table[rows["word"].to_numpy(np.int64)] = rows["bits"].to_numpy(np.int64)
-    held = df.sparkSession.sparkContext.broadcast(table)
-
-    @F.arrow_udf("boolean")
-    def among(slots: pa.Array) -> pa.Array:
-        at = slots.to_numpy(zero_copy_only=False).astype(np.int64)
-        return pa.array((held.value[at >> 6].view(np.uint64) >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1)
-
-    return lambda other: among(F.pmod(F.xxhash64(other), F.lit(1 << bits)))
+
+    BITS = 23
+
+    def __init__(self, df: DataFrame, column: str):
+        rows = (
+            df.select(self.slot(F.col(column)).alias("slot"))
+            .groupBy(F.shiftright("slot", 6).alias("word"))
+            .agg(F.expr("bit_or(shiftleft(1L, cast(pmod(slot, 64) as int)))").alias("bits"))
+            .toPandas()
+        )
+        table = np.zeros(1 << (self.BITS - 6), np.int64)
+        table[rows["word"].to_numpy(np.int64)] = rows["bits"].to_numpy(np.int64)
+        self.held = df.sparkSession.sparkContext.broadcast(table)
+
+    def slot(self, column: Column) -> Column:
+        return F.pmod(F.xxhash64(column), F.lit(1 << self.BITS))
+
+    def hits(self, slots: np.ndarray) -> np.ndarray:
+        bits = self.held.value[slots >> 6].view(np.uint64) >> (slots & 63).astype(np.uint64)
+        return bits & np.uint64(1) == 1
+
+    def __call__(self, column: Column) -> Column:
+        """A boolean column: may the id be among them."""
+
+        @F.arrow_udf("boolean")
+        def among(slots: pa.Array) -> pa.Array:
+            return pa.array(self.hits(slots.to_numpy(zero_copy_only=False).astype(np.int64)))
+
+        return among(self.slot(column))
+
+
+def distinct_ids_filter(df: DataFrame, column: str) -> IdFilter:
+    return IdFilter(df, column)
 
 
 def without_ids(df: DataFrame, ids: DataFrame, column: str = "doc_id") -> DataFrame:

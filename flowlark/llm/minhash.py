@@ -104,7 +104,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> Dat
     left, right = (texts.select(F.col("doc_id").alias(x), F.col("text").alias(f"text_{x}")) for x in "ab")
 
     def run(batches):
-        for part in chunks(batches, "text_b", 1 << 20):
+        for part in chunks(batches, "text_b", 1 << 18):
             a = part.column("a").to_numpy()
             own, at, of = np.unique(a, return_index=True, return_inverse=True)
             lefts = shingle_sets(part.column("text_a").take(pa.array(at)), size)

@@ -147,7 +147,7 @@ def repeated_runs(docs: DataFrame, width: int = 20) -> DataFrame:
     heavy = docs.sparkSession.sparkContext.broadcast(_heavy(survey, partitions))
 
     def suffixes(batches):
-        for part in chunks(batches, most=1 << 20):
+        for part in chunks(batches, most=1 << 18):
             c = Chunk(part.column("text"), width)
             grams_of = part.column("grams")
             flat, cut = grams_of.flatten().to_numpy().view(np.uint64), np.append(0, np.cumsum(np.diff(grams_of.offsets.to_numpy())))
@@ -230,11 +230,15 @@ def without_runs(df: DataFrame, runs: DataFrame, make, schema: str, text_col: st
     """Applies ``make(rows, kept, n_words, n_removed)`` to chunks of ``df``: a RecordBatch of its rows, the kept words
     joined by one space as bytes, and the counts. It returns the columns of ``schema``. Only texts that
     may have runs are shuffled to meet them."""
-    may = distinct_ids_filter(runs, "doc_id")(F.col(id_col))
-    may = F.col(id_col).isNotNull() & may
+    known = distinct_ids_filter(runs, "doc_id")
 
     def run(batches):
-        for part in chunks(batches, text_col):
+        for part in chunks(batches, text_col, 1 << 18):
+            if "__slot" in part.schema.names:  # the others meet their runs
+                slots = part.column(part.schema.get_field_index("__slot")).fill_null(-1).to_numpy(zero_copy_only=False)
+                part = part.filter(pa.array((slots < 0) | ~known.hits(slots))).drop_columns(["__slot"])
+                if not part.num_rows:
+                    continue
             c = Chunk(part.column(part.schema.get_field_index(text_col)), 4)
             keep = np.ones(len(c.starts), bool)
             lists = part.column(part.schema.get_field_index("__runs")) if "__runs" in part.schema.names else [None] * part.num_rows
@@ -251,6 +255,8 @@ def without_runs(df: DataFrame, runs: DataFrame, make, schema: str, text_col: st
             rows = part.drop_columns(["__runs"]) if "__runs" in part.schema.names else part
             yield pa.RecordBatch.from_arrays(make(rows, texts, n_words, n_words - kept), [x.split()[0] for x in schema.split(", ")])
 
-    alone = df.where(~F.coalesce(may, F.lit(False))).mapInArrow(run, schema)
-    met = df.where(may).join(runs.groupBy("doc_id").agg(F.flatten(F.collect_list("runs")).alias("__runs")).withColumnRenamed("doc_id", "__id"), F.col(id_col) == F.col("__id"), "left").drop("__id")
+    slot = F.when(F.col(id_col).isNotNull(), known.slot(F.col(id_col)))
+    alone = df.withColumn("__slot", slot).mapInArrow(run, schema)
+    spans = runs.groupBy("doc_id").agg(F.flatten(F.collect_list("runs")).alias("__runs")).withColumnRenamed("doc_id", "__id")
+    met = df.where(F.col(id_col).isNotNull()).where(known(F.col(id_col))).join(spans, F.col(id_col) == F.col("__id"), "left").drop("__id")
     return alone.unionByName(met.mapInArrow(run, schema))
