@@ -27,7 +27,8 @@ def components(edges: DataFrame) -> DataFrame:
             break
         # Large star: what is above a node hangs on the least node around it.
         both = e.select(F.col("hi").alias("u"), F.col("lo").alias("v")).union(e.select(F.col("lo").alias("u"), F.col("hi").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))
+        # Stored, so that the join has no aggregate beside it and a node with very many neighbours can be split.
+        least = stored(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m")), "least")
         large = stored(both.where("v > u").join(least, "u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct(), "edges")
         # Small star: a node and what is below it hang on the least node below it.
         least = large.groupBy("hi").agg(F.min("lo").alias("m"))
