@@ -142,7 +142,8 @@ def repeated_runs(docs: DataFrame, width: int = 20) -> DataFrame:
 
     grams = classes.select(F.col("rep").alias("doc_id"), F.explode("least").alias("gram"))
     twice = stored(grams.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram"), "repeated-grams")
-    found = grams.where(distinct_ids_filter(twice, "gram")(F.col("gram"))).join(twice, "gram").distinct()
+    once = classes.select(F.col("rep").alias("doc_id"), F.explode(F.array_distinct("least")).alias("gram"))
+    found = once.where(distinct_ids_filter(twice, "gram")(F.col("gram"))).join(twice, "gram")
     wanted = stored(found.groupBy("doc_id").agg(F.collect_list("gram").alias("grams")), "candidates")
     heavy = docs.sparkSession.sparkContext.broadcast(_heavy(survey, partitions))
 
