@@ -18,17 +18,18 @@ SELECT event_id AS row_id, 'f' || CAST(user_id % 3 AS STRING) AS source_file, 'u
        CAST(6 AS INT) AS protocol, CASE WHEN event_id % 10 = 0 THEN 'dos' WHEN event_id % 17 = 0 THEN 'bot' ELSE 'benign' END AS attack_family
 FROM {events}
 """
-#: Order lines as flows: suppliers ship several lines on a day, so times tie. No key of the table is unique with them,
-#: so rows that agree in the whole order are left out, by counting.
+#: Order lines as flows: suppliers ship several lines on a day, so times tie. The table has no key, so its order goes on
+#: with ``part`` and the packets; rows that agree in these too are equal in everything that is computed.
 LINE_FLOWS = """
 SELECT l_suppkey * 1000000000 + l_orderkey * 10 + l_linenumber AS row_id, 'f0' AS source_file, 's' || CAST(l_suppkey AS STRING) AS source_ip,
        'p' || CAST(l_partkey % 12 AS STRING) AS destination_ip, CAST(l_partkey % 9000 AS INT) AS source_port, CAST(l_partkey % 40 * 100 AS INT) AS destination_port,
        l_shipdate AS "timestamp", CAST(l_linenumber % 2 AS INT) AS syn_flag_count, CAST(l_linenumber % 3 AS INT) AS ack_flag_count,
        CAST(l_orderkey % 2 AS INT) AS rst_flag_count, CAST(l_orderkey % 3 AS INT) AS fin_flag_count,
        CAST(l_quantity AS INT) AS total_fwd_packets, CAST(l_linenumber AS INT) AS total_backward_packets,
-       CAST(l_orderkey % 900 AS BIGINT) AS total_length_of_fwd_packets, CAST(l_partkey % 500 AS BIGINT) AS total_length_of_bwd_packets
+       CAST(l_orderkey % 900 AS BIGINT) AS total_length_of_fwd_packets, CAST(l_partkey % 500 AS BIGINT) AS total_length_of_bwd_packets, l_partkey AS part
 FROM {lineitem}
 """
+LINE_ORDER = ["timestamp", "row_id", "part", "total_fwd_packets"]
 #: Order lines as scored rows of two detectors. Scores are multiples of 1/1024, so sums are exact in any order.
 SCORES = """
 SELECT l_orderkey * 10 + l_linenumber AS row_id, CAST(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS INT) AS y,

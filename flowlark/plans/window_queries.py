@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.config import OFF
 from ..operators.windows import FEATURES, add_window_features, feature_names, scoped_window_features
-from .views import EVENT_FLOWS, LINE_FLOWS, oracle, view
+from .views import EVENT_FLOWS, LINE_FLOWS, LINE_ORDER, oracle, view
 
 ALL_ON = {f"include_{k}": True for k in OFF}
 COLLECTING = ("single_dest_ratio", "dest_ip_concentration")
@@ -23,10 +23,7 @@ def _rounded(df: DataFrame, names: list[str]) -> DataFrame:
 
 def _query(flows: str, recipe: dict, names: list[str]):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        df = view(spark, sf_dir, flows)
-        if flows is LINE_FLOWS:
-            df = df.join(df.groupBy("row_id").count().where("count = 1"), "row_id", "left_semi")
-        return _rounded(add_window_features(df, recipe, "double"), names)
+        return _rounded(add_window_features(view(spark, sf_dir, flows), recipe, "double"), names)
 
     return run
 
@@ -35,10 +32,10 @@ _G = "PARTITION BY source_file, source_ip"
 
 
 def _prelude(flows: str) -> str:
-    unique = "QUALIFY count(*) OVER (PARTITION BY row_id) = 1" if flows is LINE_FLOWS else ""
+    order = ", ".join(f'"{c}" NULLS LAST' for c in (LINE_ORDER if flows is LINE_FLOWS else ["timestamp", "row_id"]))
     return f"""
-WITH flows AS (SELECT * FROM ({oracle(flows)}) {unique}),
-a AS (SELECT *, row_number() OVER ({_G} ORDER BY "timestamp" NULLS LAST, row_id) AS rn, CAST(floor(epoch("timestamp")) AS BIGINT) AS t,
+WITH flows AS ({oracle(flows)}),
+a AS (SELECT *, row_number() OVER ({_G} ORDER BY {order}) AS rn, CAST(floor(epoch("timestamp")) AS BIGINT) AS t,
       coalesce(destination_port, -1) AS dp, coalesce(source_port, -1) AS sp, coalesce(destination_ip, 'missing') AS di,
       coalesce(total_fwd_packets + total_backward_packets, 0) AS packets, coalesce(total_length_of_fwd_packets + total_length_of_bwd_packets, 0) AS bytes FROM flows),
 b AS (SELECT *, t * 2097152 + row_number() OVER ({_G}, t ORDER BY rn) - 1 AS k, coalesce(t - lag(t) OVER ({_G} ORDER BY rn), 0) AS gap,
@@ -133,8 +130,8 @@ def _add(name: str, flows: str, recipe: dict, only: tuple[str, ...] | None) -> N
 for _part, _only in (("", _BASIC), ("_behaviour", _BEHAVIOUR), ("_shape", _SHAPE)):
     _add(f"window_count_features{_part}", EVENT_FLOWS, _recipe([5, 50], []), _only)
     _add(f"window_time_features{_part}", EVENT_FLOWS, _recipe([], [DAY, 14 * DAY]), _only)
-    _add(f"window_ties_count{_part}", LINE_FLOWS, _recipe([30], []), _only)
-    _add(f"window_ties_time{_part}", LINE_FLOWS, _recipe([], [30 * DAY]), _only)
+    _add(f"window_ties_count{_part}", LINE_FLOWS, _recipe([30], [], order_by=LINE_ORDER), _only)
+    _add(f"window_ties_time{_part}", LINE_FLOWS, _recipe([], [30 * DAY], order_by=LINE_ORDER), _only)
 
 
 def window_largest_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
