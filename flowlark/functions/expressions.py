@@ -41,3 +41,16 @@ def mapped(x: Column, table: dict[str, str]) -> Column:
 def group_key(columns: list[str]) -> Column:
     """The grouping columns as one string without collisions; missing values count as a value of their own."""
     return F.to_json(F.struct(*[F.coalesce(F.col(c).cast("string"), F.lit("<missing>")).alias(c) for c in columns]))
+
+
+def reached(x: Column, cuts: list[float]) -> Column:
+    """How many of the ascending ``cuts`` are at or below ``x`` (none below a missing one): a binary search of nested
+    comparisons, so a row is compared log2(n) times within generated code."""
+
+    def search(low: int, high: int) -> Column:
+        if low == high:
+            return F.lit(low)
+        middle = (low + high) // 2
+        return F.when(x < cuts[middle], search(low, middle)).otherwise(search(middle + 1, high))
+
+    return F.when(x.isNotNull(), search(0, len(cuts))).otherwise(F.lit(0))

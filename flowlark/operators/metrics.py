@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.expressions import ratio
+from ..functions.expressions import ratio, reached
 
 RATES = ("precision", "recall", "f1", "fpr", "z_dr")
 
@@ -51,9 +51,7 @@ def running_totals(df: DataFrame, key: str, columns: list[str], buckets: int = 2
     the key; each bucket is summed on its own, and the sums of the buckets above, one row each, are added.
     """
     cuts = df.approxQuantile(key, [k / buckets for k in range(1, buckets)], 1 / (2 * buckets))
-    cuts = F.array(*[F.lit(float(c)) for c in sorted(set(cuts))]) if cuts else F.array().cast("array<double>")
-    # The number of cuts at or below the key; the binary search in arrays of F.array_position wouldn't order.
-    dealt = df.withColumn("_b", F.size(F.filter(cuts, lambda c: c <= F.col(key))))
+    dealt = df.withColumn("_b", reached(F.col(key), sorted(set(map(float, cuts)))))
     sums = dealt.groupBy("_b").agg(*[F.sum(c).alias(f"_s_{c}") for c in columns])
     above = W.orderBy(F.desc("_b")).rowsBetween(W.unboundedPreceding, -1)
     sums = sums.select("_b", *[F.coalesce(F.sum(f"_s_{c}").over(above), F.lit(0)).alias(f"_a_{c}") for c in columns])
@@ -115,9 +113,9 @@ def at_thresholds(df: DataFrame, thresholds: list[float], by: list[str] = (), sc
     Rows are counted by the last threshold that they reach; counts at a threshold are sums over it and those above.
     """
     cuts = sorted(set(map(float, thresholds)))
-    reached = F.size(F.filter(F.array(*[F.lit(t) for t in cuts]), lambda t: t <= F.col(score)))
+    place = reached(F.col(score), cuts)
     flags = {"real": F.col(y) == 1, "other": F.col(y) != 1, "attack": F.col(family) != "benign"}
-    groups = df.groupBy(*by, reached.alias("reached")).agg(*[F.sum(v.cast("long")).alias(k) for k, v in flags.items()])
+    groups = df.groupBy(*by, place.alias("reached")).agg(*[F.sum(v.cast("long")).alias(k) for k, v in flags.items()])
     grid = df.sparkSession.createDataFrame([(k + 1, t) for k, t in enumerate(cuts)], "place int, threshold double")
     up = F.col("reached") >= F.col("place")
     total = lambda c, when, name: F.coalesce(F.sum(F.when(when, F.col(c))), F.lit(0)).alias(name)
