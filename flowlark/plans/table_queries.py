@@ -433,3 +433,35 @@ def boosted_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = models.fit_trees(df.where("split = 'train'"), ["score", "memory_score"], depth=4, rounds=5)
     return models.tree_scores(model, df).select("row_id", "tree_score")
 
+
+
+# Set operations and groups --------------------------------------------------------------------------------------------
+
+
+@query("SELECT c_custkey AS id, c_acctbal AS balance, c_mktsegment AS segment FROM customer UNION ALL SELECT s_suppkey, s_acctbal, NULL FROM supplier")
+def union_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
+    customers = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_acctbal").alias("balance"), F.col("c_mktsegment").alias("segment"))
+    suppliers = table(spark, sf_dir, "supplier").select(F.col("s_acctbal").alias("balance"), F.col("s_suppkey").alias("id"))
+    return customers.unionByName(suppliers, allowMissingColumns=True)
+
+
+@query("SELECT DISTINCT c_nationkey, c_mktsegment FROM customer")
+def distinct_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "customer").select("c_nationkey", "c_mktsegment").distinct()
+
+
+@query("SELECT l_suppkey, count(*) AS n FROM lineitem GROUP BY l_suppkey ORDER BY n DESC, l_suppkey LIMIT 25")
+def largest_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "l_suppkey").limit(25)
+
+
+@query(f"{_FLOWS}, s AS (SELECT source_ip, row_id % 2 AS split FROM f WHERE row_id % 3 <> 0 OR source_ip < 'u5') SELECT '{{\"source_ip\":\"' || source_ip || '\"}}' AS key FROM s GROUP BY source_ip HAVING min(split) <> max(split)")
+def groups_in_two_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labelled = view(spark, sf_dir, EVENT_FLOWS).where("row_id % 3 <> 0 or source_ip < 'u5'").withColumn("split", F.col("row_id") % 2)
+    return splits.overlapping_groups(labelled, ("source_ip",)).select("key")
+
+
+@query(f"{_SCORES}, a AS (SELECT row_id, score FROM s WHERE split = 'val'), b AS (SELECT DISTINCT row_id FROM s WHERE split = 'val' AND y = 1) SELECT row_id, score FROM a WHERE row_id IN (SELECT row_id FROM b)")
+def rows_by_id_set(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = scores(spark, sf_dir).where("split = 'val'")
+    return rows.select("row_id", "score").join(rows.where("y = 1").select("row_id").distinct(), "row_id", "left_semi")

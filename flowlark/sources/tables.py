@@ -157,3 +157,30 @@ def run_name(label: str = "run", taken: set[str] = frozenset(), now: datetime |
     base = re.sub("[^0-9A-Za-z._-]+", "_", label).strip("_") or "run"
     stamp = f"{base}_{(now or datetime.now(timezone.utc)):%Y%m%d_%H%M%S}"
     return next(x for x in itertools.chain([stamp], (f"{stamp}_{k}" for k in itertools.count(1))) if x not in taken)
+
+
+def fingerprint(spark: SparkSession, path: str) -> DataFrame:
+    """(path, length, modified, sha256) of the files under a path; contents are hashed where they are read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    return files.select("path", "length", F.col("modificationTime").alias("modified"), F.sha2("content", 256).alias("sha256"))
+
+
+def find_prepared(spark: SparkSession, places: list[str | None], table: str = "clean") -> str:
+    """The first of the places (an explicit path, one from the environment, usual folders) that holds the table."""
+    for place in filter(None, places):
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{place}/{table}/_SUCCESS")
+        if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+            return place
+    raise FileNotFoundError(f"no {table} table in any of {', '.join(filter(None, places))}")
+
+
+def drop_tables(spark: SparkSession, folder: str, tables: list[str]) -> list[str]:
+    """Deletes the named tables of a run's folder, and nothing else; returns those that were there."""
+    gone = []
+    for name in tables:
+        if not re.fullmatch("[A-Za-z0-9_.-]+", name) or set(name) == {"."}:
+            raise ValueError(f"not a table's name: {name}")
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}")
+        if path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True):
+            gone.append(name)
+    return gone

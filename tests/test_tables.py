@@ -255,3 +255,18 @@ def test_report_helpers():
     assert tables.markdown_table([{"a": 0.5, "b": None}], ["a", "b"]).splitlines()[-1] == "| 0.500000 |  |"
     now = dt.datetime(2024, 1, 2, 3, 4, 5)
     assert tables.run_name("x y", {"x_y_20240102_030405"}, now) == "x_y_20240102_030405_1"
+
+
+def test_fingerprints_and_prepared_tables(spark, tmp_path):
+    import hashlib
+
+    spark.range(3).coalesce(1).write.parquet(f"{tmp_path}/run/clean")
+    got = {r.path: r for r in tables.fingerprint(spark, f"{tmp_path}/run/clean").collect() if r.path.endswith(".parquet")}
+    (path, row), = got.items()
+    data = open(path.removeprefix("file:"), "rb").read()
+    assert (row.length, row.sha256) == (len(data), hashlib.sha256(data).hexdigest())
+    assert tables.find_prepared(spark, [None, f"{tmp_path}/none", f"{tmp_path}/run"]) == f"{tmp_path}/run"
+    assert tables.drop_tables(spark, f"{tmp_path}/run", ["clean", "absent"]) == ["clean"]
+    for bad in (lambda: tables.find_prepared(spark, [f"{tmp_path}/run"]), lambda: tables.drop_tables(spark, str(tmp_path), [".."])):
+        with pytest.raises((FileNotFoundError, ValueError)):
+            bad()
