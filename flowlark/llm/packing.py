@@ -24,7 +24,7 @@ from .tokens import rank_encoding, rank_ids
 
 WINDOW = 2048
 #: Tokens that a shard's index should hold.
-SHARD_TOKENS = 1 << 18
+SHARD_TOKENS = 1 << 19
 #: BM25's saturation and length weights.
 K1, B = 1.2, 0.75
 #: Words in more than this share of a shard's tails are no query words: they tell tails apart the least and cost the most.
@@ -144,7 +144,7 @@ def pack(df: DataFrame, ranks: str, tokenizer: str, end_id: int = 1, text_col: s
         sequence = TaskContext.get().partitionId() << 33
         begins = _word_starts(ranks)
         names = [x.split()[0] for x in _TAILS.split(", ")]
-        for part in chunks(batches, most=1 << 18):
+        for part in chunks(batches, most=1 << 19):
             rows = []
             for doc, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist(), strict=True):
                 ids = np.append(rank_ids(ranks, tokenizer, text), np.uint32(end_id))

@@ -161,7 +161,7 @@ def white_space_ids(path: str, text: str) -> bytes:
 def rank_ids(path: str, library_path: str, text: str) -> np.ndarray:
     """Ids by a rank file; a text that its library can't take goes to the tokenizers library."""
     try:
-        return np.array(rank_encoding(path).encode(text, allowed_special="all"), np.uint32)
+        return rank_encoding(path).encode_to_numpy(text, allowed_special="all")
     except BaseException as e:  # a panic of the library's regex engine on very long runs is no Exception
         if isinstance(e, (KeyboardInterrupt, SystemExit, MemoryError)):
             raise
