@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import ann, bpe, chat, idfile, langid, minhash, oracles, packing, quality, repeats, toxicity
-from .common import crc_mod, read
+from .common import crc_mod, fresh_path, read
 from .tokens import public
 
 
@@ -93,7 +93,7 @@ def op8_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_token_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = idfile.file_path(spark)
+    path = fresh_path(spark, "token-ids")
     idfile.write_ids(read(spark, sf_dir, "documents"), path, public("word_bpe_49k.json"), end_id=1)
     return idfile.read_ids(spark, path, idfile.crc32s, "ids_crc32 long")
 
