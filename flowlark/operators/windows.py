@@ -3,7 +3,8 @@
 Every feature of a row looks back from that row in its group: over the last W rows (``RowsFrame``) or over the rows of
 the last S whole seconds (``TimeFrame``), the row itself included and later rows of the same second left out.
 
-How it runs. One shuffle brings each group together; all windows share it. Row frames cost the same for any W: sums
+How it runs. One shuffle brings each group together; all windows share it. A hot group is split into blocks of
+consecutive rows, each with the earlier rows that its frames look back to (``_in_blocks``). Row frames cost the same for any W: sums
 are differences of running sums, distinct counts and entropies are running sums of what enters and leaves the frame.
 Time frames are RANGE frames over a key that is unique in the group (second * 2**21 + place within the second), so peers
 of the same second need no special case. Largest frequencies have no running form and collect their frame.
@@ -11,15 +12,24 @@ of the same second need no special case. Largest frequencies have no running for
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.config import recipe, required_columns
 from ..functions.expressions import f_log_f
 
 SECOND = 1 << 21
 MOST_PEERS = 1 << 20
+#: A group is hot if it has more than HOT_ROWS rows and more than 1 / HOT_GROUPS of all rows: HOT_GROUPS groups at most.
+HOT_ROWS, HOT_GROUPS = 1 << 21, 4096
+#: Bins of time that a hot group's rows are counted in, for each block's worth of rows.
+BINS = 8
+#: Rows without a whole group key have no frames; they are dealt to so many tasks.
+KEYLESS = 4096
 
 
 class Frame:
@@ -229,6 +239,67 @@ def context_features_names(cfg: dict) -> list[str]:
     return names
 
 
+def _blocks(bins: pd.DataFrame, enough: int, rows_back: int, seconds_back: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Which bins make up which blocks of a group, as (bin, block, own). ``bins``: their first second ``_start``, ``_width``
+    and rows ``_n``, in order. A block has ``enough`` rows and is as long as the longest time frame, so that it reaches back
+    into few others. The bins before it that hold its frames' rows, and the row before those, are in it without being its own."""
+    start, n = bins["_start"].to_numpy(), bins["_n"].to_numpy()
+    after = n.cumsum()
+    before = after - n
+    first = [0]
+    for k in range(1, len(bins)):
+        if before[k] - before[first[-1]] >= enough and start[k] - start[first[-1]] >= seconds_back:
+            first.append(k)
+    in_time = np.searchsorted(start + bins["_width"].to_numpy(), start - seconds_back, "right")
+    oldest = np.minimum(before - rows_back, before[in_time]) - 1
+    spans = [(int(np.searchsorted(after, max(oldest[k], 0), "right")), k, end) for k, end in zip(first, [*first[1:], len(bins)], strict=True)]
+    at = np.concatenate([np.arange(a, end) for a, _, end in spans])
+    block = np.repeat(np.arange(len(spans)), [end - a for a, _, end in spans])
+    return at, block, at >= np.array(first)[block]
+
+
+def _in_blocks(df: DataFrame, cfg: dict) -> DataFrame:
+    """``df`` with _block and _own. Each row is in its own block (_own), and again in later blocks whose frames reach it.
+
+    Only hot groups have more than one block. Bins are whole seconds, so rows of a second stay together; rows without a
+    time come last and lie in the last bin. A group without times isn't split.
+    """
+    group, sizes = cfg["group_by"], [0, *map(int, cfg["window_sizes"])]
+    seconds_back = max([0, *map(int, cfg["time_window_seconds"])])
+    second = F.unix_seconds(F.col(cfg["timestamp_column"]).cast("timestamp"))
+    whole = _whole(group)
+    counts = df.where(whole).groupBy(*group).agg(F.count(F.lit(1)).alias("_n"), F.min(second).alias("_lo"), F.max(second).alias("_hi"))
+    total, most = counts.agg(F.sum("_n"), F.max("_n")).first()
+    enough = max(HOT_ROWS, (total or 0) // HOT_GROUPS, 4 * max(sizes))
+    dealt = F.when(whole, F.lit(0)).otherwise(F.pmod(F.xxhash64(*cfg["order_by"]), F.lit(KEYLESS))).cast("long")
+    if (most or 0) <= enough:
+        return df.withColumns({"_block": dealt, "_own": F.lit(True)})
+    # At most HOT_GROUPS rows, and 2 * BINS * HOT_GROUPS bins.
+    width = F.ceil((F.col("_hi") - F.col("_lo") + 1) / (BINS * F.ceil(F.col("_n") / enough)))
+    hot = counts.where((F.col("_n") > enough) & (F.col("_lo") < F.col("_hi"))).select(*group, "_lo", "_hi", width.alias("_width"))
+    hot = F.broadcast(df.sparkSession.createDataFrame(hot.collect(), hot.schema))
+    rows = df.join(hot, group, "left").withColumn("_bin", F.floor((F.coalesce(second, F.col("_hi")) - F.col("_lo")) / F.col("_width")))
+    bins = rows.where("_bin is not null").groupBy(*group, "_bin").agg(F.count(F.lit(1)).alias("_n"), F.first("_width").alias("_width"), F.first(F.col("_lo") + F.col("_bin") * F.col("_width")).alias("_start"))
+
+    def place(bins: pd.DataFrame) -> pd.DataFrame:
+        bins = bins.sort_values("_bin", ignore_index=True)
+        at, block, own = _blocks(bins, enough, max(sizes), seconds_back)
+        return bins.loc[at, [*group, "_bin"]].assign(_block=block, _own=own)
+
+    schema = T.StructType([*[df.schema[c] for c in group], *[T.StructField(c, t) for c, t in (("_bin", T.LongType()), ("_block", T.LongType()), ("_own", T.BooleanType()))]])
+    places = bins.groupBy(*group).applyInPandas(place, schema).groupBy(*group, "_bin").agg(F.collect_list(F.struct("_block", "_own")).alias("_places"))
+    rows = rows.join(F.broadcast(places), [*group, "_bin"], "left")
+    return rows.withColumn("_place", F.explode(F.coalesce("_places", F.array(F.struct(dealt.alias("_block"), F.lit(True).alias("_own")))))).select(*df.columns, "_place.*")
+
+
+def _whole(group: list[str]) -> Column:
+    """Is no group key missing?"""
+    whole = F.lit(True)
+    for c in group:
+        whole = whole & F.col(c).isNotNull()
+    return whole
+
+
 def prelude(df: DataFrame, cfg: dict) -> DataFrame:
     """The helper columns that all frames build on: position, second, unique time key, values and indicators.
 
@@ -292,6 +363,9 @@ def add_window_features(df: DataFrame, changes: dict | None = None, kind: str =
         cfg["group_by"] = ["source_file", *cfg["group_by"]]
     if missing := [c for c in required_columns(cfg) if c not in df.columns]:
         raise ValueError(f"missing columns: {', '.join(missing)}")
+    whole, columns = _whole(cfg["group_by"]), df.columns
+    df = _in_blocks(df, cfg)
+    cfg["group_by"] = [*cfg["group_by"], "_block"]
     stages: list[dict[str, Column]] = [{}, {}, {}]
     values: dict[str, Column] = {}
     for name, frame, size, value in _frame_features(cfg):
@@ -299,12 +373,9 @@ def add_window_features(df: DataFrame, changes: dict | None = None, kind: str =
     out = prelude(df, cfg)
     for stage in stages:
         out = out.withColumns(stage) if stage else out
-    whole = F.lit(True)
-    for c in cfg["group_by"]:
-        whole = whole & F.col(c).isNotNull()
     sliding = [F.when(whole, v).otherwise(F.lit(0.0)).cast(kind).alias(name) for name, v in values.items()]
     context = [v.cast(kind).alias(name) for name, v in context_features(cfg).items()]
-    return out.select(*df.columns, *context, *sliding)
+    return out.where("_own").select(*columns, *context, *sliding)
 
 
 #: Which splits' rows a split's windows may see, under the causal scope (fixed values).

@@ -5,10 +5,12 @@ import math
 import random
 from collections import Counter, deque
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from flowlark.functions.config import DEFAULTS, OFF, SHIPPED, recipe, required_columns
+from flowlark.operators import windows
 from flowlark.operators.windows import add_window_features, feature_names, scoped_window_features
 
 ALL = {f"include_{k}": True for k in OFF}
@@ -112,6 +114,42 @@ def test_features_match_a_queue(spark, seed, sizes, seconds):
             assert math.isclose(got[i][n], want[i][n], abs_tol=1e-9), (i, n, got[i][n], want[i][n])
 
 
+@pytest.mark.parametrize("sizes,seconds", [([1, 3, 5], [0, 2, 9]), ([7], []), ([], [12])])
+def test_hot_groups_in_blocks_match_a_queue(spark, monkeypatch, sizes, seconds):
+    monkeypatch.setattr(windows, "HOT_ROWS", 25)
+    rows = flows(500, 5)
+    cfg = {**ALL, "window_sizes": sizes, "time_window_seconds": seconds}
+    df = spark.createDataFrame(rows, SCHEMA)
+    blocks = windows._in_blocks(df, recipe(cfg))
+    assert blocks.where("_own and source_ip is not null").select("source_ip", "_block").distinct().count() > 9
+    assert df.count() == blocks.where("_own").count() < blocks.count() < 3 * df.count()
+    got = {r.row_id: r.asDict() for r in add_window_features(df, cfg, "double").collect()}
+    names = [c.split()[0] for c in SCHEMA.split(", ")]
+    want = brute([dict(zip([n.strip() for n in names], r)) for r in rows], sizes, seconds)
+    assert len(got) == len(rows) and got.keys() == want.keys()
+    for i in want:
+        for n in want[i]:
+            assert math.isclose(got[i][n], want[i][n], abs_tol=1e-9), (i, n, got[i][n], want[i][n])
+
+
+def test_bins_of_blocks_hold_what_frames_reach():
+    rng = random.Random(7)
+    for _ in range(200):
+        width, n = rng.randint(1, 5), rng.randint(1, 40)
+        at = sorted(rng.sample(range(80), n))
+        bins = pd.DataFrame({"_start": [x * width for x in at], "_width": width, "_n": [rng.randint(1, 6) for _ in at]})
+        rows, seconds, enough = rng.randint(0, 9), rng.randint(0, 30), rng.randint(1, 20)
+        bin_, block, own = windows._blocks(bins, enough, rows, seconds)
+        assert sorted(bin_[own].tolist()) == list(range(n))
+        before = [0, *bins["_n"].cumsum().tolist()]
+        for b in set(block.tolist()):
+            mine, first = bin_[block == b].min(), bin_[(block == b) & own].min()
+            back = before[first] - before[mine]
+            assert mine == 0 or back > rows
+            reached = [k for k in range(n) if bins["_start"][k] + width - 1 >= bins["_start"][first] - seconds]
+            assert mine == 0 or mine < reached[0]
+
+
 def test_worked_example(spark):
     at = lambda s: START + dt.timedelta(seconds=s)
     rows = [
