@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -60,6 +62,40 @@ def running_totals(df: DataFrame, key: str, columns: list[str], buckets: int = 2
     return out.drop("_b", *[f"_a_{c}" for c in columns])
 
 
+def exact_quantiles(df: DataFrame, columns: list[str], shares: list[float], error: float = 1 / 512) -> list[list[float] | None]:
+    """For each column its interpolated quantiles, as ``percentile`` gives them, or None if it has no values.
+
+    ``percentile`` brings a column's distinct values to one task. Here approximate quantiles enclose each exact one in a
+    bracket of about 4 * ``error`` of the rows; values below are only counted, and running totals are taken within it."""
+    if not columns:
+        return []
+    at = [str(k) for k in range(len(columns))]
+    data = df.select(*[F.col(c).cast("double").alias(k) for k, c in zip(at, columns, strict=True)])
+    near = data.approxQuantile(at, [x for p in shares for x in (max(0.0, p - 2 * error), min(1.0, p + 2 * error))], error)
+    around = {(k, i): (near[int(k)][2 * i], near[int(k)][2 * i + 1]) for k in at if near[int(k)] for i in range(len(shares))}
+    if not around:
+        return [None] * len(columns)
+    counts = data.agg(*[F.count(k).alias(f"n{k}") for k in at], *[F.count(F.when(F.col(k) < lo, 1)).alias(f"b{k}_{i}") for (k, i), (lo, _) in around.items()]).first()
+    place = {(k, i): shares[i] * (counts[f"n{k}"] - 1) for k, i in around}
+    rows = [(k, i, lo, hi, math.floor(place[k, i]) - counts[f"b{k}_{i}"], math.ceil(place[k, i]) - counts[f"b{k}_{i}"]) for (k, i), (lo, hi) in around.items()]
+    table = df.sparkSession.createDataFrame(rows, "_k string, _i int, _lo double, _hi double, _low long, _high long")
+    inside = data.unpivot([], at, "k", "x").join(F.broadcast(table), (F.col("k") == F.col("_k")) & (F.col("x") >= F.col("_lo")) & (F.col("x") <= F.col("_hi")))
+    each = inside.groupBy("_k", "_i", "_low", "_high", "x").agg(F.count(F.lit(1)).alias("c")).withColumn("upto", F.sum("c").over(W.partitionBy("_k", "_i").orderBy("x")))
+    found = each.groupBy("_k", "_i").agg(F.min(F.when(F.col("upto") > F.col("_low"), F.col("x"))).alias("low"), F.min(F.when(F.col("upto") > F.col("_high"), F.col("x"))).alias("high"), F.min("_low").alias("first"))
+    out: list[list[float] | None] = [[0.0] * len(shares) if near[int(k)] else None for k in at]
+    missed = set()
+    for r in found.collect():
+        if r["first"] < 0 or r["high"] is None:
+            missed.add(int(r["_k"]))
+            continue
+        p = place[r["_k"], r["_i"]]
+        out[int(r["_k"])][r["_i"]] = r["low"] if r["low"] == r["high"] else (math.ceil(p) - p) * r["low"] + (p - math.floor(p)) * r["high"]
+    # With fewer rows than 1 / error, the next value up can lie outside a bracket.
+    for k, again in zip(sorted(missed), exact_quantiles(data, [str(k) for k in sorted(missed)], shares, 16 * error), strict=True):
+        out[k] = again
+    return out
+
+
 def threshold_curve(df: DataFrame, score: str = "score", y: str = "y") -> DataFrame:
     """For each distinct score as a threshold: tp and fp at it, and the numbers of positives and negatives."""
     each = df.groupBy(F.col(score).cast("double").alias("threshold")).agg(

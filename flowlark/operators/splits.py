@@ -1,11 +1,14 @@
 """Leave-one-family-out splits with disjoint groups.
 
 Rows are never moved one by one: whole groups are, by their sizes. The greedy dealing needs a group's size and families
-only, and looks at groups in order of size, so it works on the aggregated groups; the assignment is joined back to the rows.
+only, and looks at groups in order of size, so the driver deals counts of groups of one family and size; the groups are
+numbered on the executors, and the assignment is joined back to the rows.
 """
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -14,6 +17,9 @@ from ..functions.expressions import group_key
 
 EXACT_FLOW = ("source_file", "source_ip", "destination_ip", "destination_port")
 HOST = ("source_file", "source_ip")
+SPLITS = ("train", "model_selection_val", "val", "test_seen", "test_zero_day")
+#: Groups of one family and size that are numbered in one bucket.
+PLACES = 4096
 
 
 def deal(weights: dict[str, int], ratios: dict[str, float]) -> dict[str, str]:
@@ -29,6 +35,57 @@ def deal(weights: dict[str, int], ratios: dict[str, float]) -> dict[str, str]:
     return out
 
 
+def deal_sizes(sizes: dict[int, int], ratios: dict[str, float]) -> dict[int, dict[str, int]]:
+    """``deal`` for many groups: sizes has how many groups there are of each weight; returns how many of them go to each
+    split. Groups of one weight are interchangeable, so a weight costs a few steps, however many groups have it.
+
+    A split that is behind by d takes its j-th group of weight n when d - j n is the largest such number left. Those far
+    above the level at which the class runs out are dealt at once, the last few one by one."""
+    total = sum(n * c for n, c in sizes.items())
+    held = dict.fromkeys(ratios, 0)
+    out = {}
+    for n in sorted(sizes, reverse=True):
+        left = sizes[n]
+        behind = {s: (r * total - held[s]) / n for s, r in ratios.items()}
+        level, open_ = 0.0, sorted(behind.values(), reverse=True)
+        for k in range(len(open_)):
+            level = (sum(open_[: k + 1]) - left) / (k + 1)
+            if k + 1 == len(open_) or open_[k + 1] <= level:
+                break
+        got = {s: max(0, int(d - level) - 1) for s, d in behind.items()}
+        for s in ratios:
+            held[s] += n * got[s]
+        for _ in range(left - sum(got.values())):
+            best = max(ratios, key=lambda s: (ratios[s] * total - held[s], -held[s], ratios[s]))
+            held[best] += n
+            got[best] += 1
+        out[n] = got
+    return out
+
+
+def _family_shares(sizes: dict[int, int], benign: bool, ratios: tuple[float, ...], selection: float) -> dict[int, dict[str, int]]:
+    """How many of a family's groups of each size go to each split."""
+    train, val, seen, zero = ratios
+    shares = {"train": train, "val": val, "test_seen": seen} | ({"test_zero_day": zero} if benign else {})
+    groups = sum(sizes.values())
+    if groups == 1:
+        dealt = {n: {"train": 1} for n in sizes}
+    elif groups == 2 and not benign:
+        heavy, light = max(sizes), min(sizes)
+        dealt = {heavy: {"train": 1, "val": 1}} if heavy == light else {heavy: {"train": 1}, light: {"val": 1}}
+    else:
+        dealt = deal_sizes(sizes, shares)
+    mine = {n: d["train"] for n, d in dealt.items() if d.get("train")}
+    if sum(mine.values()) >= 2 and selection:
+        kept = deal_sizes(mine, {"train": 1 - selection, "model_selection_val": selection})
+        for lacking, other, n in (("model_selection_val", "train", min(mine)), ("train", "model_selection_val", max(mine))):
+            if not any(k[lacking] for k in kept.values()):
+                kept[n][lacking] += 1
+                kept[n][other] -= 1
+        dealt = {n: d | kept.get(n, {}) for n, d in dealt.items()}
+    return dealt
+
+
 def split_groups(groups: DataFrame, target: str, seed: int = 42, ratios: tuple[float, ...] = (0.7, 0.1, 0.1, 0.1), selection: float = 0.15) -> DataFrame:
     """(key, split) of each group. groups: key, family, n (rows of the family in the group).
 
@@ -36,50 +93,49 @@ def split_groups(groups: DataFrame, target: str, seed: int = 42, ratios: tuple[f
     test_seen, benign ones to all four; a group belongs to its largest attack family. A share of train's groups, by family, becomes
     model_selection_val.
 
-    Groups are aggregated to one row each; their number is what the driver holds, so a grouping finer than hosts of a
-    very large table should be made coarser first.
+    Groups never leave the executors: the driver gets how many groups each family has of each size, at most
+    sqrt(2 rows) sizes a family, and decides how many of them go to each split. Which ones is their order by a hash of the
+    key, numbered in buckets of about PLACES groups.
     """
     if not 0 <= selection < 1 or abs(sum(ratios) - 1) > 1e-9:
         raise ValueError("ratios must add up to 1 and the selection share must lie in [0, 1)")
+    spark = groups.sparkSession
     attack = F.when(F.col("family") != "benign", F.col("n")).otherwise(0)
     whole = groups.groupBy("key").agg(
         F.sum("n").alias("n"),
-        F.max((F.col("family") == target).cast("int")).alias("held_out"),
+        F.coalesce(F.max((F.col("family") == target).cast("int")), F.lit(0)).alias("held_out"),
         F.max_by("family", F.struct(attack, F.col("family"))).alias("family"),
     )
-    if whole.where("held_out = 1").isEmpty():
-        raise ValueError(f"no rows of the target family {target}")
-    order = W.partitionBy("family").orderBy(F.xxhash64("key", F.lit(seed)), "key")
-    rows = whole.withColumn("place", F.row_number().over(order)).orderBy("family", "place").toLocalIterator()
-    families: dict[str, dict[str, int]] = {}
-    out: dict[str, str] = {}
-    for r in rows:
-        if r.held_out:
-            out[r.key] = "test_zero_day"
+    families: dict[str, dict[int, int]] = {}
+    zero_day = 0
+    for r in whole.groupBy(F.when(F.col("held_out") == 0, F.col("n")).alias("n"), F.when(F.col("held_out") == 0, F.col("family")).alias("family"), "held_out").count().collect():
+        if r["held_out"]:
+            zero_day += r["count"]
         else:
-            families.setdefault(r.family, {})[r.key] = r.n
-    train, val, seen, zero = ratios
-    for family, weights in families.items():
-        shares = {"train": train, "val": val, "test_seen": seen}
-        if family == "benign":
-            shares["test_zero_day"] = zero
-        if len(weights) == 1:
-            dealt = dict.fromkeys(weights, "train")
-        elif len(weights) == 2 and family != "benign":
-            heavy, light = sorted(weights, key=lambda k: -weights[k])
-            dealt = {heavy: "train", light: "val"}
-        else:
-            dealt = deal(weights, shares)
-        mine = {k: n for k, n in weights.items() if dealt[k] == "train"}
-        if len(mine) >= 2 and selection:
-            kept = deal(mine, {"train": 1 - selection, "model_selection_val": selection})
-            if "model_selection_val" not in kept.values():
-                kept[min(mine, key=lambda k: mine[k])] = "model_selection_val"
-            if "train" not in kept.values():
-                kept[max(mine, key=lambda k: mine[k])] = "train"
-            dealt |= kept
-        out |= dealt
-    return groups.sparkSession.createDataFrame(list(out.items()), "key string, split string")
+            families.setdefault(r["family"], {})[r["n"]] = r["count"]
+    if not zero_day:
+        raise ValueError(f"no rows of the target family {target}")
+    rows = []
+    for family, sizes in families.items():
+        for n, dealt in _family_shares(sizes, family == "benign", ratios, selection).items():
+            ends = list(itertools.accumulate(dealt.get(s, 0) for s in SPLITS))
+            rows.append((family, n, -(-sizes[n] // PLACES), ends))
+    held = whole.where("held_out = 1").select("key", F.lit("test_zero_day").alias("split"))
+    if not rows:
+        return held
+    table = spark.createDataFrame(rows, "_family string, _n long, _buckets long, _ends array<long>")
+    same_class = F.col("family").eqNullSafe(F.col("_family")) & (F.col("n") == F.col("_n"))
+    order = F.xxhash64("key", F.lit(seed))
+    free = whole.where("held_out = 0").join(F.broadcast(table), same_class).select("key", "family", "n", "_buckets", "_ends", order.alias("_h"))
+    free = free.withColumn("_b", F.pmod("_h", "_buckets"))
+    # A class of few groups is one bucket; one row a bucket is left for the running count.
+    before = F.coalesce(F.sum("_c").over(W.partitionBy("family", "n").orderBy("_b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    starts = free.groupBy("family", "n", "_b").agg(F.count(F.lit(1)).alias("_c")).select(F.col("family").alias("_f"), F.col("n").alias("_m"), F.col("_b").alias("_k"), before.alias("_start"))
+    place = F.row_number().over(W.partitionBy("family", "n", "_b").orderBy("_h", "key")) - 1
+    numbered = free.withColumn("_place", place).join(starts, F.col("family").eqNullSafe(F.col("_f")) & (F.col("n") == F.col("_m")) & (F.col("_b") == F.col("_k")))
+    at = F.col("_start") + F.col("_place")
+    chosen = F.coalesce(*[F.when(at < F.col("_ends")[k], F.lit(s)) for k, s in enumerate(SPLITS)])
+    return held.unionByName(numbered.select("key", chosen.alias("split")))
 
 
 def leave_one_family_out(df: DataFrame, target: str, group_columns: tuple[str, ...] = HOST, family: str = "attack_family", **kw) -> DataFrame:

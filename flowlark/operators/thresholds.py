@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .metrics import at_thresholds, confusion, fpr_drift, running_totals, with_rates
+from .metrics import at_thresholds, confusion, exact_quantiles, fpr_drift, running_totals, with_rates
 
 BUDGETS = (0.001, 0.005, 0.01, 0.02, 0.05)
 JITTER = 1e-7
@@ -47,7 +47,7 @@ def thresholds_for_fpr(scores: DataFrame, targets: list[float], score: str = "sc
     for k, t in enumerate(targets):
         cut, fpr = (found[f"t{k}"].s, found[f"t{k}"].total_n / n) if t > 0 and found[f"r{k}"] else (beyond, 0.0)
         if t > 0 and cut == beyond and fallback == "percentile":
-            tried = scores.agg(F.percentile(s, 1 - t)).first()[0]
+            tried = exact_quantiles(scores.select(s.alias("s")), ["s"], [1 - t])[0][0]
             over = scores.agg(F.avg((s >= tried).cast("double"))).first()[0]
             cut, fpr = (tried, over) if over <= t else (cut, fpr)
         out.append({"threshold": cut, "calibration_fpr": fpr, "target_fpr": t})

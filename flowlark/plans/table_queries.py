@@ -401,10 +401,11 @@ def fusion_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"{_SCORES} SELECT count(*) AS n, round(avg(y), 9) AS positive_rate, round(stddev_pop(memory_score), 6) AS spread, round(quantile_cont(memory_score, 0.5), 6) AS p50, round(quantile_cont(memory_score, 0.9), 6) AS p90, round(quantile_cont(memory_score, 0.95), 6) AS p95, round(quantile_cont(memory_score, 0.99), 6) AS p99 FROM s")
 def reconstruction_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    at = lambda p: F.round(F.percentile("memory_score", p), 6)
-    return scores(spark, sf_dir).agg(
+    df = scores(spark, sf_dir)
+    found = metrics.exact_quantiles(df, ["memory_score"], [0.5, 0.9, 0.95, 0.99])[0] or [None] * 4
+    return df.agg(
         F.count("*").alias("n"), F.round(F.avg("y"), 9).alias("positive_rate"), F.round(F.stddev_pop("memory_score"), 6).alias("spread"),
-        at(0.5).alias("p50"), at(0.9).alias("p90"), at(0.95).alias("p95"), at(0.99).alias("p99"),
+        *[F.round(F.lit(x).cast("double"), 6).alias(f"p{p}") for p, x in zip((50, 90, 95, 99), found, strict=True)],
     )
 
 

@@ -184,6 +184,57 @@ def test_dealing_follows_the_ratios():
     assert all(abs(held[s] / total - r) < 0.02 for s, r in (("train", 0.7), ("val", 0.2), ("test", 0.1)))
 
 
+def test_dealing_sizes_is_dealing_groups():
+    r = np.random.default_rng(5)
+    for ratios in ({"train": 0.7, "val": 0.1, "test_seen": 0.1, "test_zero_day": 0.1}, {"train": 0.85, "model_selection_val": 0.15}, {"a": 0.5, "b": 0.5, "c": 0.0}):
+        for top, groups in ((1, 1000), (6, 900), (300, 400), (5, 3)):
+            weights = {f"k{i}": int(n) for i, n in enumerate(r.integers(1, top + 1, groups))}
+            want = {}
+            for k, s in splits.deal(weights, ratios).items():
+                want[weights[k], s] = want.get((weights[k], s), 0) + 1
+            sizes = {n: list(weights.values()).count(n) for n in set(weights.values())}
+            assert {(n, s): c for n, d in splits.deal_sizes(sizes, ratios).items() for s, c in d.items() if c} == want
+
+
+def test_groups_stay_off_the_driver(spark, monkeypatch):
+    made, create = [], type(spark).createDataFrame
+    rows = spark.range(6000).select(F.concat(F.lit("g"), (F.col("id") % 3000 + F.col("id") % 2 * 7000)).alias("key"), F.when(F.col("id") % 300 == 7, "dos").when(F.col("id") % 10 < 3, "bot").otherwise("benign").alias("family"))
+    groups = rows.groupBy("key", "family").agg(F.count("*").alias("n")).unionByName(spark.createDataFrame([("none", None, 3)], "key string, family string, n long"))
+    monkeypatch.setattr(type(spark), "createDataFrame", lambda self, data, *a, **b: (made.append(len(data)), create(self, data, *a, **b))[1])
+    monkeypatch.setattr(splits, "PLACES", 100, raising=False)
+    out = splits.split_groups(groups, "dos").join(groups, "key").select("key", "split", "family", "n").toPandas()
+    assert max(made) < 50
+    assert len(out) == groups.count() and out.groupby("key").split.nunique().max() == 1 and set(out[out.family == "dos"].split) == {"test_zero_day"}
+    free = out[~out.key.isin(out[out.family == "dos"].key)]
+    for family, ratios in (("bot", {"train": 0.7, "val": 0.1, "test_seen": 0.1}), ("benign", {"train": 0.7, "val": 0.1, "test_seen": 0.1, "test_zero_day": 0.1})):
+        mine = free[free.family == family].assign(split=lambda x: x.split.replace("model_selection_val", "train"))
+        want = {}
+        for k, s in splits.deal(dict(zip(mine.key, mine.n)), ratios).items():
+            want[s] = want.get(s, 0) + 1
+        assert mine.split.value_counts().to_dict() == want
+
+
+def test_samples_are_the_first_by_hash_without_ranking_all(spark):
+    df = spark.range(30000).select(F.col("id").alias("row_id"), F.when(F.col("id") % 10 == 0, "dos").otherwise("benign").alias("family"), F.when(F.col("id") % 5 > 0, F.col("id") % 2).alias("source_file"))
+    hashed = df.withColumn("h", sampling.shuffled("row_id")).toPandas().sort_values(["h", "row_id"])
+    got = sampling.sample_per_file(df, 0.11)
+    want = {i for _, g in hashed.groupby("source_file", dropna=False) for i in g.row_id.head(round(len(g) * 0.11))}
+    assert {r.row_id for r in got.collect()} == want
+    got = {r.row_id for r in sampling.balanced_sample(df, 700, 1.5).collect()}
+    assert got == set(hashed[hashed.family == "dos"].row_id.head(700)) | set(hashed[hashed.family == "benign"].row_id.head(1050))
+    edge = sampling.first_by_hash(df, "family", df.select("family").distinct().withColumn("_most", F.lit(40)))
+    assert edge.count() == 80
+    assert sampling.first_by_hash(df, "family", df.select("family").distinct().withColumn("_most", F.lit(10**6))).count() == 30000
+
+
+def test_exact_quantiles_are_percentiles(spark):
+    df = spark.range(5000).select((F.xxhash64("id") % 1000 / 7).alias("a"), F.when(F.col("id") % 3 == 0, F.col("id") % 4).cast("double").alias("b c"), F.lit(None).cast("double").alias("none"), F.lit(2.5).alias("same"))
+    shares = [0.0, 0.001, 0.37, 0.5, 0.999, 1.0]
+    want = df.agg(*[F.percentile(f"`{c}`", F.array(*map(F.lit, shares))).alias(str(k)) for k, c in enumerate(df.columns)]).first()
+    assert metrics.exact_quantiles(df.toDF("a", "b", "none", "same"), ["a", "b", "none", "same"], shares) == list(want)
+    assert metrics.exact_quantiles(df.limit(0).toDF("a", "b", "none", "same"), ["a"], [0.5]) == [None]
+
+
 def test_samples(spark):
     df = spark.range(1000).select(F.col("id").alias("row_id"), F.when(F.col("id") % 10 == 0, "dos").when(F.col("id") % 10 == 1, "bot").otherwise("benign").alias("family"), (F.col("id") % 3).cast("string").alias("source_file"))
     assert sampling.sample_rows(df, 30).count() == 30
