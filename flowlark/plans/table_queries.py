@@ -244,6 +244,16 @@ def feature_block_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(metrics.feature_block_shares(gains, [("first", 1), ("second", 200), ("third", 299)]), "share")
 
 
+# The same over the whole table: the last block ends with the last part.
+@query("""WITH g AS (SELECT p_partkey AS feature, CAST(p_size AS DOUBLE) AS gain FROM part),
+ b AS (SELECT 'first' AS block, 0 AS lo, 1 AS hi UNION ALL SELECT 'second', 1, 201 UNION ALL SELECT 'third', 201, max(p_partkey) + 1 FROM part)
+ SELECT block, sum(gain) AS gain, count(*) AS features, round(sum(gain) / sum(sum(gain)) OVER (), 9) AS share FROM g JOIN b ON feature >= lo AND feature < hi GROUP BY block""")
+def feature_block_shares_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    gains = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("feature"), F.col("p_size").cast("double").alias("gain"))
+    last = gains.agg(F.max("feature")).first()[0] or 0
+    return _rounded(metrics.feature_block_shares(gains, [("first", 1), ("second", 200), ("third", max(0, last - 200))]), "share")
+
+
 @query("SELECT p_partkey AS feature, CAST(p_size AS DOUBLE) AS gain FROM part ORDER BY p_size DESC, p_partkey LIMIT 50")
 def top_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.top_features(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("feature"), F.col("p_size").cast("double").alias("gain")))
@@ -462,6 +472,16 @@ def groups_in_two_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splits.overlapping_groups(labelled, ("source_ip",)).select("key")
 
 
+# The same over all rows: sources before u5 are whole in one split, by their last digit.
+_EVERY_SPLIT = "CASE WHEN source_ip < 'u5' THEN CAST(right(source_ip, 1) AS INT) % 2 ELSE row_id % 2 END"
+
+
+@query(f"{_FLOWS}, s AS (SELECT source_ip, {_EVERY_SPLIT} AS split FROM f) SELECT '{{\"source_ip\":\"' || source_ip || '\"}}' AS key FROM s GROUP BY source_ip HAVING min(split) <> max(split)")
+def groups_in_two_splits_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labelled = view(spark, sf_dir, EVENT_FLOWS).withColumn("split", F.expr(_EVERY_SPLIT))
+    return splits.overlapping_groups(labelled, ("source_ip",)).select("key")
+
+
 @query(f"{_SCORES}, a AS (SELECT row_id, score FROM s WHERE split = 'val'), b AS (SELECT DISTINCT row_id FROM s WHERE split = 'val' AND y = 1) SELECT row_id, score FROM a WHERE row_id IN (SELECT row_id FROM b)")
 def rows_by_id_set(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = scores(spark, sf_dir).where("split = 'val'")
