@@ -6,8 +6,8 @@ A text's margins are decoded by loss: each bit's logistic loss, weighted by how
 texts of the language, adds up to the distance to a codeword. The nearest codeword wins; a runner-up that is nearly as
 near flags the text as ambiguous.
 
-Trigram counts cover every training text (a sum per language and bucket, so nothing that grows with the input leaves the
-executors); only the bits' accuracies are taken on a bounded sample, ``SAMPLE`` training texts.
+Trigram counts and the bits' accuracies cover every training text (sums per language and bucket or bit, so nothing that
+grows with the input leaves the executors).
 """
 
 from __future__ import annotations
@@ -27,8 +27,6 @@ from .ngrams import grams, letters, per_text
 BITS = 16
 WIDTH = 3
 CHUNK = 1 << 18
-#: Training texts, chosen by a hash of the id, on which the bits' accuracies are measured.
-SAMPLE = 4000
 #: Languages up to which all distinct splits are used as bits; beyond, a fixed dense code.
 EXHAUSTIVE = 6
 #: A score gap to the runner-up below this is ambiguous.
@@ -82,7 +80,7 @@ def _decode(margins: np.ndarray, model: Model) -> np.ndarray:
     return p / p.sum(axis=1, keepdims=True)
 
 
-def fit(train: DataFrame, text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> Model:
+def fit(train: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Model:
     """Learns from the rows with a language; rows without a text count for nothing."""
     train = train.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(
         F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")
@@ -110,7 +108,6 @@ def fit(train: DataFrame, text_col: str = "text", lang_col: str = "lang", sample
     table = train.mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     langs = sorted(table["lang"].unique().tolist())
     counts = np.zeros((len(langs), 1 << BITS))
-    texts = table[table["bucket"] < 0]
     table = table[table["bucket"] >= 0]
     counts[np.searchsorted(langs, table["lang"].to_numpy(str)) if langs else [], table["bucket"].to_numpy(int)] = table["n"].to_numpy(float)
     share = (counts + 0.5) / (counts + 0.5).sum(axis=1, keepdims=True)
@@ -119,11 +116,11 @@ def fit(train: DataFrame, text_col: str = "text", lang_col: str = "lang", sample
     weights = np.stack([np.log(a) - np.log(b) for a, b in sides], axis=1).astype(np.float32) if sides else np.zeros((1 << BITS, 0), np.float32)
     model = Model(langs, code, weights, np.full(code.shape, 1 / max(1, code.shape[1])))
     if code.shape[1]:
-        model.trust = _trust(train, model, max(1, int(texts["n"].sum()) // sample))
+        model.trust = _trust(train, model)
     return model
 
 
-def _trust(train: DataFrame, model: Model, every: int) -> np.ndarray:
+def _trust(train: DataFrame, model: Model) -> np.ndarray:
     held = train.sparkSession.sparkContext.broadcast(model)
 
     def right(batches):
@@ -137,8 +134,7 @@ def _trust(train: DataFrame, model: Model, every: int) -> np.ndarray:
                 for b in range(m.code.shape[1]):
                     yield pa.RecordBatch.from_pydict({"k": [k], "b": [b], "n": [int(mine.sum())], "hits": [int(hit[mine, b].sum())]})
 
-    sample = train.where(F.pmod(F.xxhash64("text"), F.lit(every)) == 0)
-    rows = sample.mapInArrow(right, "k long, b long, n long, hits long").groupBy("k", "b").agg(F.sum("n").alias("n"), F.sum("hits").alias("hits")).toPandas()
+    rows = train.mapInArrow(right, "k long, b long, n long, hits long").groupBy("k", "b").agg(F.sum("n").alias("n"), F.sum("hits").alias("hits")).toPandas()
     rate = np.full(model.code.shape, 0.5)
     rate[rows["k"], rows["b"]] = (rows["hits"] + 1) / (rows["n"] + 2)
     return rate / rate.sum(axis=1, keepdims=True)

@@ -59,3 +59,18 @@ def test_codewords_differ_and_columns_split():
         code = langid.codewords(n)
         assert len({tuple(x) for x in code}) == n
         assert (np.abs(code.sum(axis=0)) < n).all()
+
+
+def test_accuracies_count_every_training_row(spark):
+    r = np.random.default_rng(4)
+    texts = [(" ".join("".join(r.choice(list(letters), 4)) for _ in range(3)), lang) for letters, lang in (("abcdef", "x"), ("bcdefg", "y"), ("cdefgh", "z")) for _ in range(60)]
+    copies = [4000 if k == 0 else 45 for k in range(len(texts))]
+    model = langid.fit(table(spark, [t for t, n in zip(texts, copies) for _ in range(n)]))
+    margins, known = langid._margins([t for t, _ in texts], model)
+    rate = np.empty(model.code.shape)
+    for k, lang in enumerate(model.langs):
+        mine = np.array([x == lang for _, x in texts])
+        n = np.array(copies)[mine][:, None]
+        rate[k] = ((margins[mine] * model.code[k] > 0) * n).sum(axis=0) + 1
+        rate[k] /= n.sum() + 2
+    assert known.all() and np.allclose(model.trust, rate / rate.sum(axis=1, keepdims=True))
