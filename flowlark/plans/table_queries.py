@@ -426,7 +426,7 @@ def memory_autoencoder(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = list(_SCALED[:3])
     df = scaler_input(spark, sf_dir)
     scaled = scaling.fit_robust_scaler(df, names).transform(df, "double")
-    model = models.fit_memory_autoencoder(scaled.where("row_id % 50 = 1"), names, latent=4, slots=16, epochs=2)
+    model = models.fit_memory_autoencoder(scaled, names)
     return model.reconstruction_error(scaled, names)
 
 
@@ -441,7 +441,7 @@ def boosted_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators import models
 
     df = scores(spark, sf_dir)
-    model = models.fit_trees(df.where("split = 'train'"), ["score", "memory_score"], depth=4, rounds=5)
+    model = models.fit_trees(df.where("split = 'train'"), ["score", "memory_score"])
     return models.tree_scores(model, df).select("row_id", "tree_score")
 
 

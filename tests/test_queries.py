@@ -30,3 +30,27 @@ def test_second_split_in_any_row_is_found(spark, tmp_path):
     rows = [(1, 7), (3, 7), (1, 8), (6, 8), (2, 40), (5, 40)]  # only row 6, whose id is a multiple of 3, has the second split of u8
     spark.createDataFrame(rows, "event_id long, user_id long").selectExpr("event_id", "user_id", "'a' AS event_type", "'1' AS props", "current_timestamp() AS ts").write.parquet(f"{tmp_path}/events.parquet")
     assert {r.key for r in QUERIES["groups_in_two_splits_all"](spark, str(tmp_path)).collect()} == {'{"source_ip":"u8"}'}
+
+
+def test_models_are_fitted_on_all_rows_at_their_own_sizes(spark, monkeypatch):
+    from flowlark.operators import models
+
+    seen = {}
+
+    class Stop(Exception):
+        pass
+
+    def autoencoder(df, features, **sizes):
+        seen["autoencoder"] = (df.count(), sizes)
+        raise Stop
+
+    def trees(df, features, **sizes):
+        seen["trees"] = sizes
+        raise Stop
+
+    monkeypatch.setattr(models, "fit_memory_autoencoder", autoencoder)
+    monkeypatch.setattr(models, "fit_trees", trees)
+    for name in ("memory_autoencoder", "boosted_trees"):
+        with pytest.raises(Stop):
+            QUERIES[name](spark, FOLDER)
+    assert seen == {"autoencoder": (spark.read.parquet(f"{FOLDER}/lineitem.parquet").count(), {}), "trees": {}}
