@@ -9,6 +9,8 @@ or more where these leaves hold fewer than k candidates.
 
 Of equal vectors only the k + 1 smallest ids can be among a query's k nearest, since ties go to the smaller id; the
 others are no candidates, which changes no result and keeps a vector that a third of all rows share from filling a leaf.
+Rows that repeat an id and its vector are one row; rows that repeat an id with other vectors are queries of their own, told
+apart by ``query_key``.
 Leaves are dealt out in blocks of about BLOCK vectors, and the queries of a leaf in blocks too, so a large leaf is many
 tasks.
 """
@@ -176,8 +178,11 @@ def _calibrated(dealt: DataFrame, queries: DataFrame, tree: Tree, k: int) -> int
 
 def nearest(df: DataFrame, is_query, k: int = 20, vector_col: str = "embedding", id_col: str = "vec_id") -> DataFrame:
     """The k nearest found of each query (rows of ``df`` where ``is_query``, a condition on vec_id): query_id, rank,
-    vec_id, score. Rows with the query's own id are no candidates. Null, zero and non-finite vectors and rows without an
-    id take no part; an empty table gives no rows; other columns are not read."""
+    vec_id, score, query_key (a hash of the query's vector).
+
+    Rows with the query's own id are no candidates. Rows that repeat an id and its vector count once; an id with several
+    vectors has one list for each as a query, and each may be found as a candidate. Null, zero and non-finite vectors and
+    rows without an id take no part; an empty table gives no rows; other columns are not read."""
     vectors = usable(df, vector_col, id_col)
     tree = build(vectors)
     sc = df.sparkSession.sparkContext
@@ -187,9 +192,10 @@ def nearest(df: DataFrame, is_query, k: int = 20, vector_col: str = "embedding",
         for batch in batches:
             yield pa.RecordBatch.from_arrays([pa.array(held.value.leaf_of(_matrix(batch))), *batch.columns], ["leaf", "vec_id", "embedding"])
 
-    among = F.row_number().over(W.partitionBy("embedding").orderBy("vec_id"))
+    among = F.dense_rank().over(W.partitionBy("embedding").orderBy("vec_id"))
     queries = vectors.where(is_query)
-    candidates = vectors.withColumn("copy", among).where(F.col("copy") <= k + 1).drop("copy")
+    # Equal rows are in one partition already, so dropping repeated ones needs no other shuffle.
+    candidates = vectors.withColumn("copy", among).where(F.col("copy") <= k + 1).groupBy("embedding", "vec_id").agg(F.lit(0)).select("vec_id", "embedding")
     dealt = stored(candidates.mapInArrow(deal, "leaf long, vec_id long, embedding array<double>"), "vectors")
     # A row for each leaf, as many as the tree has; the tree has at most SAMPLE / LEAST leaves.
     tree.sizes = np.zeros(len(tree.children), np.int64)
@@ -204,10 +210,12 @@ def nearest(df: DataFrame, is_query, k: int = 20, vector_col: str = "embedding",
             x = _matrix(batch)
             lists = [list(t.leaves(q, visits, k + 1)) for q in x]
             of = np.repeat(np.arange(len(x)), [len(v) for v in lists])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(lists).astype(np.int64)), batch.column("vec_id").take(pa.array(of)), batch.column("embedding").take(pa.array(of))], ["leaf", "vec_id", "embedding"])
+            leaf, of = pa.array(np.concatenate(lists).astype(np.int64)), pa.array(of)
+            yield pa.RecordBatch.from_arrays([leaf, *(c.take(of) for c in batch.columns)], ["leaf", "vec_id", "query_key", "embedding"])
 
     # Without the leaf that the query itself lies in as a column, names stay apart from those of the vectors.
-    asked = stored(queries.select("vec_id", "embedding").mapInArrow(walk, "leaf long, vec_id long, embedding array<double>"), "walks")
+    keyed = queries.select("vec_id", F.xxhash64("embedding").alias("query_key"), "embedding").dropDuplicates(["vec_id", "query_key"])
+    asked = stored(keyed.mapInArrow(walk, "leaf long, vec_id long, query_key long, embedding array<double>"), "walks")
     size = lambda rows, name: rows.groupBy("leaf").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias(name))
     blocks = size(dealt, "vs").join(size(asked, "qs"), "leaf")
     part = lambda rows, own, other: (  # noqa: E731  each row meets every block of the other side
@@ -216,23 +224,25 @@ def nearest(df: DataFrame, is_query, k: int = 20, vector_col: str = "embedding",
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col(other) - 1)))
     )
     left = part(dealt, F.col("vs"), "qs").select("leaf", F.col("own").alias("v"), F.col("other").cast("long").alias("q"), "vec_id", "embedding")
-    right = part(asked, F.col("qs"), "vs").select("leaf", F.col("other").cast("long").alias("v"), F.col("own").alias("q"), "vec_id", "embedding")
+    right = part(asked, F.col("qs"), "vs").select("leaf", F.col("other").cast("long").alias("v"), F.col("own").alias("q"), "vec_id", "query_key", "embedding")
 
     def search(vecs: pa.Table, asking: pa.Table) -> pa.Table:
-        ids, names = vecs.column("vec_id").to_numpy(), asking.column("vec_id").to_numpy()
-        x, y, out = _matrix(vecs), _matrix(asking), [_best(np.zeros(0, np.int64), np.zeros(1, np.int64), np.zeros(0), np.zeros(0, np.int64))]
+        ids, names, keys = (t.column(c).to_numpy() for t, c in ((vecs, "vec_id"), (asking, "vec_id"), (asking, "query_key")))
+        none = np.zeros(0, np.int64)
+        x, y, out = _matrix(vecs), _matrix(asking), [_best(none, none, np.zeros(1, np.int64), np.zeros(0), none)]
         for at in range(0, len(names) if len(ids) else 0, 512):
             own = names[at : at + 512]
             q, v, score = top_products(y[at : at + 512], own, x, ids, k)
-            out.append(_best(own, np.searchsorted(q, np.arange(len(own) + 1)), -score, ids[v]))
+            out.append(_best(own, keys[at : at + 512], np.searchsorted(q, np.arange(len(own) + 1)), -score, ids[v]))
         return pa.concat_tables(out)
 
     kind = "array<struct<far:double,vec_id:bigint>>"
-    found = left.groupBy("leaf", "v", "q").cogroup(right.groupBy("leaf", "v", "q")).applyInArrow(search, f"query_id long, best {kind}")
-    best = found.groupBy("query_id").agg(F.slice(F.array_sort(F.flatten(F.collect_list("best"))), 1, k).alias("best"))
-    return best.select("query_id", F.posexplode("best").alias("pos", "b")).select("query_id", (F.col("pos") + 1).alias("rank"), "b.vec_id", (-F.col("b.far")).alias("score"))
+    found = left.groupBy("leaf", "v", "q").cogroup(right.groupBy("leaf", "v", "q")).applyInArrow(search, f"query_id long, query_key long, best {kind}")
+    best = found.groupBy("query_id", "query_key").agg(F.slice(F.array_sort(F.flatten(F.collect_list("best"))), 1, k).alias("best"))
+    ranked = best.select("query_id", "query_key", F.posexplode("best").alias("pos", "b"))
+    return ranked.select("query_id", (F.col("pos") + 1).alias("rank"), "b.vec_id", (-F.col("b.far")).alias("score"), "query_key")
 
 
-def _best(query: np.ndarray, starts: np.ndarray, far: np.ndarray, ids: np.ndarray) -> pa.Table:
+def _best(query: np.ndarray, key: np.ndarray, starts: np.ndarray, far: np.ndarray, ids: np.ndarray) -> pa.Table:
     entries = pa.StructArray.from_arrays([pa.array(far), pa.array(ids)], ["far", "vec_id"])
-    return pa.table({"query_id": pa.array(query), "best": pa.ListArray.from_arrays(pa.array(starts, pa.int32()), entries)})
+    return pa.table({"query_id": pa.array(query), "query_key": pa.array(key), "best": pa.ListArray.from_arrays(pa.array(starts, pa.int32()), entries)})

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -27,17 +29,27 @@ _BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+def light_workers(spark: SparkSession) -> None:
+    """Settings that keep Python workers small; the registered queries and the pipeline make them for their session.
+
+    Batches of at most BATCH_BYTES where the session leaves Spark's 64 MB, and Arrow's memory from the system, since
+    Arrow's own pool keeps what it once held and workers stay to serve one operator after the other.
+    """
     if spark.conf.get(_BATCH, None) in ("67108864", "67108864b", "64MB", None):
         spark.conf.set(_BATCH, str(BATCH_BYTES))
-    # Arrow's own pool keeps what it once held; workers stay and serve one operator after the other.
     spark.sparkContext.environment.setdefault("ARROW_DEFAULT_MEMORY_POOL", "system")
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where the session names none (tests)."""
+    """The folder that driver and executors share. Where the session names none, a local master (as in tests) gets one of
+    its own; on a cluster that would be another folder on each machine, so there it is an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = f"file://{tempfile.mkdtemp()}"
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -113,26 +125,27 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
-_BYTE = mix64((np.arange(256, dtype=np.uint64) + np.uint64(1)) * np.uint64(0xD1342543DE82EF95))
-_powers: dict[str, np.ndarray] = {}
-
-
-def _power(name: str, base: int, n: int) -> np.ndarray:
-    have = _powers.get(name)
-    if have is None or len(have) < n:
-        steps = np.full(max(n, CHUNK_BYTES + 1), np.uint64(base & (2**64 - 1)))
-        steps[0] = 1
-        have = _powers[name] = np.cumprod(steps, dtype=np.uint64)
-    return have[:n]
+#: Keeps so many bytes of a load of 8.
+_KEEP = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word's bytes: a polynomial taken from prefix sums, then mixed."""
-    base = int(_MULT)
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTE[data] * _power("up", base, len(data)), dtype=np.uint64, out=total[1:])
-    down = _power("down", pow(base, -1, 1 << 64), len(data) + 1)
-    return mix64((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+    """A 64-bit hash of each word's bytes: of up to 8 bytes the bytes themselves, mixed with their number; else a digest."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    loads = np.ndarray(len(data) + 1, np.uint64, padded.data, strides=(1,))
+    n = ends - starts
+    out = mix64(mix64(loads[starts] & _KEEP[np.minimum(n, 8)]) + n.astype(np.uint64))
+    long = np.flatnonzero(n > 8)
+    if len(long):
+        raw, known, found = data.tobytes(), {}, []
+        for a, b in zip(starts[long].tolist(), ends[long].tolist(), strict=True):
+            word = raw[a:b]
+            digest = known.get(word)
+            if digest is None:
+                digest = known[word] = hashlib.blake2b(word, digest_size=8).digest()
+            found.append(digest)
+        out[long] = np.frombuffer(b"".join(found), "<u8")
+    return out
 
 
 def window_hashes(hashes: np.ndarray, width: int) -> np.ndarray:

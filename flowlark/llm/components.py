@@ -21,14 +21,15 @@ def components(edges: DataFrame) -> DataFrame:
         edges.where("a <> b").select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct(), "edges"
     )
     while True:
-        lone = e.groupBy("hi").agg(F.count("*").alias("n")).where("n > 1")
-        tops = e.select(F.col("lo").alias("hi")).distinct()
-        if lone.isEmpty() and e.join(tops, "hi", "left_semi").isEmpty():
+        # Each edge from both ends. Stored, so that the join below has no aggregate beside it and a node with very many
+        # neighbours can be split. A node is done if it hangs on one node alone and nothing hangs on it.
+        both = e.select(F.col("hi").alias("u"), F.col("lo").alias("v")).union(e.select(F.col("lo").alias("u"), F.col("hi").alias("v")))
+        around = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        least = stored(around.select("u", F.least("m", "u").alias("m"), "n"), "least")
+        if least.where("m < u and n > 1").isEmpty():
             break
         # Large star: what is above a node hangs on the least node around it.
-        both = e.select(F.col("hi").alias("u"), F.col("lo").alias("v")).union(e.select(F.col("lo").alias("u"), F.col("hi").alias("v")))
-        # Stored, so that the join has no aggregate beside it and a node with very many neighbours can be split.
-        least = stored(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m")), "least")
+        least = least.select("u", "m")
         large = stored(both.where("v > u").join(least, "u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct(), "edges")
         # Small star: a node and what is below it hang on the least node below it.
         least = large.groupBy("hi").agg(F.min("lo").alias("m"))

@@ -9,6 +9,8 @@ bucket all members are compared with its smallest one, links are checked on the
 built; then the members of a bucket that are still in different components are compared with each other, all of them: pair
 by pair in small buckets, in blocks where a bucket is large. So a bucket of thousands of copies mostly costs one comparison
 a member, and no candidate between different components is left out.
+
+Hashes only find links: each link is confirmed on the two texts' words themselves.
 """
 
 from __future__ import annotations
@@ -48,6 +50,17 @@ def shingle_sets(column: pa.Array, size: int) -> list[np.ndarray]:
     return out
 
 
+def word_shingles(text: bytes, size: int) -> set[tuple[bytes, ...]]:
+    """The set of shingles itself, of a text's words (bytes.split parts words at the white space of ``common.SPACES``)."""
+    w = text.lower().split()
+    return set(zip(*(w[k:] for k in range(size)), strict=False)) if len(w) >= size else {tuple(w)} if w else set()
+
+
+def alike(s: set, t: set, percent: int) -> bool:
+    common = len(s & t)
+    return common > 0 and 100 * common >= percent * (len(s) + len(t) - common)
+
+
 def _permuted(x: np.ndarray, a: int, b: int) -> np.ndarray:
     """A permutation of the 32-bit numbers, in place: products by odd numbers and shifted differences can be undone."""
     x *= np.uint32(a)
@@ -107,21 +120,26 @@ def confirmed(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> Dat
         for part in chunks(batches, "text_b", 1 << 18):
             a = part.column("a").to_numpy()
             own, at, of = np.unique(a, return_index=True, return_inverse=True)
-            lefts = shingle_sets(part.column("text_a").take(pa.array(at)), size)
-            rights = shingle_sets(part.column("text_b"), size)
+            left_texts, right_texts = part.column("text_a").take(pa.array(at)), part.column("text_b")
+            lefts, rights = shingle_sets(left_texts, size), shingle_sets(right_texts, size)
+            exact: dict[int, set] = {}  # the words' own shingles of left texts, where they were needed
             good = np.zeros(len(a), bool)
             for k, s in enumerate(rights):
                 t = lefts[of[k]]
                 if 100 * min(len(s), len(t)) >= percent * max(len(s), len(t)) > 0:
                     common = len(s) + len(t) - len(np.union1d(s, t))
-                    good[k] = 100 * common >= percent * (len(s) + len(t) - common)
+                    if 100 * common >= percent * (len(s) + len(t) - common):
+                        if of[k] not in exact:
+                            exact[of[k]] = word_shingles(left_texts[int(of[k])].as_py().encode(), size)
+                        good[k] = alike(exact[of[k]], word_shingles(right_texts[k].as_py().encode(), size), percent)
             yield part.select(["a", "b"]).filter(pa.array(good))
 
     return pairs.join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
-def _linked(sets: list[np.ndarray], roots: np.ndarray, apart: np.ndarray, percent: int) -> list[tuple[int, int]]:
-    """Links between the sets that join different roots, as a spanning forest: at most one link a set.
+def _linked(sets: list[np.ndarray], roots: np.ndarray, apart: np.ndarray, percent: int, confirm) -> list[tuple[int, int]]:
+    """Links between the sets that join different roots, as a spanning forest: at most one link a set. ``confirm(k, j)``
+    has the last word on each.
 
     ``apart``: the side of each set; sets of side 0 meet those of side 1, or all meet each other if there's one side.
     Intersections are counted over an inverted index, one set against all others at a time.
@@ -147,7 +165,7 @@ def _linked(sets: list[np.ndarray], roots: np.ndarray, apart: np.ndarray, percen
         common = np.bincount(owner[where], minlength=len(sets))
         for j in np.flatnonzero((common > 0) & (100 * common >= percent * (size[k] + size - common))).tolist():
             x, y = top(int(roots[k])), top(int(roots[j]))
-            if x != y:
+            if x != y and confirm(k, j):
                 boss[max(x, y)] = min(x, y)
                 out.append((k, j))
     return out
@@ -181,7 +199,8 @@ def _compared_in_blocks(rows: DataFrame, docs: DataFrame, size: int, percent: in
         table = table.combine_chunks()
         sets = [s for part in chunks(iter(table.to_batches())) for s in shingle_sets(part.column("text"), size)]
         rep = table.column("rep").to_numpy()
-        got = _linked(sets, table.column("root").to_numpy(), table.column("side").to_numpy(), percent)
+        words = lambda k: word_shingles(table.column("text")[k].as_py().encode(), size)
+        got = _linked(sets, table.column("root").to_numpy(), table.column("side").to_numpy(), percent, lambda k, j: alike(words(k), words(j), percent))
         return pa.table({"a": pa.array([rep[k] for k, _ in got], pa.int64()), "b": pa.array([rep[j] for _, j in got], pa.int64())})
 
     return held.join(sides, "block").select("pair", "side", "rep", "root", "text").groupBy("pair").applyInArrow(compare, "a long, b long")
@@ -192,7 +211,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, text_col:
 
     A null or wordless text has the empty set and links to nothing, copies of it included. A null id takes part in no
     link and is its own component. Rows that repeat an id with the same text are all kept or none; if the texts differ,
-    a link of either links the id. An empty table gives an empty result; other columns are not read.
+    a link of either links the id. Very long texts are compared whole, as chunks of their own. An empty table gives an
+    empty result; other columns are not read.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     sets = stored(signatures(docs, size), "signatures")
@@ -216,13 +236,18 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, text_col:
         .select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
         .distinct()
     )
-    more = confirmed(stored(rest, "pairs"), docs, size, percent)
+    pairs = stored(rest, "pairs")
+    more = [] if pairs.isEmpty() else [confirmed(pairs, docs, size, percent)]
     large = open_.where(F.col("n") > SMALL)
     if not large.isEmpty():
-        more = more.union(_compared_in_blocks(large.select("least", "rep", "root"), docs, size, percent))
-    more = stored(more, "links")
-    if not more.isEmpty():
-        roots = components(links.union(more))
-    done = members.join(roots, members["rep"] == roots["node"], "left")
-    component = F.coalesce("root", "rep", "doc_id")
+        more.append(_compared_in_blocks(large.select("least", "rep", "root"), docs, size, percent))
+    done = members.join(roots, members["rep"] == roots["node"], "left").select("doc_id", "n_shingles", F.coalesce("root", "rep", "doc_id").alias("root"))
+    component = F.col("root")
+    if more:
+        # The new links join components, so only those are gone through again, not all links.
+        ends = more[0] if len(more) == 1 else more[0].union(more[1])
+        for x in "ab":
+            ends = ends.join(roots, ends[x] == roots["node"], "left").withColumn(x, F.coalesce("root", x)).select("a", "b")
+        merged = components(ends).select("node", F.col("root").alias("merged"))
+        done, component = done.join(merged, done["root"] == merged["node"], "left"), F.coalesce("merged", "root")
     return done.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))

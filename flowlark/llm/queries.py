@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
 
 import numpy as np
@@ -10,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import ann, bpe, chat, idfile, langid, minhash, oracles, packing, quality, repeats, toxicity
-from .common import crc_mod, fresh_path, read
+from .common import crc_mod, fresh_path, light_workers, read
 from .tokens import public
 
 
@@ -103,16 +104,23 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+
+def _light(query):
+    """The query, in a session whose Python workers are kept small."""
+
+    @functools.wraps(query)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        light_workers(spark)
+        return query(spark, sf_dir)
+
+    return run
+
+
 QUERIES = {
-    "op1_language_id": op1_language_id,
-    "op2_toxicity": op2_toxicity,
-    "op3_bpe": op3_bpe,
-    "op4_packing": op4_packing,
-    "op5_minhash_dedup": op5_minhash_dedup,
-    "op6_substring_dedup": op6_substring_dedup,
-    "op7_chat_formatting": op7_chat_formatting,
-    "op8_nearest_neighbours": op8_nearest_neighbours,
-    "op9_token_id_files": op9_token_id_files,
-    "op10_quality_rules": op10_quality_rules,
-}
+    f.__name__: _light(f)
+    for f in (
+        op1_language_id, op2_toxicity, op3_bpe, op4_packing, op5_minhash_dedup, op6_substring_dedup, op7_chat_formatting,
+        op8_nearest_neighbours, op9_token_id_files, op10_quality_rules,
+    )
+}
 ORACLE_SQL: dict[str, str] = dict(oracles.SQL)

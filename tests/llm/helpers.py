@@ -19,3 +19,12 @@ def documents(spark, texts, **extra):
 def save(df, folder, table):
     df.write.mode("overwrite").parquet(f"{folder}/{table}.parquet")
     return str(folder)
+
+
+def twins(n=11):
+    """Two words of 2**n letters over a and b, each the other with the letters exchanged: any polynomial in a base gives
+    them one hash modulo 2**64."""
+    s = "a"
+    for _ in range(n):
+        s += s.translate(str.maketrans("ab", "ba"))
+    return s, s.translate(str.maketrans("ab", "ba"))

@@ -49,3 +49,13 @@ def test_few_rows_give_all_candidates(spark, tmp_path, n):
     got = op8_nearest_neighbours(spark, save(spark.createDataFrame([(i, v, 0) for i, v in rows], SCHEMA), tmp_path, "embeddings")).collect()
     assert len(got) == n * (n - 1)
     check(got, rows if n > 1 else [], least=1.0)
+
+
+def test_repeated_ids(spark):
+    """Equal rows count once; one id with two vectors is two queries, neither a candidate of the other."""
+    rows = [(0, [1.0, 0.0]), (0, [1.0, 0.0]), (0, [0.0, 1.0]), (1, [2.0, 1.0]), (1, [2.0, 1.0]), (2, [1.0, 3.0]), (3, [0.5, 0.5])]
+    got = ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), F.col("vec_id") == 0).collect()
+    lists = {}
+    for r in sorted(got, key=lambda r: r["rank"]):
+        lists.setdefault((r.query_id, r.query_key), []).append((r.vec_id, r.score))
+    assert sorted(lists.values()) == sorted([[(1, 2.0), (2, 1.0), (3, 0.5)], [(2, 3.0), (1, 1.0), (3, 0.5)]])

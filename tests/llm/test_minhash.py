@@ -9,7 +9,7 @@ from flowlark.llm import minhash
 from flowlark.llm.components import components
 from flowlark.llm.queries import op5_minhash_dedup
 
-from .helpers import EDGE_TEXTS, WORD, documents, save
+from .helpers import EDGE_TEXTS, WORD, documents, save, twins
 
 LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
 
@@ -79,3 +79,19 @@ def test_components_of_chains_and_stars(spark):
     got = {r.node: r.root for r in components(df).collect()}
     assert got == {i: 0 for i in range(41)} | {i: 100 for i in [*range(100, 160), 5000]}
     assert components(df.limit(0)).count() == 0
+
+
+def test_words_that_a_polynomial_hash_takes_for_equal(spark, tmp_path):
+    s, t = twins()
+    texts = [f"{s} x y z", f"{t} x y z", f"{s} w0 w1 w2 w3", f"{t} w0 w1 w2 w3"]
+    got = {r.doc_id: tuple(r)[1:] for r in op5_minhash_dedup(spark, save(documents(spark, texts), tmp_path, "documents")).collect()}
+    assert got == brute(texts) and all(k for _, _, k in got.values())
+
+
+def test_texts_of_over_a_megabyte(spark, tmp_path):
+    r = random.Random(8)
+    words = [f"w{r.randrange(10**6)}" for _ in range(180_000)]
+    near = [w if r.random() > 0.02 else "changed" for w in words]
+    texts = [" ".join(words), " ".join(near), "short text of five words", "y" * 1_500_000]
+    got = {r.doc_id: tuple(r)[1:] for r in op5_minhash_dedup(spark, save(documents(spark, texts), tmp_path, "documents")).collect()}
+    assert got == brute(texts) and got[1][1] == 0

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from flowlark.llm import repeats
 from flowlark.llm.queries import op6_substring_dedup
 
-from .helpers import EDGE_TEXTS, WORD, documents, save, sha
+from .helpers import EDGE_TEXTS, WORD, documents, save, sha, twins
 
 
 def brute(texts, width=20):
@@ -66,3 +66,19 @@ def test_sliding_min_and_runs():
         assert repeats._sliding_min(x, n).tolist() == [x[k : k + n].min() for k in range(50 - n + 1)]
     doc, at, n = repeats._runs_of(np.array([1, 1, 1, 2, 2]), np.array([0, 5, 30, 0, 2]), np.array([20, 20, 20, 20, 1]))
     assert (doc.tolist(), at.tolist(), n.tolist()) == ([1, 1, 2], [0, 30, 0], [25, 20, 20])
+
+
+def test_words_that_a_polynomial_hash_takes_for_equal(spark, tmp_path):
+    s, t = twins()
+    tail = " ".join(f"w{k}" for k in range(19))
+    texts = [f"{s} {tail}", f"{t} {tail}", f"{s} {tail}"]
+    got = {r.doc_id: tuple(r)[1:] for r in op6_substring_dedup(spark, save(documents(spark, texts), tmp_path, "documents")).collect()}
+    assert got == brute(texts) and got[1][1] == 0 and got[2][1] == 20
+
+
+def test_texts_of_over_a_megabyte(spark, tmp_path):
+    r = random.Random(8)
+    words = [f"w{r.randrange(10**6)}" for _ in range(180_000)]
+    texts = [" ".join(words), "one two " + " ".join(words[5000:150_000]) + " three", "y" * 1_500_000]
+    got = {r.doc_id: tuple(r)[1:] for r in op6_substring_dedup(spark, save(documents(spark, texts), tmp_path, "documents")).collect()}
+    assert got == brute(texts) and got[1][1] == 145_000
