@@ -12,31 +12,37 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from flowlark.llm import langid, minhash, packing, repeats, toxicity
-from flowlark.llm.common import crc_mod, distinct_ids_filter, read, stored, without_ids
+from flowlark.llm.common import crc_mod, distinct_ids_filter, light_workers, read, stored, without_ids
 from flowlark.llm.queries import toxicity_model
 from flowlark.llm.tokens import public
 
 #: A document stays if its language's share is at least this.
 LEAST_SHARE = 0.5
-#: Words in a row that must not occur twice in the corpus.
-REPEAT_WORDS = 40
+#: Words in a row that must not occur twice in the corpus, as in the operator's own query.
+REPEAT_WORDS = 20
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without the documents that score 0.7 or more."""
+    """Without the documents that score 0.7 or more. Null and empty texts get the bias' score, long ones are scored whole;
+    rows that repeat an id or a text are judged each by its text; an empty table stays empty."""
+    light_workers(spark)
     model = toxicity_model(docs, read(spark, sf_dir, "labels"))
     return docs.select(COLUMNS).where(toxicity.score_column(spark, model, F.col("text")) < toxicity.THRESHOLD)
 
 
 def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without texts that have no letter, and those that are no learnt language's more than all others'."""
+    """Without texts that have no letter (null and empty ones too), and those that are no learnt language's more than all
+    others'. Long texts are read whole, repeated rows are judged each by its text; an empty table stays empty."""
+    light_workers(spark)
     model = langid.fit(docs.where(crc_mod("doc_id", 4) != 2))
     return docs.select(COLUMNS).where(langid.share_column(spark, model, F.col("text")) >= LEAST_SHARE)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group stays, and one row of those that repeat an id and its text."""
+    """The document with the smallest id of each group stays, and one row of those that repeat an id and its text.
+    Wordless texts and rows without an id stay, long texts are compared whole; an empty table stays empty."""
+    light_workers(spark)
     docs = docs.select(COLUMNS)
     found = stored(minhash.near_duplicates(docs, size=5, percent=80), "near-duplicates")
     kept = without_ids(docs, found.where("not kept").select("doc_id").distinct())
@@ -49,7 +55,10 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the passages that occur earlier in the corpus; texts without such passages stay as they are."""
+    """Texts without the passages that occur earlier in the corpus; texts without such passages stay as they are, null and
+    empty ones too, and so do rows without an id. Long texts are searched whole. Rows that repeat an id are one document
+    where their texts agree; an empty table stays empty."""
+    light_workers(spark)
 
     def rewritten(rows, kept, n_words, n_removed):
         texts = [x.decode() if gone else text for x, gone, text in zip(kept, n_removed.tolist(), rows.column("text").to_pylist(), strict=True)]
@@ -62,7 +71,9 @@ def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents, in windows of 2048 tokens."""
+    """The pieces of all documents, in windows of 2048 tokens. Null and empty texts are an end id alone, long texts fill
+    windows of their own, rows that repeat an id are packed each; an empty table gives no pieces."""
+    light_workers(spark)
     return packing.pack(docs, public("byte_bpe_50k.tiktoken"), public("byte_bpe_50k.json"))
 
 
@@ -76,6 +87,7 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages one after the other; each one's result is a table in the shared folder that the next one reads."""
     docs = read(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
