@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.expressions import finite, mapped, normalized_label
+from ..functions.storage import stored
 
 # Other spellings of columns, and their canonical names.
 ALIASES = {
@@ -65,21 +66,22 @@ def clean_names(names: list[str]) -> list[str]:
 
 
 def dense_ids(df: DataFrame, order: list[str] | None = None, name: str = "row_id") -> DataFrame:
-    """A dense number from 0 in the order of the input's partitions, without a sort: each partition's rows are counted
-    once, and a row's number is its place in its partition plus the rows of the partitions before. ``order`` sorts the
-    rows first."""
-    if order:  # a fixed number of ranges: the count and the numbering must see the same partitions
-        n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        df = df.repartitionByRange(n, *order).sortWithinPartitions(*order)
-    placed = df.withColumn("_at", F.monotonically_increasing_id())
+    """A dense number from 0 in the order of the input's partitions and rows; ``order`` sorts the rows first, over the
+    whole table. Rows that tie in ``order`` are numbered in any order among themselves.
+
+    The rows are written once, each with its partition and its place there; counts and numbers are both taken from that
+    table, since a plan that ran twice could cut or order its partitions another way. The driver gets a count a partition.
+    """
+    if order:
+        df = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    placed = stored(df.withColumn("_at", F.monotonically_increasing_id()), "placed-rows")
     part, place = F.shiftright("_at", 33), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
-    sizes = sorted(placed.groupBy(part.alias("p")).count().collect())
     starts, total = [], 0
-    for p, n in sizes:
+    for p, n in sorted(placed.groupBy(part.alias("p")).count().collect()):
         starts.append((p, total))
         total += n
-    table = df.sparkSession.createDataFrame(starts or [(0, 0)], "p long, start long")
-    return placed.join(F.broadcast(table), part == F.col("p")).withColumn(name, F.col("start") + place).drop("_at", "p", "start")
+    table = df.sparkSession.createDataFrame(starts or [(0, 0)], "_part long, _start long")
+    return placed.join(F.broadcast(table), part == F.col("_part")).withColumn(name, F.col("_start") + place).drop("_at", "_part", "_start")
 
 
 def parse_timestamps(df: DataFrame, column: str = "timestamp") -> DataFrame:
@@ -147,7 +149,7 @@ def constant_columns(df: DataFrame, columns: list[str]) -> list[str]:
 
 
 def column_schema(df: DataFrame) -> dict:
-    """What each column is for: features (numeric and other), and those that are dropped as leakage or as constant."""
+    """What each column is for (fixed values: the keys, which are a file's contract): features (numeric and other), and those that are dropped as leakage or as constant."""
     leakage = [c for c in df.columns if c in LEAKAGE]
     candidates = [c for c in df.columns if c not in KEPT_APART and c not in leakage]
     constant = constant_columns(df, candidates)

@@ -96,6 +96,16 @@ def exact_quantiles(df: DataFrame, columns: list[str], shares: list[float], erro
     return out
 
 
+def reconstruction_statistics(df: DataFrame, score: str = "memory_score", y: str = "y") -> DataFrame:
+    """One row about a reconstruction score: n, positive_rate, mean, spread (population) and exact p50, p90, p95, p99."""
+    shares = (0.5, 0.9, 0.95, 0.99)
+    found = exact_quantiles(df, [score], list(shares))[0] or [None] * len(shares)
+    return df.agg(
+        F.count(F.lit(1)).alias("n"), F.avg(y).alias("positive_rate"), F.avg(score).alias("mean"), F.stddev_pop(score).alias("spread"),
+        *[F.lit(x).cast("double").alias(f"p{100 * p:.0f}") for p, x in zip(shares, found, strict=True)],
+    )
+
+
 def threshold_curve(df: DataFrame, score: str = "score", y: str = "y") -> DataFrame:
     """For each distinct score as a threshold: tp and fp at it, and the numbers of positives and negatives."""
     each = df.groupBy(F.col(score).cast("double").alias("threshold")).agg(

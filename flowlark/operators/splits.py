@@ -70,11 +70,11 @@ def _family_shares(sizes: dict[int, int], benign: bool, ratios: tuple[float, ...
     groups = sum(sizes.values())
     if groups == 1:
         dealt = {n: {"train": 1} for n in sizes}
-    elif groups == 2 and not benign:
-        heavy, light = max(sizes), min(sizes)
-        dealt = {heavy: {"train": 1, "val": 1}} if heavy == light else {heavy: {"train": 1}, light: {"val": 1}}
     else:
         dealt = deal_sizes(sizes, shares)
+        if groups == 2 and not benign and not any(d.get("train") for d in dealt.values()):
+            heavy, light = max(sizes), min(sizes)
+            dealt = {heavy: {"train": 1, "val": 1}} if heavy == light else {heavy: {"train": 1}, light: {"val": 1}}
     mine = {n: d["train"] for n, d in dealt.items() if d.get("train")}
     if sum(mine.values()) >= 2 and selection:
         kept = deal_sizes(mine, {"train": 1 - selection, "model_selection_val": selection})

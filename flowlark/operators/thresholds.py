@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .metrics import at_thresholds, confusion, exact_quantiles, fpr_drift, running_totals, with_rates
+from .metrics import at_thresholds, exact_quantiles, fpr_drift, reached, running_totals, with_rates
 
 BUDGETS = (0.001, 0.005, 0.01, 0.02, 0.05)
 JITTER = 1e-7
@@ -77,29 +77,53 @@ def budget_grid(df: DataFrame, budgets=BUDGETS, score: str = "score", mode: str
     return table.join(at_thresholds(df, [c["threshold"] for c in cuts], ["split"], score), "threshold")
 
 
-def either_grid(df: DataFrame, budgets=BUDGETS, steps: int = 11, first: str = "tree_score", second: str = "memory_score", mode: str = "val_only") -> DataFrame:
+def either_grid(df: DataFrame, budgets=BUDGETS, steps: int = 11, first: str = "tree_score", second: str = "memory_score", mode: str = "val_only", y: str = "y", family: str = "family") -> DataFrame:
     """Two scores joined by OR: each budget is dealt between them in ``steps`` ways; a row per way and split.
 
-    Thresholds are taken once for each distinct share. A row of the data is counted for each pair of thresholds by one
-    sum, so the grid is as many columns of one aggregation, not rows.
+    Thresholds are taken once for each distinct share. Rows of the data are counted by split and by the last threshold of
+    either score that they reach, in one aggregation; a way's counts are sums over these cells, which are few.
     """
     pool = benign_pool(df, mode)
     ways = [(b, k / (steps - 1), b * k / (steps - 1), b - b * k / (steps - 1)) for b in budgets for k in range(steps)]
-    cut: dict[tuple[str, float], dict] = {}
+    found: dict[str, dict[float, dict]] = {}
     for name, place in ((first, 2), (second, 3)):
-        shares = sorted({w[place] for w in ways})
-        cuts = thresholds_for_fpr(pool, [max(0.0, x) for x in shares], name)
-        cut |= {(name, x): c for x, c in zip(shares, cuts, strict=True)}
-    sums, rows = [], []
+        shares = sorted({max(0.0, w[place]) for w in ways})
+        found[name] = dict(zip(shares, thresholds_for_fpr(pool, shares, name), strict=True))
+    cuts = {name: sorted({float(c["threshold"]) for c in cut.values()}) for name, cut in found.items()}
+    rows = []
     for k, (b, r, x, m) in enumerate(ways):
-        a, c = cut[first, x], cut[second, m]
-        pred = (F.col(first) >= a["threshold"]) | (F.col(second) >= c["threshold"])
-        sums.append(F.struct(F.lit(k).alias("grid_index"), *confusion(pred)))
-        rows.append((k, "or_fusion", b, r, a["threshold"], c["threshold"], a["calibration_fpr"] + c["calibration_fpr"]))
-    spark = df.sparkSession
-    table = spark.createDataFrame(rows, "grid_index int, model_name string, target_fpr double, ratio double, first_threshold double, second_threshold double, calibration_fpr double")
-    counts = df.groupBy("split").agg(F.array(*sums).alias("g")).select("split", F.inline("g"))
-    return table.join(with_rates(counts), "grid_index")
+        a, c = found[first][max(0.0, x)], found[second][max(0.0, m)]
+        places = [cuts[n].index(float(t["threshold"])) + 1 for n, t in ((first, a), (second, c))]
+        rows.append((k, "or_fusion", b, r, a["threshold"], c["threshold"], a["calibration_fpr"] + c["calibration_fpr"], *places))
+    schema = "grid_index int, model_name string, target_fpr double, ratio double, first_threshold double, second_threshold double, calibration_fpr double, _first int, _second int"
+    table = df.sparkSession.createDataFrame(rows, schema)
+    flags = {"real": F.col(y) == 1, "other": F.col(y) != 1, "attack": F.col(family) != "benign"}
+    cells = df.groupBy("split", reached(F.col(first), cuts[first]).alias("_i"), reached(F.col(second), cuts[second]).alias("_j"))
+    cells = cells.agg(*[F.sum(v.cast("long")).alias(k) for k, v in flags.items()])
+    pred = (F.col("_i") >= F.col("_first")) | (F.col("_j") >= F.col("_second"))
+    total = lambda c, when, name: F.coalesce(F.sum(F.when(when, F.col(c))), F.lit(0)).alias(name)
+    counts = cells.crossJoin(F.broadcast(table)).groupBy("grid_index", "split").agg(
+        total("real", pred, "tp"), total("other", pred, "fp"), total("other", ~pred, "tn"), total("real", ~pred, "fn"),
+        F.coalesce(F.sum("attack"), F.lit(0)).alias("attacks"), total("attack", pred, "attacks_hit"),
+    )
+    return table.drop("_first", "_second").join(with_rates(counts), "grid_index")
+
+
+def fusion_grid(df: DataFrame, budgets=BUDGETS, score: str = "fusion_score", mode: str = "val_only") -> DataFrame:
+    """The fused score's rows of the grid, numbered like those of the others."""
+    grid = budget_grid(df, budgets, score, mode, "logistic_fusion")
+    place = {b: k for k, b in enumerate(budgets)}
+    number = F.coalesce(*[F.when(F.col("target_fpr") == b, F.lit(k)) for b, k in place.items()])
+    return grid.withColumn("grid_index", number)
+
+
+def flattened(rows: DataFrame) -> DataFrame:
+    """Candidates with their structs as columns <split>_<metric>, as reports and CSV files need them."""
+    flat = []
+    for f in rows.schema.fields:
+        inner = getattr(f.dataType, "fieldNames", None)
+        flat += [F.col(f"{f.name}.{x}").alias(f"{f.name}_{x}") for x in inner()] if inner else [F.col(f.name)]
+    return rows.select(*flat)
 
 
 def candidates(grid: DataFrame, keys: list[str], validation: str = "val") -> DataFrame:

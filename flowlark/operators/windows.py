@@ -4,16 +4,20 @@ Every feature of a row looks back from that row in its group: over the last W ro
 the last S whole seconds (``TimeFrame``), the row itself included and later rows of the same second left out.
 
 How it runs. One shuffle brings each group together; all windows share it. A hot group is split into blocks of
-consecutive rows, each with the earlier rows that its frames look back to (``_in_blocks``). Row frames cost the same for any W: sums
-are differences of running sums, distinct counts and entropies are running sums of what enters and leaves the frame.
-Time frames are RANGE frames over a key that is unique in the group (second * 2**21 + place within the second), so peers
-of the same second need no special case. Largest frequencies have no running form and collect their frame.
+consecutive rows, each with the earlier rows that its frames look back to (``_in_blocks``). A row costs the same whatever its
+frames hold: sums and counts are differences of running sums, distinct counts and entropies are running sums of what
+enters and leaves the frame. A running sum's part before a time frame ends at a whole second, so rows of one second,
+however many, need no special case. Largest frequencies have no such sum: one pass over the sorted rows keeps each
+frame's counts in Arrow batches (``_with_top_shares``).
 """
 
 from __future__ import annotations
 
+from collections import defaultdict, deque
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -22,8 +26,6 @@ from pyspark.sql import types as T
 from ..functions.config import recipe, required_columns
 from ..functions.expressions import f_log_f
 
-SECOND = 1 << 21
-MOST_PEERS = 1 << 20
 #: A group is hot if it has more than HOT_ROWS rows and more than 1 / HOT_GROUPS of all rows: HOT_GROUPS groups at most.
 HOT_ROWS, HOT_GROUPS = 1 << 21, 4096
 #: Bins of time that a hot group's rows are counted in, for each block's worth of rows.
@@ -38,13 +40,19 @@ class Frame:
     A helper of a stage may use those of earlier stages, since a window function can't hold another one.
     """
 
-    def __init__(self, group: list[str], size: int, stages: list[dict[str, Column]]):
-        self.group, self.size, self.stages = group, size, stages
+    def __init__(self, group: list[str], size: int, stages: list[dict[str, Column]], tops: dict[str, tuple[str, str, int]]):
+        self.group, self.size, self.stages, self.tops = group, size, stages, tops
 
     def helper(self, stage: int, name: str, value: Column) -> Column:
         self.stages[stage].setdefault(name, value)
         return F.col(name)
 
+    def top_share(self, value: str) -> Column:
+        """The share of the frame's most frequent value, from the last pass over the rows."""
+        name = f"_top{value}_{self.tag}"
+        self.tops[name] = (value, self.tag[0], self.size)
+        return F.col(name)
+
     def share(self, x: Column) -> Column:
         return x / F.greatest(self.n, F.lit(1.0))
 
@@ -58,10 +66,6 @@ class Frame:
         return F.when(self.n <= 1, F.lit(0.0)).otherwise(F.greatest(F.lit(0.0), F.log2(self.n) - spread / self.n))
 
 
-def _frequencies(values: Column) -> Column:
-    return F.transform(F.array_distinct(values), lambda v: F.size(F.filter(values, lambda x: x == v)).cast("double"))
-
-
 class RowsFrame(Frame):
     """The last ``size`` rows."""
 
@@ -103,40 +107,104 @@ class RowsFrame(Frame):
         change = f_log_f(into) - f_log_f(into - 1) + F.coalesce(lost, F.lit(0.0))
         return self._entropy(self.helper(2, f"_ent{value}_{self.tag}", F.sum(change).over(self._ordered().rowsBetween(W.unboundedPreceding, 0))))
 
-    def most_frequent(self, value: str) -> Column:
-        held = self.helper(0, f"_all{value}_{self.tag}", F.collect_list(value).over(self._ordered().rowsBetween(-(self.size - 1), 0)))
-        return F.array_max(_frequencies(held))
-
 
 class TimeFrame(Frame):
-    """The rows of the last ``size`` seconds, up to the row itself; a row just ``size`` seconds old is in."""
+    """The rows of the last ``size`` seconds, up to the row itself; a row just ``size`` seconds old is in.
+
+    What left the frame is whatever lies ``size`` + 1 seconds back or more: a RANGE from the group's beginning, which only
+    grows from row to row.
+    """
 
     tag = property(lambda self: f"t{self.size}")
 
-    def _over(self, *values: str):
-        return W.partitionBy(*self.group, *values).orderBy("_k").rangeBetween(-(self.size * SECOND + MOST_PEERS - 1), 0)
+    def _so_far(self, *values: str):
+        return W.partitionBy(*self.group, *values).orderBy("_rn").rowsBetween(W.unboundedPreceding, 0)
+
+    def _left(self, *values: str):
+        return W.partitionBy(*self.group, *values).orderBy("_t").rangeBetween(W.unboundedPreceding, -(self.size + 1))
+
+    def _own(self, value: str):
+        return W.partitionBy(*self.group, value)
 
     @property
     def n(self) -> Column:
         return self.count_of()
 
     def total(self, x: str) -> Column:
-        return self.helper(0, f"_sum{x}_{self.tag}", F.sum(F.col(x).cast("double")).over(self._over()))
+        running = self.helper(0, f"_sum{x}", F.sum(F.col(x).cast("double")).over(self._so_far()))
+        return running - F.coalesce(self.helper(0, f"_gone{x}_{self.tag}", F.sum(F.col(x).cast("double")).over(self._left())), F.lit(0.0))
 
     def count_of(self, *values: str) -> Column:
-        return self.helper(0, f"_cnt{''.join(values)}_{self.tag}", F.count(F.lit(1)).over(self._over(*values)).cast("double"))
+        running = self.helper(0, f"_upto{''.join(values)}", F.count(F.lit(1)).over(self._so_far(*values)))
+        return (running - self.helper(0, f"_past{''.join(values)}_{self.tag}", F.count(F.lit(1)).over(self._left(*values)))).cast("double")
 
     def distinct(self, value: str) -> Column:
-        return self.helper(0, f"_dst{value}_{self.tag}", F.size(F.collect_set(value).over(self._over())).cast("double"))
-
-    def _held(self, value: str) -> Column:
-        return self.helper(0, f"_all{value}_{self.tag}", F.collect_list(value).over(self._over()))
+        """A value enters with a row that finds it in no frame, and leaves with the last row before a pause in it."""
+        own = self._own(value).orderBy("_rn")
+        before, after = self.helper(0, f"_since{value}", F.lag("_t").over(own)), self.helper(0, f"_until{value}", F.lead("_t").over(own))
+        new = F.coalesce(F.col("_t") - before > self.size, F.lit(True)).cast("int")
+        lost = F.coalesce(after - F.col("_t") > self.size, F.lit(True)).cast("int")
+        came = self.helper(1, f"_came{value}_{self.tag}", F.sum(new).over(self._so_far()))
+        return (came - F.coalesce(self.helper(1, f"_went{value}_{self.tag}", F.sum(lost).over(self._left())), F.lit(0))).cast("double")
 
     def entropy(self, value: str) -> Column:
-        return self._entropy(F.aggregate(_frequencies(self._held(value)), F.lit(0.0), lambda a, f: a + f * F.log2(f)))
-
-    def most_frequent(self, value: str) -> Column:
-        return F.array_max(_frequencies(self._held(value)))
+        """The sum of f * log2 f changes by what an entering row adds and a leaving one takes away. A leaving row is the
+        oldest of its value; it meets the rows that came with it or up to ``size`` seconds after it."""
+        into = self.count_of(value)
+        until = self.helper(0, f"_meet{value}_{self.tag}", F.count(F.lit(1)).over(self._own(value).orderBy("_t").rangeBetween(W.unboundedPreceding, self.size)))
+        out = until - F.col(f"_upto{value}") + 1
+        came = self.helper(1, f"_fcame{value}_{self.tag}", F.sum(f_log_f(into) - f_log_f(into - 1)).over(self._so_far()))
+        went = self.helper(1, f"_fwent{value}_{self.tag}", F.sum(f_log_f(out) - f_log_f(out - 1)).over(self._left()))
+        return self._entropy(came - F.coalesce(went, F.lit(0.0)))
+
+
+def _top_share(kind: str, size: int):
+    """A function from the next row's (place, second, value) to the share of the most frequent value in its frame. It keeps
+    the frame's rows, the count of each value and how many values have each count, so a row costs the same whatever the
+    frame holds. Place 1 begins a group."""
+    rows, held, having, top = deque(), defaultdict(int), defaultdict(int), 0
+
+    def step(place: int, second: int, value: str) -> float:
+        nonlocal top
+        if place == 1:
+            rows.clear()
+            held.clear()
+            having.clear()
+            top = 0
+        rows.append((second, value))
+        n = held[value] = held[value] + 1
+        having[n] += 1
+        having[n - 1] -= 1
+        top = max(top, n)
+        while len(rows) > size if kind == "r" else rows[0][0] < second - size:
+            _, old = rows.popleft()
+            n = held[old]
+            having[n] -= 1
+            having[n - 1] += 1
+            if n == top and not having[n]:
+                top -= 1
+            if n == 1:
+                del held[old]
+            else:
+                held[old] = n - 1
+        return top / len(rows)
+
+    return step
+
+
+def _with_top_shares(df: DataFrame, group: list[str], tops: dict[str, tuple[str, str, int]]) -> DataFrame:
+    """``df`` with the shares of the frames' most frequent values, from one pass over the rows in their order. A group's
+    rows are in one partition before, so this sorts but doesn't shuffle."""
+    schema = T.StructType([*df.schema.fields, *[T.StructField(name, T.DoubleType()) for name in tops]])
+
+    def run(batches):
+        steps = [(value, _top_share(kind, size)) for value, kind, size in tops.values()]
+        for batch in batches:
+            at = {c: batch.column(batch.schema.get_field_index(c)).to_pylist() for c in {"_rn", "_t", *(value for value, _ in steps)}}
+            made = [pa.array(map(step, at["_rn"], at["_t"], at[value]), pa.float64()) for value, step in steps]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *made], [*batch.schema.names, *tops])
+
+    return df.sortWithinPartitions(*group, "_rn").mapInArrow(run, schema)
 
 
 def _flag_ratio(f: Frame, flag: str) -> Column:
@@ -145,6 +213,10 @@ def _flag_ratio(f: Frame, flag: str) -> Column:
     return f.total(f"_{flag}") / base
 
 
+def _top_share_of_address(f: Frame) -> Column:
+    return f.top_share("_di")
+
+
 #: Features in their order: the name without its size, the switches that must all be on, where they exist (r: row
 #: frames, t: time frames), and the value. The order is a contract; names are listed here and nowhere else.
 FEATURES = (
@@ -181,9 +253,9 @@ FEATURES = (
     ("inter_arrival_regularity", "timing_regularity", "rt", lambda f: f.inter_arrival()[1]),
     ("beaconing_score", "beaconing_detection", "r", lambda f: f.inter_arrival()[1] * f.n / max(f.size, 1)),
     ("dest_ip_entropy", "dest_concentration", "rt", lambda f: f.entropy("_di")),
-    ("single_dest_ratio", "dest_concentration", "rt", lambda f: f.share(f.most_frequent("_di"))),
+    ("single_dest_ratio", "dest_concentration", "rt", _top_share_of_address),
     ("port_per_dest_ip", "dest_concentration", "rt", lambda f: f.distinct("_dp") / F.greatest(f.distinct("_di"), F.lit(1.0))),
-    ("dest_ip_concentration", "beaconing_detection", "t", lambda f: f.share(f.most_frequent("_di"))),
+    ("dest_ip_concentration", "beaconing_detection", "t", _top_share_of_address),
 )
 
 
@@ -301,7 +373,7 @@ def _whole(group: list[str]) -> Column:
 
 
 def prelude(df: DataFrame, cfg: dict) -> DataFrame:
-    """The helper columns that all frames build on: position, second, unique time key, values and indicators.
+    """The helper columns that all frames build on: position, second, values and indicators.
 
     Times are whole seconds. Missing ones take the last known time of the group, else the next, else the position.
     """
@@ -327,9 +399,8 @@ def prelude(df: DataFrame, cfg: dict) -> DataFrame:
     by_place = W.partitionBy(*group).orderBy("_rn")
     ahead, behind = by_place.rowsBetween(W.unboundedPreceding, 0), by_place.rowsBetween(0, W.unboundedFollowing)
     df = df.withColumn("_t", F.coalesce(F.last("_ts", True).over(ahead), F.first("_ts", True).over(behind), F.col("_rn") - 1))
-    peer = F.row_number().over(W.partitionBy(*group, "_t").orderBy("_rn")) - 1
     lag = lambda c: F.lag(c).over(by_place)
-    df = df.withColumns({"_peer": peer, "_gap": F.coalesce(F.col("_t") - lag("_t"), F.lit(0)).cast("double"), "_was": lag("_dp")})
+    df = df.withColumns({"_gap": F.coalesce(F.col("_t") - lag("_t"), F.lit(0)).cast("double"), "_was": lag("_dp")})
     short = (F.col("_packets") <= cfg["short_flow_packet_threshold"]).cast("double")
     small = (F.col("_bytes") <= cfg["small_flow_byte_threshold"]).cast("double")
     yes = lambda x: F.coalesce(x, F.lit(False)).cast("double")
@@ -337,7 +408,6 @@ def prelude(df: DataFrame, cfg: dict) -> DataFrame:
     flags = all(map(has, cfg["flag_columns"].values()))
     return df.withColumns(
         {
-            "_k": F.when(F.col("_peer") < MOST_PEERS, F.col("_t") * SECOND + F.col("_peer")).otherwise(F.raise_error(F.lit("more than 2**20 rows of a group in one second")).cast("long")),
             "_gap2": F.col("_gap") * F.col("_gap"),
             "_quick": ((F.col("_rn") > 1) & (F.col("_gap") <= cfg["burst_gap_seconds"])).cast("double"),
             "_switch": yes(F.col("_dp") != F.col("_was")),
@@ -367,15 +437,23 @@ def add_window_features(df: DataFrame, changes: dict | None = None, kind: str =
     df = _in_blocks(df, cfg)
     cfg["group_by"] = [*cfg["group_by"], "_block"]
     stages: list[dict[str, Column]] = [{}, {}, {}]
+    tops: dict[str, tuple[str, str, int]] = {}
     values: dict[str, Column] = {}
     for name, frame, size, value in _frame_features(cfg):
-        values[name] = value((RowsFrame if frame == "r" else TimeFrame)(cfg["group_by"], size, stages))
+        values[name] = value((RowsFrame if frame == "r" else TimeFrame)(cfg["group_by"], size, stages, tops))
     out = prelude(df, cfg)
     for stage in stages:
         out = out.withColumns(stage) if stage else out
-    sliding = [F.when(whole, v).otherwise(F.lit(0.0)).cast(kind).alias(name) for name, v in values.items()]
     context = [v.cast(kind).alias(name) for name, v in context_features(cfg).items()]
-    return out.where("_own").select(*columns, *context, *sliding)
+    sliding = {name: F.when(whole, v).otherwise(F.lit(0.0)).cast(kind).alias(name) for name, v in values.items()}
+    if tops:
+        # What the last pass doesn't give is worked out before it, so that only results go through it.
+        late = [name for name, _, _, value in _frame_features(cfg) if value is _top_share_of_address]
+        early = [v for name, v in sliding.items() if name not in late]
+        needed = dict.fromkeys(["_own", "_block", "_rn", "_t", *(value for value, _, _ in tops.values())])
+        out = _with_top_shares(out.select(*columns, *needed, *context, *early), cfg["group_by"], tops)
+        context, sliding = [F.col(name) for name in context_features(cfg)], {name: v if name in late else F.col(name) for name, v in sliding.items()}
+    return out.where("_own").select(*columns, *context, *sliding.values())
 
 
 #: Which splits' rows a split's windows may see, under the causal scope (fixed values).

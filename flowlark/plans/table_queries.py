@@ -63,15 +63,27 @@ def duplicate_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleaning.drop_duplicate_rows(df)
 
 
-@query(f"""{_FLOWS} SELECT 'destination_port' AS "column", count(*) FILTER (destination_port IS NULL) AS nulls FROM f
- UNION ALL SELECT 'total_backward_packets', count(*) FILTER (total_backward_packets IS NULL) FROM f""")
+_FLOW_COLUMNS = (
+    "row_id", "source_file", "source_ip", "destination_ip", "source_port", "destination_port", "timestamp", "syn_flag_count", "ack_flag_count", "rst_flag_count",
+    "fin_flag_count", "total_fwd_packets", "total_backward_packets", "total_length_of_fwd_packets", "total_length_of_bwd_packets", "protocol", "attack_family",
+)
+
+
+@query(f"{_FLOWS} " + " UNION ALL ".join(f"""SELECT '{c}' AS "column", count(*) FILTER ("{c}" IS NULL) AS nulls FROM f HAVING count(*) FILTER ("{c}" IS NULL) > 0""" for c in _FLOW_COLUMNS))
 def null_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleaning.null_counts(view(spark, sf_dir, EVENT_FLOWS))
 
 
-@query(f"""{_FLOWS} SELECT * FROM (VALUES ('protocol', 'constant'), ('destination_ip', 'leakage'), ('destination_port', 'leakage'), ('source_ip', 'leakage'),
- ('source_port', 'leakage'), ('timestamp', 'leakage'), ('ack_flag_count', 'numeric'), ('fin_flag_count', 'numeric'), ('rst_flag_count', 'numeric'), ('syn_flag_count', 'numeric'),
- ('total_backward_packets', 'numeric'), ('total_fwd_packets', 'numeric'), ('total_length_of_bwd_packets', 'numeric'), ('total_length_of_fwd_packets', 'numeric')) AS t("column", role)""")
+def _roles_sql() -> str:
+    """A column's role from its values: one distinct value (null is one) is constant, else numbers are numeric."""
+    role = lambda c: (
+        "any_value('leakage')" if c in cleaning.LEAKAGE else
+        f"""CASE WHEN count(DISTINCT "{c}") + CAST(count(*) > count("{c}") AS INT) <= 1 THEN 'constant' WHEN any_value(typeof("{c}")) IN ('INTEGER', 'BIGINT', 'DOUBLE') THEN 'numeric' ELSE 'other' END"""
+    )
+    return f"{_FLOWS} " + " UNION ALL ".join(f"""SELECT '{c}' AS "column", {role(c)} AS role FROM f""" for c in _FLOW_COLUMNS if c not in cleaning.KEPT_APART)
+
+
+@query(_roles_sql())
 def column_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = cleaning.column_schema(view(spark, sf_dir, EVENT_FLOWS))
     roles = [(c, "leakage" if c in cleaning.LEAKAGE else "constant") for c in schema["dropped_columns"]]
@@ -237,14 +249,14 @@ def cross_family_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select(F.col("split").alias("experiment"), "metric", F.round("value", 9).alias("value"))
 
 
-@query("""WITH g AS (SELECT p_partkey AS feature, CAST(p_size AS DOUBLE) AS gain FROM part WHERE p_partkey < 500), b(block, lo, hi) AS (VALUES ('first', 0, 1), ('second', 1, 201), ('third', 201, 500))
+@query("""WITH g AS (SELECT p_partkey % 500 AS feature, CAST(sum(p_size) AS DOUBLE) AS gain FROM part GROUP BY 1), b(block, lo, hi) AS (VALUES ('first', 0, 1), ('second', 1, 201), ('third', 201, 500))
  SELECT block, sum(gain) AS gain, count(*) AS features, round(sum(gain) / sum(sum(gain)) OVER (), 9) AS share FROM g JOIN b ON feature >= lo AND feature < hi GROUP BY block""")
 def feature_block_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
-    gains = table(spark, sf_dir, "part").where("p_partkey < 500").select(F.col("p_partkey").alias("feature"), F.col("p_size").cast("double").alias("gain"))
+    gains = table(spark, sf_dir, "part").groupBy((F.col("p_partkey") % 500).alias("feature")).agg(F.sum("p_size").cast("double").alias("gain"))
     return _rounded(metrics.feature_block_shares(gains, [("first", 1), ("second", 200), ("third", 299)]), "share")
 
 
-# The same over the whole table: the last block ends with the last part.
+# The same with a feature for each part: the last block ends with the last part.
 @query("""WITH g AS (SELECT p_partkey AS feature, CAST(p_size AS DOUBLE) AS gain FROM part),
  b AS (SELECT 'first' AS block, 0 AS lo, 1 AS hi UNION ALL SELECT 'second', 1, 201 UNION ALL SELECT 'third', 201, max(p_partkey) + 1 FROM part)
  SELECT block, sum(gain) AS gain, count(*) AS features, round(sum(gain) / sum(sum(gain)) OVER (), 9) AS share FROM g JOIN b ON feature >= lo AND feature < hi GROUP BY block""")
@@ -263,67 +275,81 @@ def top_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _threshold_sql(budget: float, score: str = "score") -> str:
-    """Threshold and share of a budget over the benign rows of val, as one row."""
-    return f"""(SELECT min({score}) AS threshold, max(f) AS fpr FROM (SELECT {score}, sum(count(*)) OVER (ORDER BY {score} DESC) / sum(count(*)) OVER () AS f
-     FROM s WHERE split = 'val' AND family = 'benign' GROUP BY {score}) WHERE f <= {budget!r})"""
+    """Threshold and share of a budget over the benign rows of val, as one row: the number after the largest score where
+    no score is rare enough."""
+    pool = "FROM s WHERE split = 'val' AND family = 'benign'"
+    return f"""(SELECT coalesce(min({score}) FILTER (f <= {budget!r} AND {budget!r} > 0), (SELECT nextafter(max({score}), 'infinity'::DOUBLE) {pool})) AS threshold,
+     coalesce(max(f) FILTER (f <= {budget!r} AND {budget!r} > 0), 0.0) AS fpr FROM (SELECT {score}, sum(count(*)) OVER (ORDER BY {score} DESC) / sum(count(*)) OVER () AS f {pool} GROUP BY {score}))"""
 
 
 @query(
     f"{_SCORES} "
     + " UNION ALL ".join(
-        f"SELECT CAST({b!r} AS DOUBLE) AS target_fpr, round(threshold, 9) AS threshold, round(fpr, 9) AS calibration_fpr FROM {_threshold_sql(b)}" for b in thresholds.BUDGETS if b >= 0.005
+        f"SELECT CAST({b!r} AS DOUBLE) AS target_fpr, round(threshold, 9) AS threshold, round(fpr, 9) AS calibration_fpr FROM {_threshold_sql(b)}" for b in thresholds.BUDGETS
     )
 )
 def budget_thresholds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pool = thresholds.benign_pool(scores(spark, sf_dir))
-    cuts = thresholds.thresholds_for_fpr(pool, [b for b in thresholds.BUDGETS if b >= 0.005])
+    cuts = thresholds.thresholds_for_fpr(thresholds.benign_pool(scores(spark, sf_dir)), list(thresholds.BUDGETS))
     rows = [(c["target_fpr"], round(c["threshold"], 9), round(c["calibration_fpr"], 9)) for c in cuts]
     return spark.createDataFrame(rows, "target_fpr double, threshold double, calibration_fpr double")
 
 
 @query(
     f"{_SCORES}, t AS ("
-    + " UNION ALL ".join(f"SELECT CAST({b!r} AS DOUBLE) AS target_fpr, threshold, fpr AS calibration_fpr FROM {_threshold_sql(b)}" for b in (0.01, 0.02, 0.05))
+    + " UNION ALL ".join(f"SELECT CAST({b!r} AS DOUBLE) AS target_fpr, threshold, fpr AS calibration_fpr FROM {_threshold_sql(b)}" for b in thresholds.BUDGETS)
     + f"), c AS (SELECT target_fpr, threshold, calibration_fpr, split, {_confusion_sql('score >= threshold')} FROM s, t GROUP BY ALL) SELECT 'model' AS model_name, target_fpr, round(threshold, 9) AS threshold, round(calibration_fpr, 9) AS calibration_fpr, split, {_RATES} FROM c"
 )
 def single_model_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(thresholds.budget_grid(scores(spark, sf_dir), (0.01, 0.02, 0.05)), *metrics.RATES, "threshold", "calibration_fpr")
+    return _rounded(thresholds.budget_grid(scores(spark, sf_dir)), *metrics.RATES, "threshold", "calibration_fpr")
+
+
+@query(
+    f"{_SCORES}, t AS ("
+    + " UNION ALL ".join(f"SELECT {k} AS grid_index, CAST({b!r} AS DOUBLE) AS target_fpr, threshold, fpr AS calibration_fpr FROM {_threshold_sql(b, 'memory_score')}" for k, b in enumerate(thresholds.BUDGETS))
+    + f"), c AS (SELECT grid_index, target_fpr, threshold, calibration_fpr, split, {_confusion_sql('memory_score >= threshold')} FROM s, t GROUP BY ALL) SELECT 'logistic_fusion' AS model_name, grid_index, target_fpr, round(threshold, 9) AS threshold, round(calibration_fpr, 9) AS calibration_fpr, split, {_RATES} FROM c"
+)
+def logistic_fusion_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(thresholds.fusion_grid(scores(spark, sf_dir), score="memory_score"), *metrics.RATES, "threshold", "calibration_fpr")
 
 
-_WAYS = [(b, k / 4, b * k / 4, b - b * k / 4) for b in (0.02, 0.05) for k in range(5)]
+def _ways(steps: int) -> list[tuple[float, float, float, float]]:
+    return [(b, k / (steps - 1), b * k / (steps - 1), b - b * k / (steps - 1)) for b in thresholds.BUDGETS for k in range(steps)]
 
 
-def _either_sql() -> str:
-    cut = lambda share, score: (
-        f"(SELECT max({score}) + 1 AS threshold, 0.0 AS fpr FROM s WHERE split = 'val' AND family = 'benign')" if share == 0 else _threshold_sql(share, score)
+def _either_sql(steps: int) -> str:
+    """Every budget dealt between two scores in ``steps`` ways, none and all of it to either one included."""
+    ways = _ways(steps)
+    tables = {n: sorted({max(0.0, w[k]) for w in ways}) for n, k in (("score", 2), ("memory_score", 3))}
+    cuts = ", ".join(
+        f"{name[0]}_cut AS (" + " UNION ALL ".join(f"SELECT {k} AS k, * FROM {_threshold_sql(x, name)}" for k, x in enumerate(shares)) + ")"
+        for name, shares in tables.items()
     )
-    rows = " UNION ALL ".join(
-        f"SELECT {k} AS grid_index, CAST({b!r} AS DOUBLE) AS target_fpr, CAST({r!r} AS DOUBLE) AS ratio, a.threshold AS ta, c.threshold AS tc, a.fpr + c.fpr AS calibration_fpr FROM {cut(x, 'score')} AS a, {cut(m, 'memory_score')} AS c"
-        for k, (b, r, x, m) in enumerate(_WAYS)
-    )
-    return f"""{_SCORES}, t AS ({rows}), c AS (SELECT grid_index, target_fpr, ratio, calibration_fpr, split, {_confusion_sql('(score >= ta OR memory_score >= tc)')} FROM s, t GROUP BY ALL)"""
+    at = lambda name, x: tables[name].index(max(0.0, x))
+    rows = ", ".join(f"({k}, {b!r}::DOUBLE, {r!r}::DOUBLE, {at('score', x)}, {at('memory_score', m)})" for k, (b, r, x, m) in enumerate(ways))
+    return f"""{_SCORES}, {cuts}, ways(grid_index, target_fpr, ratio, ka, kc) AS (VALUES {rows}),
+ t AS (SELECT grid_index, target_fpr, ratio, a.threshold AS ta, c.threshold AS tc, a.fpr + c.fpr AS calibration_fpr FROM ways JOIN s_cut AS a ON a.k = ka JOIN m_cut AS c ON c.k = kc),
+ c AS (SELECT grid_index, target_fpr, ratio, calibration_fpr, split, {_confusion_sql('(score >= ta OR memory_score >= tc)')} FROM s, t GROUP BY ALL)"""
 
 
-def either_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(thresholds.either_grid(scores(spark, sf_dir), (0.02, 0.05), 5, "score", "memory_score"))
+def either_rows(spark: SparkSession, sf_dir: str, steps: int = 11) -> DataFrame:
+    return _rounded(thresholds.either_grid(scores(spark, sf_dir), steps=steps, first="score", second="memory_score"))
 
 
-# A budget of 0 is a threshold beyond all benign scores of val; rows between the largest of them and it are none here.
-@query(f"{_either_sql()} SELECT grid_index, target_fpr, ratio, round(calibration_fpr, 9) AS calibration_fpr, split, {_RATES} FROM c WHERE ratio > 0 AND ratio < 1")
+@query(f"{_either_sql(11)} SELECT grid_index, target_fpr, ratio, round(calibration_fpr, 9) AS calibration_fpr, split, {_RATES} FROM c")
 def either_of_two_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = either_rows(spark, sf_dir).where("ratio > 0 and ratio < 1")
+    df = either_rows(spark, sf_dir)
     return df.select("grid_index", "target_fpr", "ratio", F.round("calibration_fpr", 9).alias("calibration_fpr"), "split", "tp", "fp", "tn", "fn", "attacks", "attacks_hit", *metrics.RATES)
 
 
-_INNER = f"{_either_sql()}, r AS (SELECT grid_index, target_fpr, ratio, calibration_fpr, split, {_RATES} FROM c WHERE ratio > 0 AND ratio < 1), v AS (SELECT * FROM r WHERE split = 'val')"
+def _picked(steps: int) -> str:
+    return f"{_either_sql(steps)}, r AS (SELECT grid_index, target_fpr, ratio, calibration_fpr, split, {_RATES} FROM c), v AS (SELECT * FROM r WHERE split = 'val')"
 
 
-def candidate_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = either_rows(spark, sf_dir).where("ratio > 0 and ratio < 1")
-    return thresholds.candidates(rows, ["grid_index", "target_fpr", "calibration_fpr"])
+def candidate_rows(spark: SparkSession, sf_dir: str, steps: int = 11) -> DataFrame:
+    return thresholds.candidates(either_rows(spark, sf_dir, steps), ["grid_index", "target_fpr", "calibration_fpr"])
 
 
-@query(f"""{_INNER} SELECT v.grid_index, v.f1, v.fpr AS val_fpr, z.z_dr AS test_z_dr, CASE WHEN z.fpr <= 0.05 THEN 'PASS' ELSE 'FAIL' END AS fpr_status
+@query(f"""{_picked(11)} SELECT v.grid_index, v.f1, v.fpr AS val_fpr, z.z_dr AS test_z_dr, CASE WHEN z.fpr <= 0.05 THEN 'PASS' ELSE 'FAIL' END AS fpr_status
  FROM v JOIN r AS z ON z.grid_index = v.grid_index AND z.split = 'test_zero_day'
  ORDER BY v.fpr > 0.05, CASE WHEN v.fpr > 0.05 THEN v.fpr END, v.f1 DESC, v.z_dr DESC, v.fpr, v.target_fpr, v.grid_index LIMIT 1""")
 def primary_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -331,23 +357,30 @@ def primary_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best.select("grid_index", F.col("validation.f1").alias("f1"), F.col("validation.fpr").alias("val_fpr"), F.col("test_zero_day.z_dr").alias("test_z_dr"), "fpr_status")
 
 
-@query(f"{_INNER} SELECT grid_index, recall, fpr FROM v WHERE fpr <= 0.05 ORDER BY recall DESC, grid_index LIMIT 10")
+@query(f"{_picked(21)} SELECT grid_index, recall, fpr FROM v WHERE fpr <= 0.05 ORDER BY recall DESC, grid_index LIMIT 10")
 def fine_grid_top(spark: SparkSession, sf_dir: str) -> DataFrame:
-    top = thresholds.top_by_recall(candidate_rows(spark, sf_dir), 0.05)
+    top = thresholds.top_by_recall(candidate_rows(spark, sf_dir, 21), 0.05)
     return top.select("grid_index", F.col("validation.recall").alias("recall"), F.col("validation.fpr").alias("fpr"))
 
 
-@query(f"{_INNER} SELECT grid_index, z_dr, fpr FROM v WHERE fpr <= 0.03 ORDER BY z_dr DESC, grid_index LIMIT 1")
+@query(f"{_picked(11)} SELECT grid_index, z_dr, fpr FROM v WHERE fpr <= 0.03 ORDER BY z_dr DESC, grid_index LIMIT 1")
 def best_under_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
     best = thresholds.best_under(candidate_rows(spark, sf_dir), 0.03)
     return best.select("grid_index", F.col("validation.z_dr").alias("z_dr"), F.col("validation.fpr").alias("fpr"))
 
 
-@query(f"{_INNER} SELECT grid_index, target_fpr, f1 FROM v WHERE target_fpr = 0.05 ORDER BY f1 DESC, z_dr DESC, fpr, grid_index LIMIT 1")
+@query(f"{_picked(11)} SELECT grid_index, target_fpr, f1 FROM v WHERE target_fpr = 0.05 ORDER BY f1 DESC, z_dr DESC, fpr, grid_index LIMIT 1")
 def budget_row_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
     return thresholds.budget_row(candidate_rows(spark, sf_dir), 0.05).select("grid_index", "target_fpr", F.col("validation.f1").alias("f1"))
 
 
+@query(f"""{_picked(11)} SELECT v.grid_index, v.target_fpr, round(v.calibration_fpr, 9) AS calibration_fpr, v.z_dr AS validation_z_dr, v.fpr AS validation_fpr, v.f1 AS validation_f1, t.z_dr AS test_seen_z_dr,
+ z.z_dr AS test_zero_day_z_dr, z.fpr AS test_zero_day_fpr, z.f1 AS test_zero_day_f1 FROM v JOIN r AS t ON t.grid_index = v.grid_index AND t.split = 'test_seen' JOIN r AS z ON z.grid_index = v.grid_index AND z.split = 'test_zero_day'""")
+def flattened_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    wide = thresholds.flattened(candidate_rows(spark, sf_dir)).withColumn("calibration_fpr", F.round("calibration_fpr", 9))
+    return wide.select("grid_index", "target_fpr", "calibration_fpr", *[f"{s}_{m}" for s, ms in (("validation", ("z_dr", "fpr", "f1")), ("test_seen", ("z_dr",)), ("test_zero_day", ("z_dr", "fpr", "f1"))) for m in ms])
+
+
 @query(f"""{_SCORES}, t AS (SELECT unnest(range(99)) AS k), c AS (SELECT k, count(*) FILTER (score >= 0.01 + 0.98 * k / 98 AND y = 1) AS tp, count(*) FILTER (score >= 0.01 + 0.98 * k / 98 AND y <> 1) AS fp,
  count(*) FILTER (score < 0.01 + 0.98 * k / 98 AND y = 1) AS fn FROM s, t GROUP BY k) SELECT round(0.01 + 0.98 * k / 98, 6) AS threshold FROM c ORDER BY 2 * tp / (2 * tp + fp + fn) DESC, k LIMIT 1""")
 def best_f1_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -409,14 +442,10 @@ def fusion_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("row_id", *[F.round(f"fusion_{n}", 6).alias(f"fusion_{n}") for n in fusion.NAMES])
 
 
-@query(f"{_SCORES} SELECT count(*) AS n, round(avg(y), 9) AS positive_rate, round(stddev_pop(memory_score), 6) AS spread, round(quantile_cont(memory_score, 0.5), 6) AS p50, round(quantile_cont(memory_score, 0.9), 6) AS p90, round(quantile_cont(memory_score, 0.95), 6) AS p95, round(quantile_cont(memory_score, 0.99), 6) AS p99 FROM s")
+@query(f"{_SCORES} SELECT count(*) AS n, round(avg(y), 9) AS positive_rate, round(avg(memory_score), 6) AS mean, round(stddev_pop(memory_score), 6) AS spread, round(quantile_cont(memory_score, 0.5), 6) AS p50, round(quantile_cont(memory_score, 0.9), 6) AS p90, round(quantile_cont(memory_score, 0.95), 6) AS p95, round(quantile_cont(memory_score, 0.99), 6) AS p99 FROM s")
 def reconstruction_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = scores(spark, sf_dir)
-    found = metrics.exact_quantiles(df, ["memory_score"], [0.5, 0.9, 0.95, 0.99])[0] or [None] * 4
-    return df.agg(
-        F.count("*").alias("n"), F.round(F.avg("y"), 9).alias("positive_rate"), F.round(F.stddev_pop("memory_score"), 6).alias("spread"),
-        *[F.round(F.lit(x).cast("double"), 6).alias(f"p{p}") for p, x in zip((50, 90, 95, 99), found, strict=True)],
-    )
+    df = _rounded(metrics.reconstruction_statistics(scores(spark, sf_dir)), "mean", "spread", "p50", "p90", "p95", "p99", places=6)
+    return df.withColumn("positive_rate", F.round("positive_rate", 9))
 
 
 @query()
@@ -466,13 +495,13 @@ def largest_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "l_suppkey").limit(25)
 
 
-@query(f"{_FLOWS}, s AS (SELECT source_ip, row_id % 2 AS split FROM f WHERE row_id % 3 <> 0 OR source_ip < 'u5') SELECT '{{\"source_ip\":\"' || source_ip || '\"}}' AS key FROM s GROUP BY source_ip HAVING min(split) <> max(split)")
+@query(f"""{_FLOWS} SELECT '{{"source_ip":"' || source_ip || '","destination_ip":"' || destination_ip || '"}}' AS key FROM f GROUP BY source_ip, destination_ip HAVING min(row_id % 2) <> max(row_id % 2)""")
 def groups_in_two_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    labelled = view(spark, sf_dir, EVENT_FLOWS).where("row_id % 3 <> 0 or source_ip < 'u5'").withColumn("split", F.col("row_id") % 2)
-    return splits.overlapping_groups(labelled, ("source_ip",)).select("key")
+    labelled = view(spark, sf_dir, EVENT_FLOWS).withColumn("split", F.col("row_id") % 2)
+    return splits.overlapping_groups(labelled, ("source_ip", "destination_ip")).select("key")
 
 
-# The same over all rows: sources before u5 are whole in one split, by their last digit.
+# The same by source: those before u5 are whole in one split, by their last digit.
 _EVERY_SPLIT = "CASE WHEN source_ip < 'u5' THEN CAST(right(source_ip, 1) AS INT) % 2 ELSE row_id % 2 END"
 
 
@@ -482,7 +511,7 @@ def groups_in_two_splits_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splits.overlapping_groups(labelled, ("source_ip",)).select("key")
 
 
-@query(f"{_SCORES}, a AS (SELECT row_id, score FROM s WHERE split = 'val'), b AS (SELECT DISTINCT row_id FROM s WHERE split = 'val' AND y = 1) SELECT row_id, score FROM a WHERE row_id IN (SELECT row_id FROM b)")
+@query(f"{_SCORES} SELECT row_id, score FROM s WHERE row_id IN (SELECT row_id FROM s WHERE split = 'val' AND y = 1)")
 def rows_by_id_set(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = scores(spark, sf_dir).where("split = 'val'")
-    return rows.select("row_id", "score").join(rows.where("y = 1").select("row_id").distinct(), "row_id", "left_semi")
+    rows = scores(spark, sf_dir)
+    return rows.select("row_id", "score").join(rows.where("split = 'val' and y = 1").select("row_id").distinct(), "row_id", "left_semi")

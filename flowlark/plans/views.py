@@ -29,6 +29,10 @@ SELECT l_suppkey * 1000000000 + l_orderkey * 10 + l_linenumber AS row_id, 'f0' A
        CAST(l_orderkey % 900 AS BIGINT) AS total_length_of_fwd_packets, CAST(l_partkey % 500 AS BIGINT) AS total_length_of_bwd_packets, l_partkey AS part
 FROM {lineitem}
 """
+#: Events as the flows of one host within one hour, some thirty a second at sf0.1: frames hold very many rows.
+DENSE_FLOWS = EVENT_FLOWS.replace("'f' || CAST(user_id % 3 AS STRING)", "'f0'").replace("'u' || CAST(user_id AS STRING)", "'h0'").replace(
+    'ts AS "timestamp"', "TIMESTAMP '2024-01-01 00:00:00' + CAST(event_id * 7919 % 3600 AS INT) * INTERVAL 1 SECOND AS \"timestamp\""
+)
 LINE_ORDER = ["timestamp", "row_id", "part", "total_fwd_packets"]
 #: Order lines as scored rows of two detectors. Scores are multiples of 1/1024, so sums are exact in any order.
 SCORES = """

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.config import OFF
+from ..functions.config import OFF, SHIPPED
 from ..operators.windows import FEATURES, add_window_features, feature_names, scoped_window_features
-from .views import EVENT_FLOWS, LINE_FLOWS, LINE_ORDER, oracle, view
+from .views import DENSE_FLOWS, EVENT_FLOWS, LINE_FLOWS, LINE_ORDER, oracle, view
 
 ALL_ON = {f"include_{k}": True for k in OFF}
 COLLECTING = ("single_dest_ratio", "dest_ip_concentration")
@@ -132,6 +132,17 @@ for _part, _only in (("", _BASIC), ("_behaviour", _BEHAVIOUR), ("_shape", _SHAPE
     _add(f"window_time_features{_part}", EVENT_FLOWS, _recipe([], [DAY, 14 * DAY]), _only)
     _add(f"window_ties_count{_part}", LINE_FLOWS, _recipe([30], [], order_by=LINE_ORDER), _only)
     _add(f"window_ties_time{_part}", LINE_FLOWS, _recipe([], [30 * DAY], order_by=LINE_ORDER), _only)
+_add("window_shipped_recipe", EVENT_FLOWS, SHIPPED, None)
+_add("window_dense_host", DENSE_FLOWS, _recipe([], [600]), ("flow_count", "unique_destination_port_6", "_ip_count", "bytes_sum", "dest_ip_entropy", "inter_arrival_cv"))
+
+
+def window_dense_host_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All features over frames of an hour that hold the whole table in the end."""
+    recipe = _recipe([1000], [3600])
+    return _rounded(add_window_features(view(spark, sf_dir, DENSE_FLOWS), recipe, "double"), [n for n in feature_names(recipe) if not n.startswith("ctx_")])
+
+
+QUERIES["window_dense_host_all"] = window_dense_host_all
 
 
 def window_largest_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:

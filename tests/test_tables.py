@@ -299,7 +299,48 @@ def test_transformer_shapes():
 
 def test_permutation_importance(spark):
     df = spark.createDataFrame([(i, i % 2, float(i % 2), float(i % 7)) for i in range(300)], "row_id long, y int, good double, noise double")
-    assert models.permutation_importance(lambda d: d.withColumn("score", F.col("good")), df, ["good", "noise"]) == ["good"]
+    found = models.permutation_importance(lambda d: d.withColumn("score", F.col("good")), df, ["good", "noise"])
+    assert found["good"] > 0.3 and found["noise"] == 0
+    assert models.selected_features(found) == ["good"] and models.selected_features(found, 0.0, ("noise",)) == ["good", "noise"]
+    assert models.selected_features({"a": -1.0, "b": 0.0}) == ["a", "b"]
+
+
+def test_importance_of_many_rows_is_that_of_a_whole_shuffle(spark):
+    """60,000 rows: a shuffled column holds the very values it held, and the precision falls as in NumPy."""
+    rng = np.random.default_rng(4)
+    y = (rng.random(60_000) < 0.2).astype(int)
+    x = y + rng.normal(0, 1, len(y))
+    df = spark.createDataFrame(list(zip(range(len(y)), y.tolist(), x.tolist(), strict=True)), "row_id long, y int, x double").coalesce(1)
+    sums = []
+
+    def score(d):
+        sums.append(d.agg(F.count("*"), F.sum("x"), F.countDistinct("row_id")).first())
+        return d.withColumn("score", F.col("x"))
+
+    found = models.permutation_importance(score, df, ["x"], repeats=2)
+    assert all(n == ids == len(y) and math.isclose(total, x.sum(), rel_tol=1e-9) for n, total, ids in sums)
+
+    def precision(v):
+        order = np.argsort(-v, kind="stable")
+        hits = y[order].cumsum()
+        return (y[order] * hits / np.arange(1, len(y) + 1)).sum() / y.sum()
+
+    want = precision(x) - np.mean([precision(rng.permutation(x)) for _ in range(5)])
+    assert abs(found["x"] - want) < 0.01
+
+
+def test_dense_ids_of_one_large_partition(spark):
+    for _ in range(3):
+        got = cleaning.dense_ids(spark.range(150_000, numPartitions=1).select((F.col("id") * 7919 % 150_000).alias("k")), ["k"])
+        n, least, most, ids, off = got.agg(F.count("*"), F.min("row_id"), F.max("row_id"), F.countDistinct("row_id"), F.sum((F.col("row_id") != F.col("k")).cast("int"))).first()
+        assert (n, least, most, ids, off) == (150_000, 0, 149_999, 150_000, 0)
+    placed = cleaning.dense_ids(spark.range(1000, numPartitions=7))
+    assert all(r.id == r.row_id for r in placed.collect())
+
+
+def test_two_groups_keep_the_dealing_unless_train_is_empty():
+    assert splits._family_shares({10: 1, 6: 1}, False, (0.7, 0.1, 0.1, 0.1), 0.0) == splits.deal_sizes({10: 1, 6: 1}, {"train": 0.7, "val": 0.1, "test_seen": 0.1})
+    assert splits._family_shares({5: 2}, False, (0.0, 0.5, 0.5, 0.0), 0.0) == {5: {"train": 1, "val": 1}}
 
 
 def test_report_helpers():
