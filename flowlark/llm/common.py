@@ -3,9 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-import re
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.storage import fresh_path, shared_dir, stored  # noqa: F401
+
 #: Bytes of text that a task holds as NumPy arrays at a time; one longer text is a chunk of its own.
 CHUNK_BYTES = 1 << 19
 #: White space between words, and nothing else: \x20 and \x09-\x0D.
@@ -43,34 +42,6 @@ def light_workers(spark: SparkSession) -> None:
     spark.sparkContext.environment.setdefault("ARROW_DEFAULT_MEMORY_POOL", "system")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. Where the session names none, a local master (as in tests) gets one of
-    its own; on a cluster that would be another folder on each machine, so there it is an error."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not re.match(r"local(\[|$)", spark.sparkContext.master):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        folder = f"file://{tempfile.mkdtemp()}"
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
-
-
-def fresh_path(spark: SparkSession, name: str) -> str:
-    """A new path in a folder of this application, which is deleted when its driver ends."""
-    sc = spark.sparkContext
-    folder = f"{shared_dir(spark)}/{sc.applicationId}"
-    path = sc._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(sc._jsc.hadoopConfiguration()).deleteOnExit(path)
-    return f"{folder}/{name}-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """The frame written to the shared folder and read again: later stages start from files, not from lost tasks."""
-    path = fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def crc_mod(id_col: str, mod: int):
     """crc32 of the id as text, modulo ``mod``; a null id counts as remainder 0."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % mod, F.lit(0))

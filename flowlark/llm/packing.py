@@ -2,7 +2,8 @@
 
 Documents are cut where they fill whole windows; what is left of each, its tail, is packed. Tails are dealt to shards of
 a range of lexical sketches, so that alike tails meet and copies of one text, however many, spread over as many shards as
-their length asks for. Each shard is an inverted index with BM25 scores over the words of its tails. A seed takes
+their length asks for: a task goes through its sorted range and ends a shard whenever it holds SHARD_TOKENS. Each shard is
+an inverted index with BM25 scores over the words of its tails; document frequencies and mean lengths are the shard's. A seed takes
 its nearest unused neighbours, best first, until its window is full; the last one taken is cut, and its rest stays in the index.
 The last window of a shard is cut into pieces of powers of two, which need no padding.
 
@@ -12,6 +13,7 @@ Texts are encoded once; tails are stored as ids, so a lost executor costs no sec
 from __future__ import annotations
 
 import functools
+import itertools
 import zlib
 
 import numpy as np
@@ -27,7 +29,8 @@ WINDOW = 2048
 SHARD_TOKENS = 1 << 19
 #: BM25's saturation and length weights.
 K1, B = 1.2, 0.75
-#: Words in more than this share of a shard's tails are no query words: they tell tails apart the least and cost the most.
+#: Words in more than this share of a shard's tails are scored from rows of weights of all tails, others from lists of
+#: those that hold them. Both give the same scores; rows are the faster for words that many tails hold.
 COMMON = 0.1
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 _TAILS = PIECES + ", sketch long, tail binary"
@@ -82,18 +85,33 @@ class Index:
         self.weight = (idf[word] * count * (K1 + 1) / (count + scale[doc])).astype(np.float32)
         self.doc, self.n = doc, len(terms)
         self.first = np.append(0, np.cumsum(held))
-        # The query words of each tail: those it holds that aren't too common and have another tail to offer.
-        useful = (held > 1) & (held <= max(2, COMMON * len(terms)))
-        own = np.flatnonzero(useful[word])
+        common = held > max(32, COMMON * len(terms))
+        # Each word in a row has more than COMMON of the tails, so all rows hold less than 1 / COMMON of what the lists would.
+        row = np.cumsum(common) - 1
+        self.rows = np.zeros((int(common.sum()), len(terms)), np.float32)
+        dense = common[word]
+        self.rows[row[word[dense]], doc[dense]] = self.weight[dense]
+        # The query words of each tail: those that another tail holds too; in lists, and in rows.
+        own = np.flatnonzero((held > 1)[word] & ~dense)
         order = own[np.argsort(doc[own], kind="stable")]
         self.asks = word[order]
         self.asks_first = np.searchsorted(doc[order], np.arange(len(terms) + 1))
+        order = np.flatnonzero(dense)
+        order = order[np.argsort(doc[order], kind="stable")]
+        self.asks_rows = row[word[order]]
+        self.rows_first = np.searchsorted(doc[order], np.arange(len(terms) + 1))
 
     def scores(self, seed: int) -> np.ndarray:
         words = self.asks[self.asks_first[seed] : self.asks_first[seed + 1]]
         a, n = self.first[words], self.first[words + 1] - self.first[words]
         where = np.repeat(a - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        return np.bincount(self.doc[where], self.weight[where], minlength=self.n)
+        out = np.bincount(self.doc[where], self.weight[where], minlength=self.n)
+        asked = self.asks_rows[self.rows_first[seed] : self.rows_first[seed + 1]]
+        if len(asked):
+            chosen = np.zeros(len(self.rows), np.float32)
+            chosen[asked] = 1
+            out = out + chosen @ self.rows
+        return out
 
 
 def _follow(index: Index, left: np.ndarray, seed: int):
@@ -134,7 +152,9 @@ def pack(df: DataFrame, ranks: str, tokenizer: str, end_id: int = 1, text_col: s
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     A null or empty text is the end id alone. Rows that repeat an id are documents of their own, each with its own
-    starts. A null id stays null. An empty table gives no rows; other columns are not read.
+    starts. A null id stays null. A very long text is a run of whole windows and one tail; it is encoded as a chunk of its
+    own. Tails that tie in score are taken in the order of their sketch and id. An empty table gives no rows; other columns
+    are not read.
     """
     src = df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
@@ -163,13 +183,23 @@ def pack(df: DataFrame, ranks: str, tokenizer: str, end_id: int = 1, text_col: s
     total = tails.agg(F.sum("length")).first()[0] or 0
 
     def fill(batches):
+        """Packs the sorted tails shard by shard, so that a partition of any size is held one shard at a time."""
         from pyspark import TaskContext
 
-        table = pa.Table.from_batches(list(batches))
-        if not table.num_rows:
-            return
-        begins = _word_starts(ranks)
-        base = TaskContext.get().partitionId() << 33 | 1 << 32
+        begins, sequence = _word_starts(ranks), TaskContext.get().partitionId() << 33 | 1 << 32
+        held, tokens = [], 0
+        for batch in itertools.chain(_small(batches), [None]):
+            if batch is not None:
+                held.append(batch)
+                tokens += int(batch.column("length").to_numpy().sum())
+            if held and (batch is None or tokens >= SHARD_TOKENS):
+                table = pa.Table.from_batches(held)
+                held, tokens = [], 0
+                done, n = packed_shard(table, begins, sequence)
+                sequence += n
+                yield from done.to_batches(max_chunksize=8192)
+
+    def packed_shard(table: pa.Table, begins: np.ndarray, base: int) -> tuple[pa.Table, int]:
         lengths = table.column("length").to_numpy()
         ids = [np.frombuffer(x, np.uint16 if len(x) == 2 * n else np.uint32).astype(np.uint32) for x, n in zip(table.column("tail").to_pylist(), lengths.tolist(), strict=True)]
         got = pack_shard(lengths, [word_terms(x, begins) for x in ids])
@@ -177,10 +207,18 @@ def pack(df: DataFrame, ranks: str, tokenizer: str, end_id: int = 1, text_col: s
         crc = [_crc(ids[a][b : b + c]) for a, b, c in zip(k.tolist(), at.tolist(), n.tolist(), strict=True)]
         of = pa.array(k)
         start = table.column("start").to_numpy()[k] + at
-        yield from pa.table(
-            {"doc_id": table.column("doc_id").take(of), "start": start, "length": n, "ids_crc32": pa.array(crc, pa.int64()), "doc_tokens": table.column("doc_tokens").take(of), "sequence_id": base + sequence, "offset": offset}
-        ).to_batches(max_chunksize=8192)
+        columns = {"doc_id": table.column("doc_id").take(of), "start": start, "length": n, "ids_crc32": pa.array(crc, pa.int64()), "doc_tokens": table.column("doc_tokens").take(of), "sequence_id": base + sequence, "offset": offset}
+        return pa.table(columns), int(sequence.max()) + 1
 
+    # Shards are cut from sorted partitions, whose number is the session's; a small table has one for each shard.
     shards = max(1, -(-total // SHARD_TOKENS))
-    packed = tails.repartitionByRange(int(shards), "sketch", "doc_id", "start").sortWithinPartitions("sketch", "doc_id", "start").mapInArrow(fill, PIECES)
+    partitions = int(min(shards, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    packed = tails.repartitionByRange(partitions, "sketch", "doc_id", "start").sortWithinPartitions("sketch", "doc_id", "start").mapInArrow(fill, PIECES)
     return pieces.where("tail is null").drop("sketch", "tail").unionByName(packed)
+
+
+def _small(batches):
+    """The batches in slices of few rows, so that a shard ends soon after it is full."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, 64):
+            yield batch.slice(at, 64)

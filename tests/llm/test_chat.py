@@ -1,3 +1,5 @@
+import random
+
 from pyspark.sql import functions as F
 
 from flowlark.llm import chat
@@ -44,3 +46,34 @@ def test_branches_rank_by_score_and_cycles_have_no_path(spark):
     assert got == [(1, 4, 1, 1), (1, 3, 2, 3)]
     paths = {(r.leaf_id, r.up): r.msg_id for r in chat.root_to_leaf_paths(df).where("tree_id = 1").collect()}
     assert paths == {(2, 0): 2, (2, 1): 0, (3, 0): 3, (3, 1): 1, (3, 2): 0, (4, 0): 4}
+
+
+def test_ranks_and_texts_of_random_trees(spark):
+    """Deep and wide trees against a walk from every leaf."""
+    r = random.Random(6)
+    rows = []
+    for tree in range(6):
+        for m in range(r.choice([1, 30, 70])):
+            parent = None if m == 0 else r.choice([m - 1, r.randrange(m)])
+            rows.append((tree, m, parent, r.choice(["user", "assistant"]), "t" * r.randint(0, 9) + "#", r.choice([None, 0.25, -0.5, 1.0])))
+    df = spark.createDataFrame(rows, "tree_id long, msg_id long, parent_id long, role string, text string, score double")
+    want = {}
+    for tree in range(6):
+        own = {m: (p, role, text, s) for t, m, p, role, text, s in rows if t == tree}
+        ranked = []
+        for leaf in own.keys() - {p for p, *_ in own.values()}:
+            path, at = [], leaf
+            while at is not None:
+                path.append(at)
+                at = own[at][0]
+            ranked.append((-sum(own[m][3] or 0 for m in path), -len(path), leaf, path[::-1]))
+        for k, (s, n, leaf, path) in enumerate(sorted(ranked)[:3], 1):
+            want[tree, k] = (leaf, -s, -n, "".join(own[m][2] for m in path if own[m][1] == "assistant"))
+    got = chat.format_reply_trees(df, branches=3).withColumn("loss", chat.loss_text(F.col("formatted"), F.col("loss_spans"))).collect()
+    assert {(x.tree_id, x.branch): (x.leaf_id, x.score, x.n_turns, x.loss) for x in got} == want
+
+
+def test_a_text_of_over_a_megabyte(spark):
+    df = spark.createDataFrame([(1, 0, "user", "x:#" * 500_000)], "conv_id long, turn long, role string, text string")
+    row = chat.format_reply_trees(chat.linear_tree(df)).select(chat.read_back(F.col("formatted")).alias("t")).first()
+    assert row.t[0].text == "x:#" * 500_000

@@ -86,3 +86,26 @@ def test_bm25_scores_match_the_formula():
             tf = (t == w).sum()
             want += np.log1p((n - held + 0.5) / (held + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(t) / mean))
         assert abs(index.scores(0)[j] - want) < 1e-5
+
+
+def test_common_words_score_by_the_same_formula():
+    """Words that most tails hold are kept in rows of weights; others in lists. Scores don't tell."""
+    r = random.Random(3)
+    tails = [np.array([1, 2, 2, *r.choices(range(10, 40), k=r.randint(1, 9))] + ([3] if k % 2 else []), np.uint64) for k in range(120)]
+    index, n, mean = packing.Index(tails), 120, np.mean([len(t) for t in tails])
+    assert len(index.rows) >= 3
+    for seed in (0, 1, 77):
+        got = index.scores(seed)
+        for j, t in enumerate(tails):
+            want = 0.0
+            for w in set(tails[seed].tolist()):
+                held = sum(w in x for x in tails)
+                tf = (t == w).sum()
+                if held > 1 and tf:
+                    want += np.log1p((n - held + 0.5) / (held + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(t) / mean))
+            assert abs(got[j] - want) < 1e-4
+
+
+def test_texts_of_over_a_megabyte(spark):
+    texts = ["many different words " * 60_000, "short"]
+    assert well_packed(packing.pack(documents(spark, texts), RANKS, JSON).collect(), dict(enumerate(texts))) == 0
