@@ -1,7 +1,9 @@
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from flowlark.plans import experiment
+from flowlark.operators import models
+from flowlark.plans import cli, experiment
 from flowlark.plans.views import EVENT_FLOWS, view
 
 
@@ -24,6 +26,40 @@ def test_whole_experiment_and_its_restart(spark, tmp_path):
     assert first.ran == list(experiment.STAGES)
     assert out["primary"].count() == 1 and out["report"].count() == out["split"].select("split").distinct().count()
     assert out["candidates"].select("model_name").distinct().count() == 4
+    # A new object with the saved models gives the scores that the run gave.
+    detector = experiment.Detector.load(spark, f"file://{tmp_path}", "dos")
+    assert detector.schema["benchmark_mode"] == "contextual_window" and detector.schema["representation_width"] == len(models.block_columns(len(detector.schema["feature_order"]), 3))
+    scored = detector.score(flows).alias("d").join(out["fusion"].alias("f"), "row_id").select(*[F.abs(F.col(f"d.{c}") - F.col(f"f.{c}")).alias(c) for c in ("memory_score", "tree_score", "fusion_score")])
+    assert scored.count() == out["fusion"].count() and max(scored.agg(*[F.max(c) for c in scored.columns]).first()) < 1e-6
     again = experiment.Experiment(spark, f"file://{tmp_path}", "dos", **settings)
     again.run(flows)
     assert again.ran == []
+
+
+def test_runner_over_two_families_without_windows(spark, tmp_path):
+    flows = view(spark, "/root/testdata/sf0.001", EVENT_FLOWS).withColumns(
+        {"original_label": F.col("attack_family"), "source_ip": F.concat("source_ip", F.lit("-"), F.floor(F.col("row_id") / 25)), "total_fwd_packets": F.when(F.col("attack_family") != "benign", 50).otherwise(F.col("total_fwd_packets"))}
+    )
+    flows = flows.withColumn("attack_family", F.when(F.col("row_id") % 30 == 0, "ddos").otherwise(F.col("attack_family")))
+    out = f"file://{tmp_path}"
+    found = cli.run(spark, flows, out, ["dos", "ddos"], features=["total_fwd_packets", "syn_flag_count"], scope="disabled", latent=3, slots=8, epochs=2, tree_rounds=2, budgets=(0.02, 0.05))
+    rows = {r.family: r for r in found.collect()}
+    assert rows.keys() == {"dos", "ddos"} and rows["dos"].experiment == "no_dos_disabled" and all(r.support > 0 for r in rows.values())
+    assert spark.read.text(f"{out}/summary_markdown").first().value == "# Zero-day detection"
+    assert spark.read.parquet(f"{out}/dos/report/rates").count() == spark.read.parquet(f"{out}/dos/split").select("split").distinct().count()
+    assert experiment.Detector.load(spark, out, "ddos").schema["benchmark_mode"] == "strict_nowindow"
+
+
+def test_arguments():
+    a = cli.parser().parse_args(["--raw", "x", "--out", "y", "--families", "dos,bot", "--budgets", "0.01"])
+    assert (a.families, a.budgets, a.scope, a.select) == (["dos", "botnet"], (0.01,), "full_source_file", False)
+    with pytest.raises(SystemExit):
+        cli.parser().parse_args(["--raw", "x", "--out", "y", "--scope", "none"])
+
+
+def test_transformer_over_a_frame(spark):
+    df = spark.range(50).selectExpr("id AS row_id", "id / 50.0D AS a", "sin(id) AS b")
+    t = models.NumericTransformer.random(2, embed=16, heads=4, depth=2, latent=8)
+    x = np.array([[r.a, r.b] for r in df.orderBy("row_id").collect()])
+    got = t.apply(df, ["a", "b"]).orderBy("row_id").collect()
+    assert np.allclose([r.representation for r in got], t.represent(x)) and np.allclose([r.transformer_score for r in got], t.score(x))
