@@ -84,8 +84,16 @@ class RowsFrame(Frame):
         return running - F.coalesce(before, F.lit(0.0))
 
     def count_of(self, *values: str) -> Column:
-        frame = self._ordered(*values).rangeBetween(-(self.size - 1), 0)
-        return self.helper(0, f"_cnt{''.join(values)}_{self.tag}", F.count(F.lit(1)).over(frame).cast("double"))
+        past = self._counted(f"_past{''.join(values)}_{self.tag}", -self.size, *values)
+        return (self._upto(*values) - past).cast("double")
+
+    def _upto(self, *values: str) -> Column:
+        return self.helper(0, f"_upto{''.join(values)}", F.count(F.lit(1)).over(self._ordered(*values).rowsBetween(W.unboundedPreceding, 0)))
+
+    def _counted(self, name: str, last: int, *values: str) -> Column:
+        """The rows with these values from the group's beginning to ``last`` places after the row (before it, if negative):
+        a frame that only grows, so that its count costs the same for any size."""
+        return self.helper(0, name, F.count(F.lit(1)).over(self._ordered(*values).rangeBetween(W.unboundedPreceding, last)))
 
     def distinct(self, value: str) -> Column:
         """Every row enters. One leaves when its value comes again within the frame, or when it is too far back."""
@@ -100,9 +108,8 @@ class RowsFrame(Frame):
 
     def entropy(self, value: str) -> Column:
         """The sum of f * log2 f changes by what the entering row adds and the leaving one takes away."""
-        own = self._ordered(value)
-        into = self.helper(0, f"_in{value}_{self.tag}", F.count(F.lit(1)).over(own.rangeBetween(-self.size, 0)))
-        out = self.helper(0, f"_out{value}_{self.tag}", F.count(F.lit(1)).over(own.rangeBetween(0, self.size)))
+        into = self._upto(value) - self._counted(f"_past1{value}_{self.tag}", -self.size - 1, value)
+        out = self._counted(f"_meet{value}_{self.tag}", self.size, value) - self._upto(value) + 1
         lost = self.helper(1, f"_lost{value}_{self.tag}", F.lag(f_log_f(out - 1) - f_log_f(out), self.size).over(self._ordered()))
         change = f_log_f(into) - f_log_f(into - 1) + F.coalesce(lost, F.lit(0.0))
         return self._entropy(self.helper(2, f"_ent{value}_{self.tag}", F.sum(change).over(self._ordered().rowsBetween(W.unboundedPreceding, 0))))
