@@ -14,6 +14,7 @@ frame's counts in Arrow batches (``_with_top_shares``).
 from __future__ import annotations
 
 from collections import defaultdict, deque
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -43,8 +44,10 @@ class Frame:
     def __init__(self, group: list[str], size: int, stages: list[dict[str, Column]], tops: dict[str, tuple[str, str, int]]):
         self.group, self.size, self.stages, self.tops = group, size, stages, tops
 
-    def helper(self, stage: int, name: str, value: Column) -> Column:
-        self.stages[stage].setdefault(name, value)
+    def helper(self, stage: int, name: str, value: Callable[[], Column]) -> Column:
+        """The helper column of that name; ``value`` makes it where it is asked for first."""
+        if name not in self.stages[stage]:
+            self.stages[stage][name] = value()
         return F.col(name)
 
     def top_share(self, value: str) -> Column:
@@ -79,8 +82,8 @@ class RowsFrame(Frame):
         return W.partitionBy(*self.group, *values).orderBy("_rn")
 
     def total(self, x: str) -> Column:
-        running = self.helper(0, f"_sum{x}", F.sum(F.col(x).cast("double")).over(self._ordered().rowsBetween(W.unboundedPreceding, 0)))
-        before = self.helper(1, f"_sum{x}_{self.tag}", F.lag(running, self.size).over(self._ordered()))
+        running = self.helper(0, f"_sum{x}", lambda: F.sum(F.col(x).cast("double")).over(self._ordered().rowsBetween(W.unboundedPreceding, 0)))
+        before = self.helper(1, f"_sum{x}_{self.tag}", lambda: F.lag(running, self.size).over(self._ordered()))
         return running - F.coalesce(before, F.lit(0.0))
 
     def count_of(self, *values: str) -> Column:
@@ -88,31 +91,31 @@ class RowsFrame(Frame):
         return (self._upto(*values) - past).cast("double")
 
     def _upto(self, *values: str) -> Column:
-        return self.helper(0, f"_upto{''.join(values)}", F.count(F.lit(1)).over(self._ordered(*values).rowsBetween(W.unboundedPreceding, 0)))
+        return self.helper(0, f"_upto{''.join(values)}", lambda: F.count(F.lit(1)).over(self._ordered(*values).rowsBetween(W.unboundedPreceding, 0)))
 
     def _counted(self, name: str, last: int, *values: str) -> Column:
         """The rows with these values from the group's beginning to ``last`` places after the row (before it, if negative):
         a frame that only grows, so that its count costs the same for any size."""
-        return self.helper(0, name, F.count(F.lit(1)).over(self._ordered(*values).rangeBetween(W.unboundedPreceding, last)))
+        return self.helper(0, name, lambda: F.count(F.lit(1)).over(self._ordered(*values).rangeBetween(W.unboundedPreceding, last)))
 
     def distinct(self, value: str) -> Column:
         """Every row enters. One leaves when its value comes again within the frame, or when it is too far back."""
-        own = self._ordered(value)
-        before = self.helper(0, f"_prev{value}", F.lag("_rn").over(own))
-        after = self.helper(0, f"_next{value}", F.lead("_rn").over(own))
-        late = self.helper(1, f"_late{value}_{self.tag}", F.lag(after, self.size).over(self._ordered()))
+        own = lambda: self._ordered(value)
+        before = self.helper(0, f"_prev{value}", lambda: F.lag("_rn").over(own()))
+        after = self.helper(0, f"_next{value}", lambda: F.lead("_rn").over(own()))
+        late = self.helper(1, f"_late{value}_{self.tag}", lambda: F.lag(after, self.size).over(self._ordered()))
         again = F.coalesce(F.col("_rn") - before < self.size, F.lit(False)).cast("int")
         expired = ((F.col("_rn") > self.size) & F.coalesce(late >= F.col("_rn"), F.lit(True))).cast("int")
         change = 1 - again - expired
-        return self.helper(2, f"_dst{value}_{self.tag}", F.sum(change).over(self._ordered().rowsBetween(W.unboundedPreceding, 0)).cast("double"))
+        return self.helper(2, f"_dst{value}_{self.tag}", lambda: F.sum(change).over(self._ordered().rowsBetween(W.unboundedPreceding, 0)).cast("double"))
 
     def entropy(self, value: str) -> Column:
         """The sum of f * log2 f changes by what the entering row adds and the leaving one takes away."""
         into = self._upto(value) - self._counted(f"_past1{value}_{self.tag}", -self.size - 1, value)
         out = self._counted(f"_meet{value}_{self.tag}", self.size, value) - self._upto(value) + 1
-        lost = self.helper(1, f"_lost{value}_{self.tag}", F.lag(f_log_f(out - 1) - f_log_f(out), self.size).over(self._ordered()))
+        lost = self.helper(1, f"_lost{value}_{self.tag}", lambda: F.lag(f_log_f(out - 1) - f_log_f(out), self.size).over(self._ordered()))
         change = f_log_f(into) - f_log_f(into - 1) + F.coalesce(lost, F.lit(0.0))
-        return self._entropy(self.helper(2, f"_ent{value}_{self.tag}", F.sum(change).over(self._ordered().rowsBetween(W.unboundedPreceding, 0))))
+        return self._entropy(self.helper(2, f"_ent{value}_{self.tag}", lambda: F.sum(change).over(self._ordered().rowsBetween(W.unboundedPreceding, 0))))
 
 
 class TimeFrame(Frame):
@@ -138,30 +141,30 @@ class TimeFrame(Frame):
         return self.count_of()
 
     def total(self, x: str) -> Column:
-        running = self.helper(0, f"_sum{x}", F.sum(F.col(x).cast("double")).over(self._so_far()))
-        return running - F.coalesce(self.helper(0, f"_gone{x}_{self.tag}", F.sum(F.col(x).cast("double")).over(self._left())), F.lit(0.0))
+        running = self.helper(0, f"_sum{x}", lambda: F.sum(F.col(x).cast("double")).over(self._so_far()))
+        return running - F.coalesce(self.helper(0, f"_gone{x}_{self.tag}", lambda: F.sum(F.col(x).cast("double")).over(self._left())), F.lit(0.0))
 
     def count_of(self, *values: str) -> Column:
-        running = self.helper(0, f"_upto{''.join(values)}", F.count(F.lit(1)).over(self._so_far(*values)))
-        return (running - self.helper(0, f"_past{''.join(values)}_{self.tag}", F.count(F.lit(1)).over(self._left(*values)))).cast("double")
+        running = self.helper(0, f"_upto{''.join(values)}", lambda: F.count(F.lit(1)).over(self._so_far(*values)))
+        return (running - self.helper(0, f"_past{''.join(values)}_{self.tag}", lambda: F.count(F.lit(1)).over(self._left(*values)))).cast("double")
 
     def distinct(self, value: str) -> Column:
         """A value enters with a row that finds it in no frame, and leaves with the last row before a pause in it."""
-        own = self._own(value).orderBy("_rn")
-        before, after = self.helper(0, f"_since{value}", F.lag("_t").over(own)), self.helper(0, f"_until{value}", F.lead("_t").over(own))
+        own = lambda: self._own(value).orderBy("_rn")
+        before, after = self.helper(0, f"_since{value}", lambda: F.lag("_t").over(own())), self.helper(0, f"_until{value}", lambda: F.lead("_t").over(own()))
         new = F.coalesce(F.col("_t") - before > self.size, F.lit(True)).cast("int")
         lost = F.coalesce(after - F.col("_t") > self.size, F.lit(True)).cast("int")
-        came = self.helper(1, f"_came{value}_{self.tag}", F.sum(new).over(self._so_far()))
-        return (came - F.coalesce(self.helper(1, f"_went{value}_{self.tag}", F.sum(lost).over(self._left())), F.lit(0))).cast("double")
+        came = self.helper(1, f"_came{value}_{self.tag}", lambda: F.sum(new).over(self._so_far()))
+        return (came - F.coalesce(self.helper(1, f"_went{value}_{self.tag}", lambda: F.sum(lost).over(self._left())), F.lit(0))).cast("double")
 
     def entropy(self, value: str) -> Column:
         """The sum of f * log2 f changes by what an entering row adds and a leaving one takes away. A leaving row is the
         oldest of its value; it meets the rows that came with it or up to ``size`` seconds after it."""
         into = self.count_of(value)
-        until = self.helper(0, f"_meet{value}_{self.tag}", F.count(F.lit(1)).over(self._own(value).orderBy("_t").rangeBetween(W.unboundedPreceding, self.size)))
+        until = self.helper(0, f"_meet{value}_{self.tag}", lambda: F.count(F.lit(1)).over(self._own(value).orderBy("_t").rangeBetween(W.unboundedPreceding, self.size)))
         out = until - F.col(f"_upto{value}") + 1
-        came = self.helper(1, f"_fcame{value}_{self.tag}", F.sum(f_log_f(into) - f_log_f(into - 1)).over(self._so_far()))
-        went = self.helper(1, f"_fwent{value}_{self.tag}", F.sum(f_log_f(out) - f_log_f(out - 1)).over(self._left()))
+        came = self.helper(1, f"_fcame{value}_{self.tag}", lambda: F.sum(f_log_f(into) - f_log_f(into - 1)).over(self._so_far()))
+        went = self.helper(1, f"_fwent{value}_{self.tag}", lambda: F.sum(f_log_f(out) - f_log_f(out - 1)).over(self._left()))
         return self._entropy(came - F.coalesce(went, F.lit(0.0)))
 
 
