@@ -385,7 +385,7 @@ def _whole(group: list[str]) -> Column:
 def prelude(df: DataFrame, cfg: dict) -> DataFrame:
     """The helper columns that all frames build on: position, second, values and indicators.
 
-    Times are whole seconds. Missing ones take the last known time of the group, else the next, else the position.
+    Times are whole seconds. Rows without one come last in their group and take its last known time, else their position.
     """
     group = cfg["group_by"]
     has = lambda c: c is not None and c in df.columns
@@ -407,10 +407,7 @@ def prelude(df: DataFrame, cfg: dict) -> DataFrame:
     order = W.partitionBy(*group).orderBy(*[F.col(c).asc_nulls_last() for c in cfg["order_by"]])
     df = df.withColumn("_rn", F.row_number().over(order).cast("long"))
     by_place = W.partitionBy(*group).orderBy("_rn")
-    # Where no time is known before, the next known one is the group's first: a frame over the whole group is worked out
-    # once, while one from the row to the end would be worked out again for every row.
-    ahead, all_rows = by_place.rowsBetween(W.unboundedPreceding, 0), by_place.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    df = df.withColumn("_t", F.coalesce(F.last("_ts", True).over(ahead), F.first("_ts", True).over(all_rows), F.col("_rn") - 1))
+    df = df.withColumn("_t", F.coalesce(F.last("_ts", True).over(by_place.rowsBetween(W.unboundedPreceding, 0)), F.col("_rn") - 1))
     lag = lambda c: F.lag(c).over(by_place)
     df = df.withColumns({"_gap": F.coalesce(F.col("_t") - lag("_t"), F.lit(0)).cast("double"), "_was": lag("_dp")})
     short = (F.col("_packets") <= cfg["short_flow_packet_threshold"]).cast("double")
