@@ -273,13 +273,19 @@ def test_memory_autoencoder(spark):
         models.raw_features(names, ["zz"])
 
 
-def test_gradients_match_differences():
+def test_slots_alike_cost_more_than_slots_apart():
+    assert models.slot_likeness(np.eye(3))[0] == 0 and models.slot_likeness(np.ones((3, 2)))[0] == pytest.approx(1)
+    assert models.slot_likeness(np.ones((1, 2)))[0] == 0 and models.slot_likeness(np.zeros((2, 2)))[0] == 0
+
+
+@pytest.mark.parametrize("diversity", [0.0, 0.7])
+def test_gradients_match_differences(diversity):
     r = np.random.default_rng(3)
     w = {"e1": r.normal(size=(3, 6)), "e2": r.normal(size=(6, 2)), "memory": r.normal(size=(4, 2)), "d1": r.normal(size=(2, 6)), "d2": r.normal(size=(6, 3))}
     w |= {"e1b": r.normal(size=6), "e2b": r.normal(size=2), "d1b": r.normal(size=6), "d2b": r.normal(size=3)}
     x, model = r.normal(size=(5, 3)), models.MemoryAutoencoder(w, 0.0)
-    grads = models._gradients(model, x, 0.0)
-    loss = lambda: ((x - model.forward(x)["x_hat"]) ** 2).mean()
+    grads = models._gradients(model, x, 0.0, diversity)
+    loss = lambda: ((x - model.forward(x)["x_hat"]) ** 2).mean() + diversity * models.slot_likeness(w["memory"])[0]
     for k, g in grads.items():
         at = tuple(0 for _ in g.shape)
         w[k][at] += 1e-6
