@@ -64,3 +64,10 @@ def test_encode_decode_frames(spark):
     back = {r.doc_id: r.text for r in bpe.decode(ids, PATH).collect()}
     assert back == {i: t or "" for i, t in enumerate(EDGE_TEXTS)}
     assert bpe.encode(df.limit(0), PATH).count() == 0
+
+
+def test_texts_of_over_a_megabyte_and_repeated_ids(spark):
+    texts = ["many different words é " * 60_000, "ab" * 600_000]
+    df = documents(spark, [*texts, texts[0]]).withColumn("doc_id", F.least("doc_id", F.lit(1)))
+    got = {(r.doc_id, sha(r.text)) for r in bpe.decode(bpe.encode(df, PATH), PATH).collect()}
+    assert got == {(0, sha(texts[0])), (1, sha(texts[1])), (1, sha(texts[0]))}

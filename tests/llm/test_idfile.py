@@ -49,3 +49,11 @@ def test_null_and_repeated_ids_and_empty_table(spark, tmp_path):
     assert got == [(None, 0, 2), (-3, 2, 1), (5, 3, 2), (5, 5, 2)]
     idfile.write_ids(df.limit(0), str(tmp_path / "y"), path)
     assert idfile.read_ids(spark, str(tmp_path / "y")).count() == 0
+
+
+def test_texts_of_over_a_megabyte(spark, tmp_path):
+    path, texts = public.path("word_bpe_49k.json"), ["many different words é " * 60_000, "ab" * 600_000, "short"]
+    got = op9_token_id_files(spark, save(documents(spark, texts), tmp_path, "documents")).orderBy("doc_id").collect()
+    for r, t in zip(got, texts, strict=True):
+        ids = np.array([*tokens.library_tokenizer(path).encode(t, add_special_tokens=False).ids, 1], np.uint32)
+        assert tuple(r)[2:] == (len(ids), zlib.crc32(ids.tobytes()))

@@ -152,3 +152,13 @@ def test_predictions_are_those_of_plain_python(spark, n):
         top, second = sorted(shares.values(), reverse=True)[:2]
         assert abs(x.score - top) < 1e-4 and abs(shares[x.lang_pred] - top) < 1e-4 and abs(shares[x.runner_up] - second) < 1e-4
         assert x.ambiguous == (top - second < langid.AMBIGUOUS) or abs(top - second - langid.AMBIGUOUS) < 1e-4
+
+
+def test_texts_of_over_a_megabyte_and_repeated_ids(spark):
+    rows = [(t, lang) for lang in ("en", "de") for t in texts_of(lang, 40, 2)]
+    model = langid.fit(table(spark, rows))
+    whole = " ".join(texts_of("en", 200, 5)) + " " + " ".join(texts_of("de", 5000, 6))
+    assert len(whole) > 1_000_000
+    df = table(spark, [(whole, None), ("9" * 1_200_000, None), (rows[0][0], None)]).withColumn("doc_id", F.lit(7).cast("long"))
+    got = sorted((r.lang_pred, r.doc_id) for r in langid.identify(df, model).collect())
+    assert got == [("de", 7), ("en", 7), ("und", 7)]

@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from flowlark.llm import langid, toxicity
 from flowlark.llm.common import read
@@ -73,3 +74,29 @@ def test_repeated_rows_and_null_ids(spark):
     odd = df.union(df).union(df.selectExpr("cast(null as long) as doc_id", "text", "lang", "source", "n_chars").where("lang = 'en'").limit(1))
     got = cp.drop_near_duplicates(spark, odd, "").collect()
     assert sorted(str(r.doc_id) for r in got) == ["0", "1", "None"]
+
+
+def test_extra_columns_long_texts_and_repeated_rows(spark, tmp_path):
+    """Columns of the operators' own names take no part; copies of a row are one document after the third stage."""
+    labelled = corpus(120)
+    long = " ".join(texts_of("en", 5000, 55))
+    assert len(long) > 1_000_000
+    docs = table(spark, [(t, "en") for t, _ in labelled] + [(long, "en")])
+    docs = docs.union(docs.where("doc_id >= 110"))
+    for c in ("score", "kept", "n_words", "start", "runs", "component_id", "lang_pred"):
+        docs = docs.withColumn(c, F.lit("clash"))
+    folder = save(docs, tmp_path, "documents")
+    save(spark.createDataFrame([(i, 1, y) for i, (_, y) in enumerate(labelled)], "doc_id long, quality int, toxic int"), tmp_path, "labels")
+    at, counts = docs, []
+    for name, stage in cp.STAGES[:-1]:
+        at = stage(spark, at, folder)
+        at.write.parquet(f"{tmp_path}/{name}.parquet")
+        at = spark.read.parquet(f"{tmp_path}/{name}.parquet")
+        assert at.columns == cp.COLUMNS
+        counts.append({r.doc_id: r["count"] for r in at.groupBy("doc_id").count().collect()})
+    fair = {i for i, (_, y) in enumerate(labelled) if not y}
+    assert len(fair - counts[0].keys()) <= 1 and all(counts[0][i] == 1 + (i >= 110) for i in counts[0])
+    assert counts[1][120] == 2 and set(counts[2].values()) == {1} and counts[3].keys() == counts[2].keys()
+    kept = {r.doc_id: r.text for r in at.collect()}
+    assert kept[120] == long
+    assert well_packed(cp.STAGES[-1][1](spark, at, folder).collect(), kept) == 0

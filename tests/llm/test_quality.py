@@ -50,3 +50,14 @@ def test_empty_table_and_clashing_columns(spark, tmp_path):
     row = quality.quality_rules(df).first()
     assert row.n_words == 5 and row.kept is False
     assert quality.quality_rules(df.limit(0)).count() == 0
+
+
+def test_texts_of_over_a_megabyte_and_repeated_ids(spark, tmp_path):
+    lines = "\n".join(f"w{k} x{k} y{k} the {k}" for k in range(60_000))
+    texts = [lines, "z" * 1_200_000]
+    df = documents(spark, texts)
+    got = op10_quality_rules(spark, save(df.union(df.where("doc_id = 1")), tmp_path, "documents")).collect()
+    assert sorted(r.doc_id for r in got) == [0, 1, 1]
+    for r in got:
+        w, lines_of = WORD.findall(texts[r.doc_id]), texts[r.doc_id].split("\n")
+        assert tuple(r)[1:6] == (len(w), sum(map(len, w)), 0, len(lines_of) - len(set(lines_of)), 0)

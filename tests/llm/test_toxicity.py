@@ -110,3 +110,15 @@ def test_repeated_ids_are_rows_of_their_own(spark):
     df = spark.createDataFrame([(1, "a b"), (1, "a b"), (1, "c d"), (None, "a b")], "doc_id long, text string")
     model = toxicity.Model(np.zeros(0, np.int64), np.zeros(0, np.float32), 0.5)
     assert toxicity.score(df, model).count() == 4
+
+
+def test_texts_of_over_a_megabyte(spark):
+    """Only the end of the long text is toxic, and it is enough of it to tell."""
+    rows = corpus(200)
+    docs = table(spark, [(t, "en") for t, _ in rows])
+    model = toxicity.fit(docs, spark.createDataFrame([(i, y) for i, (_, y) in enumerate(rows)], "doc_id long, label int"))
+    fair = " ".join(t for t, y in rows if not y)
+    fair = " ".join([fair] * (1_100_000 // len(fair) + 1))
+    df = table(spark, [(fair, "en"), (fair + " " + " ".join(BAD * 20), "en"), ("x" * 1_200_000, "en")])
+    got = {r.doc_id: r.score for r in toxicity.score(df, model).collect()}
+    assert len(got) == 3 and got[0] < 0.7 and got[1] > got[0] and 0 <= got[2] <= 1
