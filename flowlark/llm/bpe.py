@@ -198,8 +198,8 @@ def map_encoded(df: DataFrame, path: str, make: Callable, schema: str, text_col:
 
 
 def encode(df: DataFrame, path: str, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """doc_id and ids (array of int) of every row; a null text has none. Rows and ids may repeat; other columns are not
-    read."""
+    """doc_id and ids (array of int) of every row; null and empty texts have none. Very long texts are encoded whole. Rows
+    and ids may repeat; an empty table gives no rows; other columns are not read."""
 
     def listed(t, ids, starts):
         return [pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(ids, pa.int32()))]
@@ -208,7 +208,8 @@ def encode(df: DataFrame, path: str, text_col: str = "text", id_col: str = "doc_
 
 
 def decode(df: DataFrame, path: str, ids_col: str = "ids", id_col: str = "doc_id") -> DataFrame:
-    """doc_id and text of rows of ids, special tokens included; bytes that are no UTF-8 become U+FFFD. Null: empty."""
+    """doc_id and text of rows of ids, special tokens included; bytes that are no UTF-8 become U+FFFD. Null: empty.
+    Rows and ids may repeat; an empty table gives no rows; other columns are not read."""
     src = df.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(ids_col), F.array().cast("array<int>")).alias("ids"))
 
     def run(batches):

@@ -94,8 +94,8 @@ def read_chunk(payload: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray
 
 def write_ids(df: DataFrame, path: str, tokenizer: str, end_id: int | None = None, shards: int | None = None, text_col: str = "text", id_col: str = "doc_id") -> None:
     """Encodes each whole text (null: empty), appends ``end_id`` to each, and writes all ids to ``path`` in ascending
-    order of the document ids: null ids first, rows that repeat an id in the order of their texts. Other columns are not
-    read; an empty table gives a table without chunks."""
+    order of the document ids: null ids first, rows that repeat an id in the order of their texts. Very long
+    texts are encoded whole. Other columns are not read; an empty table gives a table without chunks."""
     src = df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     n = shards or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 

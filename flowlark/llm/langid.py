@@ -162,7 +162,8 @@ def identify(df: DataFrame, model: Model, text_col: str = "text", id_col: str =
 
     ``und`` with score 0 for null, empty and letterless texts, and for all if no language was learnt; with a single
     language every text with a letter is that language's. Equal texts get equal results; ties go to the language first
-    in the alphabet. Repeated ids are rows of their own; other columns are not read.
+    in the alphabet. Very long texts are read whole. Repeated ids are rows of their own; an empty table gives no rows;
+    other columns are not read.
     """
     held = df.sparkSession.sparkContext.broadcast(model)
     src = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))

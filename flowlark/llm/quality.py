@@ -124,8 +124,8 @@ def compile_rules(rules=RULES) -> Column:
 def quality_rules(df: DataFrame, text_col: str = "text", rules=RULES) -> DataFrame:
     """``df`` with the statistics and ``base_failed`` and ``kept``.
 
-    Null and empty texts have no words and fail; repeated rows and equal ids are judged each by its own text; an empty
-    table gives an empty one; other columns pass through, except those named like a result, which are replaced.
+    Null and empty texts have no words and fail; very long texts are judged whole; repeated rows and equal ids are judged
+    each by its own text; an empty table gives an empty one; other columns pass through, except those named like a result, which are replaced.
     """
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     return (

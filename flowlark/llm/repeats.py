@@ -129,7 +129,7 @@ def repeated_runs(docs: DataFrame, width: int = 20) -> DataFrame:
 
     Texts without a window (null and empty ones too) have no repeats. Rows without an id don't count as occurrences and
     have no runs. Rows that repeat an id are taken as one document where their texts agree, and get each other's runs
-    where they don't.
+    where they don't. Very long texts are searched whole; an empty table gives no rows; other columns are not read.
     """
     if width < 4 or width % 4:
         raise ValueError("width must be a multiple of 4")

@@ -176,7 +176,8 @@ def score_column(spark, model: Model, text: Column) -> Column:
 
 def score(df: DataFrame, model: Model, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """Per row: the id, score (0 to 1) and predicted (1 from a score of 0.7 on). Null, empty and letterless texts get the
-    bias' score; equal texts get equal scores; repeated ids are rows of their own; other columns are not read."""
+    bias' score; equal texts get equal scores; very long texts are scored whole; repeated ids are rows of their own; an
+    empty table gives no rows; other columns are not read."""
     held = df.sparkSession.sparkContext.broadcast(model)
     src = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     kind = src.schema["doc_id"].dataType.simpleString()
