@@ -27,6 +27,7 @@ def parser() -> argparse.ArgumentParser:
     out.add_argument("--recipe", help="a JSON or YAML file of window settings")
     out.add_argument("--cap", default=0.05, type=float, help="the false-positive rate that a primary row may have")
     out.add_argument("--epochs", default=20, type=int)
+    out.add_argument("--diversity", default=0.0, type=float, help="the weight of the memory slots' likeness in the loss")
     out.add_argument("--tree-rounds", default=60, type=int)
     out.add_argument("--select", action="store_true", help="retrain the trees on the features that matter")
     out.add_argument("--drop-windows", action="store_true", help="delete the window tables at the end")
@@ -78,7 +79,7 @@ def main(argv: list[str] | None = None) -> None:
     names = a.features.split(",") if a.features else cleaning.column_schema(clean)["numerical_features"]
     recipe = tables.read_recipe(spark, a.recipe) if a.recipe else None
     run(
-        spark, clean, a.out, a.families, features=names, recipe=recipe, scope=a.scope, budgets=a.budgets, cap=a.cap, epochs=a.epochs, tree_rounds=a.tree_rounds, select=a.select,
+        spark, clean, a.out, a.families, features=names, recipe=recipe, scope=a.scope, budgets=a.budgets, cap=a.cap, epochs=a.epochs, diversity=a.diversity, tree_rounds=a.tree_rounds, select=a.select,
     ).show(truncate=False)
     if a.drop_windows:
         for target in a.families:

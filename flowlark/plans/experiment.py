@@ -68,6 +68,7 @@ class Experiment:
     budgets: tuple[float, ...] = thresholds.BUDGETS
     cap: float = 0.05
     select: bool = False
+    diversity: float = 0.0
     least_positives: int = 50
     least_families: int = 2
     ran: list[str] = field(default_factory=list)
@@ -151,7 +152,7 @@ class Experiment:
 
         def represent() -> DataFrame:
             benign = scaled.where("split = 'train' and family = 'benign'")
-            model = models.fit_memory_autoencoder(benign, names, self.latent, self.slots, self.epochs)
+            model = models.fit_memory_autoencoder(benign, names, self.latent, self.slots, self.epochs, diversity=self.diversity)
             artifacts.save_autoencoder(self.spark, model, f"{self.models}/autoencoder")
             return models.flat_blocks(model.represent(scaled, names), len(names), self.latent).withColumn("memory_score", F.col("re_scalar"))
 

@@ -50,9 +50,23 @@ def test_runner_over_two_families_without_windows(spark, tmp_path):
     assert experiment.Detector.load(spark, out, "ddos").schema["benchmark_mode"] == "strict_nowindow"
 
 
+def test_trees_retrained_on_selected_features(spark, tmp_path):
+    """The saved trees read the protected blocks and no column that the run doesn't have, and score new flows alike."""
+    flows = view(spark, "/root/testdata/sf0.001", EVENT_FLOWS).withColumns(
+        {"original_label": F.col("attack_family"), "source_ip": F.concat("source_ip", F.lit("-"), F.floor(F.col("row_id") / 25)), "total_fwd_packets": F.when(F.col("attack_family") != "benign", 50).otherwise(F.col("total_fwd_packets"))}
+    )
+    folder = f"file://{tmp_path}"
+    out = experiment.Experiment(spark, folder, "dos", ["total_fwd_packets"], scope="disabled", latent=1, slots=2, epochs=2, tree_rounds=2, budgets=(0.05,), select=True, diversity=0.1).run(flows)
+    detector = experiment.Detector.load(spark, folder, "dos")
+    kept = detector.trees.stages[0].getInputCols()
+    assert set(models.PROTECTED) <= set(kept) <= {"total_fwd_packets", *models.block_columns(1, 1)}
+    scored = detector.score(flows).alias("d").join(out["trees"].alias("t"), "row_id").select(F.abs(F.col("d.tree_score") - F.col("t.tree_score")).alias("gap"))
+    assert scored.count() == out["trees"].count() and scored.agg(F.max("gap")).first()[0] < 1e-6
+
+
 def test_arguments():
     a = cli.parser().parse_args(["--raw", "x", "--out", "y", "--families", "dos,bot", "--budgets", "0.01"])
-    assert (a.families, a.budgets, a.scope, a.select) == (["dos", "botnet"], (0.01,), "full_source_file", False)
+    assert (a.families, a.budgets, a.scope, a.select, a.diversity) == (["dos", "botnet"], (0.01,), "full_source_file", False, 0.0)
     with pytest.raises(SystemExit):
         cli.parser().parse_args(["--raw", "x", "--out", "y", "--scope", "none"])
 
