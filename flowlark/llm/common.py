@@ -17,8 +17,12 @@ CHUNK_BYTES = 1 << 19
 #: White space between words, and nothing else: \x20 and \x09-\x0D.
 SPACES = " \t\n\x0b\f\r"
 
-_SPACE = np.zeros(256, bool)
-_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+#: Which bytes belong to a word: all but white space.
+NOT_SPACE = np.ones(256, bool)
+NOT_SPACE[[0x20, *range(0x09, 0x0E)]] = False
+#: Each byte, with A-Z lower-cased.
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[0x41:0x5B] += 0x20
 _MULT = np.uint64(0x9E3779B97F4A7C15 | 5)
 
 
@@ -61,18 +65,22 @@ def chunks(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = CH
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The column's bytes and its rows' offsets into them; null reads as empty."""
+    """The column's bytes and its rows' offsets into them; null reads as empty. Offsets have 64 bits in Arrow's large
+    types, which a session may ask for (``spark.sql.execution.arrow.useLargeVarTypes``)."""
     if column.null_count:
         column = column.fill_null("")
-    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    width = np.int64 if pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type) else np.int32
+    if not len(column):
+        return np.zeros(0, np.uint8), np.zeros(1, np.int64)
+    offsets = np.frombuffer(column.buffers()[1], width)[column.offset : column.offset + len(column) + 1].astype(np.int64)
     data = column.buffers()[2]
     data = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start and end byte of each word, and each row's first word; words never cross rows."""
-    inside = ~_SPACE[data]
+def words(data: np.ndarray, offsets: np.ndarray, table: np.ndarray = NOT_SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end byte of each word, and each row's first word; words never cross rows. ``table``: which bytes are in words."""
+    inside = table[data]
     if not len(inside):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(offsets), np.int64)
     first, last = inside.copy(), inside.copy()
@@ -119,6 +127,66 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return out
 
 
+class Vocabulary:
+    """A bounded list of words that are found among others in byte buffers: looked up by a hash of all their bytes and
+    confirmed on the bytes themselves, so that no other word is ever taken for one of them."""
+
+    def __init__(self, known: list[bytes]):
+        self.words = sorted({w for w in known if w})
+        data = np.frombuffer(b"".join(self.words), np.uint8)
+        ends = np.cumsum([len(w) for w in self.words], dtype=np.int64)
+        self.sizes = np.array([len(w) for w in self.words], np.int64)
+        self.longest = max(self.sizes.tolist(), default=0)
+        self.loads = list(self._loads(data, ends - self.sizes, self.sizes))
+        hashes = self._hashes(self.loads, self.sizes)
+        self.order = np.argsort(hashes)
+        self.hashes = hashes[self.order]
+        # Words that share a hash (never seen) stand side by side and are all tried.
+        self.tries = max(np.unique(hashes, return_counts=True)[1].tolist(), default=0)
+
+    def __len__(self) -> int:
+        return len(self.words)
+
+    def _loads(self, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> Iterator[np.ndarray]:
+        """Bytes 0 to 7 of each word, 8 to 15 and so on as integers, zeros after its end."""
+        reach = -(-self.longest // 8) * 8
+        padded = np.concatenate([data, np.zeros(reach + 8, np.uint8)])
+        whole = np.ndarray(len(data) + reach + 1, np.uint64, padded.data, strides=(1,))
+        for at in range(0, reach, 8):
+            yield whole[starts + at] & _KEEP[np.clip(sizes - at, 0, 8)]
+
+    @staticmethod
+    def _hashes(loads: list[np.ndarray], sizes: np.ndarray) -> np.ndarray:
+        out = sizes.astype(np.uint64)
+        for k, load in enumerate(loads):
+            if k:
+                long = np.flatnonzero(sizes > 8 * k)
+                out[long] = mix64(out[long] + load[long])
+            else:
+                out = mix64(out + load * np.uint64(0x9E3779B97F4A7C15))
+        return out
+
+    def find(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """For each word its place in ``words``, -1 if it isn't there."""
+        sizes = ends - starts
+        out = np.full(len(starts), -1, np.int64)
+        may = np.flatnonzero(sizes <= self.longest)
+        if not len(may) or not len(self):
+            return out
+        sizes = sizes[may]
+        loads = list(self._loads(data, starts[may], sizes))
+        hashes = self._hashes(loads, sizes)
+        at = np.searchsorted(self.hashes, hashes)
+        for k in range(self.tries):
+            place = np.minimum(at + k, len(self) - 1)
+            word = self.order[place]
+            same = (self.hashes[place] == hashes) & (self.sizes[word] == sizes)
+            for mine, theirs in zip(self.loads, loads, strict=True):
+                same &= mine[word] == theirs
+            out[may[same]] = word[same]
+        return out
+
+
 def window_hashes(hashes: np.ndarray, width: int) -> np.ndarray:
     """A 64-bit hash of each run of ``width`` consecutive values, over row borders too; the caller drops those."""
     n = len(hashes) - width + 1

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, chat, idfile, langid, minhash, oracles, packing, quality, repeats, toxicity
+from . import ann, audit, bpe, chat, idfile, langid, lexical, licences, minhash, oracles, packing, quality, repeats, toxicity
 from .common import crc_mod, fresh_path, light_workers, read
 from .tokens import public
 
@@ -104,6 +104,31 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+def op13_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    found = licences.scan(docs, licences.build_index(docs))
+    base = F.filter("hits", lambda x: x["phrase"])
+    starts = F.transform(base, lambda x: x["start"])
+    joined = lambda hits: F.array_join(F.array_sort(F.array_distinct(F.transform(hits, lambda x: x["label"]))), ",")
+    return found.select(
+        "doc_id",
+        "n_words",
+        F.size(base).cast("long").alias("n_base"),
+        F.array_min(starts).alias("first_word"),
+        F.array_max(starts).alias("last_word"),
+        joined(base).alias("base_labels"),
+        joined(F.col("hits")).alias("labels"),
+        F.coalesce(F.array_max(F.transform("hits", lambda x: x["share"])), F.lit(0.0)).alias("score"),
+    )
+
 
 def _light(query):
     """The query, in a session whose Python workers are kept small."""
@@ -120,7 +145,7 @@ QUERIES = {
     f.__name__: _light(f)
     for f in (
         op1_language_id, op2_toxicity, op3_bpe, op4_packing, op5_minhash_dedup, op6_substring_dedup, op7_chat_formatting,
-        op8_nearest_neighbours, op9_token_id_files, op10_quality_rules,
+        op8_nearest_neighbours, op9_token_id_files, op10_quality_rules, op11_filter_audit, op12_lexical_search, op13_license_scan,
     )
 }
 ORACLE_SQL: dict[str, str] = dict(oracles.SQL)
