@@ -3,12 +3,14 @@
 Every feature of a row looks back from that row in its group: over the last W rows (``RowsFrame``) or over the rows of
 the last S whole seconds (``TimeFrame``), the row itself included and later rows of the same second left out.
 
-How it runs. One shuffle brings each group together; all windows share it. A hot group is split into blocks of
-consecutive rows, each with the earlier rows that its frames look back to (``_in_blocks``). A row costs the same whatever its
+How it runs. One shuffle by group brings each group together; all windows share it. A row costs the same whatever its
 frames hold: sums and counts are differences of running sums, distinct counts and entropies are running sums of what
 enters and leaves the frame. A running sum's part before a time frame ends at a whole second, so rows of one second,
-however many, need no special case. Largest frequencies have no such sum: one pass over the sorted rows keeps each
-frame's counts in Arrow batches (``_with_top_shares``).
+however many, need no special case. Largest frequencies have no such sum: where they are asked for, a narrow pass over
+the groups' places, seconds and values keeps each frame's counts in Arrow batches (``_top_shares``).
+
+A group that is too large for one task is not windowed at all: its rows are put into order, cut into blocks anywhere, and
+scanned in two phases with a carry from block to block (``scans``). Only the features that are asked for are worked out.
 """
 
 from __future__ import annotations
@@ -17,7 +19,6 @@ from collections import defaultdict, deque
 from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -26,11 +27,12 @@ from pyspark.sql import types as T
 
 from ..functions.config import recipe, required_columns
 from ..functions.expressions import f_log_f
+from ..functions.storage import stored
+from . import scans
 
-#: A group is hot if it has more than HOT_ROWS rows and more than 1 / HOT_GROUPS of all rows: HOT_GROUPS groups at most.
-HOT_ROWS, HOT_GROUPS = 1 << 21, 4096
-#: Bins of time that a hot group's rows are counted in, for each block's worth of rows.
-BINS = 8
+#: A group is hot if it has more than HOT_ROWS rows and more than 1 / HOT_GROUPS of all rows (so HOT_GROUPS groups at most),
+#: or too many for a row's place within a second (2**PLACE_BITS).
+HOT_ROWS, HOT_GROUPS, PLACE_BITS = 1 << 16, 4096, 24
 #: Rows without a whole group key have no frames; they are dealt to so many tasks.
 KEYLESS = 4096
 
@@ -41,6 +43,9 @@ class Frame:
     A helper of a stage may use those of earlier stages, since a window function can't hold another one.
     """
 
+    kind = ""
+    tag = property(lambda self: f"{self.kind}{self.size}")
+
     def __init__(self, group: list[str], size: int, stages: list[dict[str, Column]], tops: dict[str, tuple[str, str, int]]):
         self.group, self.size, self.stages, self.tops = group, size, stages, tops
 
@@ -53,7 +58,7 @@ class Frame:
     def top_share(self, value: str) -> Column:
         """The share of the frame's most frequent value, from the last pass over the rows."""
         name = f"_top{value}_{self.tag}"
-        self.tops[name] = (value, self.tag[0], self.size)
+        self.tops[name] = (value, self.kind, self.size)
         return F.col(name)
 
     def share(self, x: Column) -> Column:
@@ -72,7 +77,7 @@ class Frame:
 class RowsFrame(Frame):
     """The last ``size`` rows."""
 
-    tag = property(lambda self: f"r{self.size}")
+    kind = "r"
 
     @property
     def n(self) -> Column:
@@ -122,19 +127,21 @@ class TimeFrame(Frame):
     """The rows of the last ``size`` seconds, up to the row itself; a row just ``size`` seconds old is in.
 
     What left the frame is whatever lies ``size`` + 1 seconds back or more: a RANGE from the group's beginning, which only
-    grows from row to row.
+    grows from row to row. Ranges are over ``_o``, the row's second and, in its lower bits, its place in the group, so that
+    one sort serves them and the running sums; a whole second less one is as far as a place can be off.
     """
 
-    tag = property(lambda self: f"t{self.size}")
+    kind = "t"
+    far = property(lambda self: ((self.size + 1) << PLACE_BITS) - 1)
+
+    def _own(self, *values: str):
+        return W.partitionBy(*self.group, *values).orderBy("_o")
 
     def _so_far(self, *values: str):
-        return W.partitionBy(*self.group, *values).orderBy("_rn").rowsBetween(W.unboundedPreceding, 0)
+        return self._own(*values).rowsBetween(W.unboundedPreceding, 0)
 
     def _left(self, *values: str):
-        return W.partitionBy(*self.group, *values).orderBy("_t").rangeBetween(W.unboundedPreceding, -(self.size + 1))
-
-    def _own(self, value: str):
-        return W.partitionBy(*self.group, value)
+        return self._own(*values).rangeBetween(W.unboundedPreceding, -self.far)
 
     @property
     def n(self) -> Column:
@@ -150,7 +157,7 @@ class TimeFrame(Frame):
 
     def distinct(self, value: str) -> Column:
         """A value enters with a row that finds it in no frame, and leaves with the last row before a pause in it."""
-        own = lambda: self._own(value).orderBy("_rn")
+        own = lambda: self._own(value)
         before, after = self.helper(0, f"_since{value}", lambda: F.lag("_t").over(own())), self.helper(0, f"_until{value}", lambda: F.lead("_t").over(own()))
         new = F.coalesce(F.col("_t") - before > self.size, F.lit(True)).cast("int")
         lost = F.coalesce(after - F.col("_t") > self.size, F.lit(True)).cast("int")
@@ -161,20 +168,51 @@ class TimeFrame(Frame):
         """The sum of f * log2 f changes by what an entering row adds and a leaving one takes away. A leaving row is the
         oldest of its value; it meets the rows that came with it or up to ``size`` seconds after it."""
         into = self.count_of(value)
-        until = self.helper(0, f"_meet{value}_{self.tag}", lambda: F.count(F.lit(1)).over(self._own(value).orderBy("_t").rangeBetween(W.unboundedPreceding, self.size)))
+        until = self.helper(0, f"_meet{value}_{self.tag}", lambda: F.count(F.lit(1)).over(self._own(value).rangeBetween(W.unboundedPreceding, self.far)))
         out = until - F.col(f"_upto{value}") + 1
         came = self.helper(1, f"_fcame{value}_{self.tag}", lambda: F.sum(f_log_f(into) - f_log_f(into - 1)).over(self._so_far()))
         went = self.helper(1, f"_fwent{value}_{self.tag}", lambda: F.sum(f_log_f(out) - f_log_f(out - 1)).over(self._left()))
         return self._entropy(came - F.coalesce(went, F.lit(0.0)))
 
 
+class ScannedFrame(Frame):
+    """A frame of a hot group, whose parts are columns that a segmented scan makes; it says which ones it needs."""
+
+    def __init__(self, kind: str, size: int, needs: dict[str, tuple[str, int, str, tuple]]):
+        self.kind, self.size, self.needs = kind, size, needs
+
+    def _part(self, what: str, *values: str) -> Column:
+        name = f"_{what}{''.join(values)}_{self.tag}"
+        self.needs[name] = (self.kind, self.size, what, values)
+        return F.col(name)
+
+    @property
+    def n(self) -> Column:
+        return self.total("_one")
+
+    def total(self, x: str) -> Column:
+        return self._part("total", x)
+
+    def count_of(self, *values: str) -> Column:
+        return self._part("count", *values)
+
+    def distinct(self, value: str) -> Column:
+        return self._part("distinct", value)
+
+    def entropy(self, value: str) -> Column:
+        return self._entropy(self._part("spread", value))
+
+    def top_share(self, value: str) -> Column:
+        return self._part("top", value) / self.n
+
+
 def _top_share(kind: str, size: int):
     """A function from the next row's (place, second, value) to the share of the most frequent value in its frame. It keeps
     the frame's rows, the count of each value and how many values have each count, so a row costs the same whatever the
     frame holds. Place 1 begins a group."""
     rows, held, having, top = deque(), defaultdict(int), defaultdict(int), 0
 
-    def step(place: int, second: int, value: str) -> float:
+    def step(place: int, second: int, value: int) -> float:
         nonlocal top
         if place == 1:
             rows.clear()
@@ -202,31 +240,36 @@ def _top_share(kind: str, size: int):
     return step
 
 
-def _with_top_shares(df: DataFrame, group: list[str], tops: dict[str, tuple[str, str, int]]) -> DataFrame:
-    """``df`` with the shares of the frames' most frequent values, from one pass over the rows in their order. A group's
-    rows are in one partition before, so this sorts but doesn't shuffle."""
-    schema = T.StructType([*df.schema.fields, *[T.StructField(name, T.DoubleType()) for name in tops]])
+def _top_shares(rows: DataFrame, group: list[str], tops: dict[str, tuple[str, str, int]]) -> DataFrame:
+    """The group, the place and the shares of the frames' most frequent values, from one pass over narrow rows in their
+    order. They leave it dealt by group as the wide rows are, so these needn't move to meet them."""
+    keep, values = [*group, "_rn", "_t"], sorted({value for value, _, _ in tops.values()})
+    rows = rows.select(*keep, *values).sortWithinPartitions(*group, "_rn")
+    schema = T.StructType([*rows.schema.fields[: len(keep) - 1], *[T.StructField(name, T.DoubleType()) for name in tops]])
 
     def run(batches):
         steps = [(value, _top_share(kind, size)) for value, kind, size in tops.values()]
+        numbers: dict[str, dict] = {value: {} for value in values}
         for batch in batches:
-            at = {c: batch.column(batch.schema.get_field_index(c)).to_pylist() for c in {"_rn", "_t", *(value for value, _ in steps)}}
-            made = [pa.array(map(step, at["_rn"], at["_t"], at[value]), pa.float64()) for value, step in steps]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *made], [*batch.schema.names, *tops])
+            coded = {}
+            for value in values:
+                column = batch.column(batch.schema.get_field_index(value)).dictionary_encode()
+                known = numbers[value]
+                number = np.array([known.setdefault(v, len(known)) for v in column.dictionary.to_pylist()], np.int64)
+                coded[value] = number[column.indices.to_numpy()].tolist()
+            place, second = (batch.column(len(keep) - k).to_pylist() for k in (2, 1))
+            made = [pa.array(map(step, place, second, coded[value]), pa.float64()) for value, step in steps]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep) - 1], *made], [*keep[:-1], *tops])
 
-    return df.sortWithinPartitions(*group, "_rn").mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema).repartition(*group)
 
 
 def _flag_ratio(f: Frame, flag: str) -> Column:
     ack = f.total("_ack")
-    base = ack + 1e-6 if isinstance(f, RowsFrame) else F.greatest(ack, F.lit(1e-6))
+    base = ack + 1e-6 if f.kind == "r" else F.greatest(ack, F.lit(1e-6))
     return f.total(f"_{flag}") / base
 
 
-def _top_share_of_address(f: Frame) -> Column:
-    return f.top_share("_di")
-
-
 #: Features in their order: the name without its size, the switches that must all be on, where they exist (r: row
 #: frames, t: time frames), and the value. The order is a contract; names are listed here and nowhere else.
 FEATURES = (
@@ -263,9 +306,9 @@ FEATURES = (
     ("inter_arrival_regularity", "timing_regularity", "rt", lambda f: f.inter_arrival()[1]),
     ("beaconing_score", "beaconing_detection", "r", lambda f: f.inter_arrival()[1] * f.n / max(f.size, 1)),
     ("dest_ip_entropy", "dest_concentration", "rt", lambda f: f.entropy("_di")),
-    ("single_dest_ratio", "dest_concentration", "rt", _top_share_of_address),
+    ("single_dest_ratio", "dest_concentration", "rt", lambda f: f.top_share("_di")),
     ("port_per_dest_ip", "dest_concentration", "rt", lambda f: f.distinct("_dp") / F.greatest(f.distinct("_di"), F.lit(1.0))),
-    ("dest_ip_concentration", "beaconing_detection", "t", _top_share_of_address),
+    ("dest_ip_concentration", "beaconing_detection", "t", lambda f: f.top_share("_di")),
 )
 
 
@@ -321,57 +364,24 @@ def context_features_names(cfg: dict) -> list[str]:
     return names
 
 
-def _blocks(bins: pd.DataFrame, enough: int, rows_back: int, seconds_back: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Which bins make up which blocks of a group, as (bin, block, own). ``bins``: their first second ``_start``, ``_width``
-    and rows ``_n``, in order. A block has ``enough`` rows and is as long as the longest time frame, so that it reaches back
-    into few others. The bins before it that hold its frames' rows, and the row before those, are in it without being its own."""
-    start, n = bins["_start"].to_numpy(), bins["_n"].to_numpy()
-    after = n.cumsum()
-    before = after - n
-    first = [0]
-    for k in range(1, len(bins)):
-        if before[k] - before[first[-1]] >= enough and start[k] - start[first[-1]] >= seconds_back:
-            first.append(k)
-    in_time = np.searchsorted(start + bins["_width"].to_numpy(), start - seconds_back, "right")
-    oldest = np.minimum(before - rows_back, before[in_time]) - 1
-    spans = [(int(np.searchsorted(after, max(oldest[k], 0), "right")), k, end) for k, end in zip(first, [*first[1:], len(bins)], strict=True)]
-    at = np.concatenate([np.arange(a, end) for a, _, end in spans])
-    block = np.repeat(np.arange(len(spans)), [end - a for a, _, end in spans])
-    return at, block, at >= np.array(first)[block]
-
-
-def _in_blocks(df: DataFrame, cfg: dict) -> DataFrame:
-    """``df`` with _block and _own. Each row is in its own block (_own), and again in later blocks whose frames reach it.
-
-    Only hot groups have more than one block. Bins are whole seconds, so rows of a second stay together; rows without a
-    time come last and lie in the last bin. A group without times isn't split.
-    """
-    group, sizes = cfg["group_by"], [0, *map(int, cfg["window_sizes"])]
-    seconds_back = max([0, *map(int, cfg["time_window_seconds"])])
-    second = F.unix_seconds(F.col(cfg["timestamp_column"]).cast("timestamp"))
-    whole = _whole(group)
-    counts = df.where(whole).groupBy(*group).agg(F.count(F.lit(1)).alias("_n"), F.min(second).alias("_lo"), F.max(second).alias("_hi"))
-    total, most = counts.agg(F.sum("_n"), F.max("_n")).first()
-    enough = max(HOT_ROWS, (total or 0) // HOT_GROUPS, 4 * max(sizes))
-    dealt = F.when(whole, F.lit(0)).otherwise(F.pmod(F.xxhash64(*cfg["order_by"]), F.lit(KEYLESS))).cast("long")
-    if (most or 0) <= enough:
-        return df.withColumns({"_block": dealt, "_own": F.lit(True)})
-    # At most HOT_GROUPS rows, and 2 * BINS * HOT_GROUPS bins.
-    width = F.ceil((F.col("_hi") - F.col("_lo") + 1) / (BINS * F.ceil(F.col("_n") / enough)))
-    hot = counts.where((F.col("_n") > enough) & (F.col("_lo") < F.col("_hi"))).select(*group, "_lo", "_hi", width.alias("_width"))
-    hot = F.broadcast(df.sparkSession.createDataFrame(hot.collect(), hot.schema))
-    rows = df.join(hot, group, "left").withColumn("_bin", F.floor((F.coalesce(second, F.col("_hi")) - F.col("_lo")) / F.col("_width")))
-    bins = rows.where("_bin is not null").groupBy(*group, "_bin").agg(F.count(F.lit(1)).alias("_n"), F.first("_width").alias("_width"), F.first(F.col("_lo") + F.col("_bin") * F.col("_width")).alias("_start"))
-
-    def place(bins: pd.DataFrame) -> pd.DataFrame:
-        bins = bins.sort_values("_bin", ignore_index=True)
-        at, block, own = _blocks(bins, enough, max(sizes), seconds_back)
-        return bins.loc[at, [*group, "_bin"]].assign(_block=block, _own=own)
-
-    schema = T.StructType([*[df.schema[c] for c in group], *[T.StructField(c, t) for c, t in (("_bin", T.LongType()), ("_block", T.LongType()), ("_own", T.BooleanType()))]])
-    places = bins.groupBy(*group).applyInPandas(place, schema).groupBy(*group, "_bin").agg(F.collect_list(F.struct("_block", "_own")).alias("_places"))
-    rows = rows.join(F.broadcast(places), [*group, "_bin"], "left")
-    return rows.withColumn("_place", F.explode(F.coalesce("_places", F.array(F.struct(dealt.alias("_block"), F.lit(True).alias("_own")))))).select(*df.columns, "_place.*")
+def _hot_groups(df: DataFrame, cfg: dict) -> tuple[DataFrame | None, int]:
+    """The keys of the hot groups with a number _gid, their rows _n and last second _hi, and the rows of all of them."""
+    group = cfg["group_by"]
+    counts = df.where(_whole(group)).groupBy(*group).agg(F.count(F.lit(1)).alias("_n"), F.max(_second(cfg)).alias("_hi"))
+    total = counts.agg(F.sum("_n")).first()[0] or 0
+    enough = min(max(HOT_ROWS, total // HOT_GROUPS), (1 << PLACE_BITS) - 1)
+    if total <= enough:
+        return None, 0
+    hot = counts.where(F.col("_n") > enough)
+    rows = hot.collect()  # HOT_GROUPS at most, or one for every 2**PLACE_BITS rows
+    if not rows:
+        return None, 0
+    schema = T.StructType([*hot.schema.fields, T.StructField("_gid", T.LongType())])
+    return df.sparkSession.createDataFrame([(*row, k) for k, row in enumerate(rows)], schema), sum(row["_n"] for row in rows)
+
+
+def _second(cfg: dict) -> Column:
+    return F.unix_seconds(F.col(cfg["timestamp_column"]).cast("timestamp"))
 
 
 def _whole(group: list[str]) -> Column:
@@ -382,20 +392,16 @@ def _whole(group: list[str]) -> Column:
     return whole
 
 
-def prelude(df: DataFrame, cfg: dict) -> DataFrame:
-    """The helper columns that all frames build on: position, second, values and indicators.
-
-    Times are whole seconds. Rows without one come last in their group and take its last known time, else their position.
-    """
-    group = cfg["group_by"]
+def _values(df: DataFrame, cfg: dict) -> DataFrame:
+    """The helper columns of a row alone: its second and what features are made of; missing ports are -1, sums 0."""
     has = lambda c: c is not None and c in df.columns
     port = lambda c: F.coalesce(F.col(c).cast("int"), F.lit(-1)) if has(c) else F.lit(-1)
     both = lambda pair: F.coalesce(F.col(pair["fwd"]).cast("double") + F.col(pair["bwd"]).cast("double"), F.lit(0.0)) if all(map(has, pair.values())) else F.lit(0.0)
     count = lambda c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) if has(c) else F.lit(0.0)
     address = cfg["destination_ip_column"]
-    df = df.repartition(*group).withColumns(
+    return df.withColumns(
         {
-            "_ts": F.unix_seconds(F.col(cfg["timestamp_column"]).cast("timestamp")),
+            "_ts": _second(cfg),
             "_dp": port(cfg["destination_port_column"]),
             "_sp": port(cfg["source_port_column"]),
             "_di": F.coalesce(F.col(address).cast("string"), F.lit("missing")) if has(address) else F.lit("missing"),
@@ -404,18 +410,17 @@ def prelude(df: DataFrame, cfg: dict) -> DataFrame:
             **{f"_{k}": count(c) for k, c in cfg["flag_columns"].items()},
         }
     )
-    order = W.partitionBy(*group).orderBy(*[F.col(c).asc_nulls_last() for c in cfg["order_by"]])
-    df = df.withColumn("_rn", F.row_number().over(order).cast("long"))
-    by_place = W.partitionBy(*group).orderBy("_rn")
-    df = df.withColumn("_t", F.coalesce(F.last("_ts", True).over(by_place.rowsBetween(W.unboundedPreceding, 0)), F.col("_rn") - 1))
-    lag = lambda c: F.lag(c).over(by_place)
-    df = df.withColumns({"_gap": F.coalesce(F.col("_t") - lag("_t"), F.lit(0)).cast("double"), "_was": lag("_dp")})
+
+
+def _indicators(df: DataFrame, cfg: dict) -> DataFrame:
+    """The helper columns that compare a row with the one before it, whose second and port are ``_t_was`` and ``_was``."""
+    has = lambda c: c is not None and c in df.columns
     short = (F.col("_packets") <= cfg["short_flow_packet_threshold"]).cast("double")
     small = (F.col("_bytes") <= cfg["small_flow_byte_threshold"]).cast("double")
     yes = lambda x: F.coalesce(x, F.lit(False)).cast("double")
     known = all(has(c) for pair in ("packet_columns", "byte_columns") for c in cfg[pair].values())
     flags = all(map(has, cfg["flag_columns"].values()))
-    return df.withColumns(
+    return df.withColumn("_gap", F.coalesce(F.col("_t") - F.col("_t_was"), F.lit(0)).cast("double")).withColumns(
         {
             "_gap2": F.col("_gap") * F.col("_gap"),
             "_quick": ((F.col("_rn") > 1) & (F.col("_gap") <= cfg["burst_gap_seconds"])).cast("double"),
@@ -431,8 +436,58 @@ def prelude(df: DataFrame, cfg: dict) -> DataFrame:
     )
 
 
-def add_window_features(df: DataFrame, changes: dict | None = None, kind: str = "float") -> DataFrame:
-    """``df`` with the recipe's features as columns of type ``kind``, after its own columns.
+def _ordering(cfg: dict) -> list[Column]:
+    return [F.col(c).asc_nulls_last() for c in cfg["order_by"]]
+
+
+def prelude(df: DataFrame, cfg: dict) -> DataFrame:
+    """The helper columns that all frames build on: position, second, values and indicators.
+
+    Times are whole seconds. Rows without one come last in their group and take its last known time, else their position.
+    """
+    group = cfg["group_by"]
+    df = _values(df.repartition(*group), cfg)
+    order = W.partitionBy(*group).orderBy(*_ordering(cfg))
+    last = F.max("_ts").over(W.partitionBy(*group))
+    df = df.withColumns({"_rn": F.row_number().over(order).cast("long"), "_was": F.lag("_dp").over(order), "_ts_was": F.lag("_ts").over(order), "_last": last})
+    at = lambda ts, back: F.coalesce(ts, "_last", F.col("_rn") - back)
+    df = df.withColumns({"_t": at("_ts", 1), "_t_was": F.when(F.col("_rn") > 1, at("_ts_was", 2))})
+    return _indicators(df.withColumn("_o", F.shiftleft("_t", PLACE_BITS) + F.col("_rn")), cfg)
+
+
+def _by_windows(df: DataFrame, cfg: dict, sliding: list, context: dict[str, Column], kind: str) -> DataFrame:
+    """The features of groups that are each one task's. Rows without a whole key have no frames and are dealt to many tasks."""
+    columns, whole = df.columns, _whole(cfg["group_by"])
+    dealt = F.when(whole, F.lit(0)).otherwise(F.pmod(F.xxhash64(*cfg["order_by"]), F.lit(KEYLESS))).cast("long")
+    df, cfg = df.withColumn("_block", dealt), {**cfg, "group_by": [*cfg["group_by"], "_block"]}
+    stages: list[dict[str, Column]] = [{}, {}, {}]
+    tops: dict[str, tuple[str, str, int]] = {}
+    values = {name: value((RowsFrame if frame == "r" else TimeFrame)(cfg["group_by"], size, stages, tops)) for name, frame, size, value in sliding}
+    out = prelude(df, cfg)
+    if tops:
+        shares = _top_shares(prelude(df.where(whole), cfg), cfg["group_by"], tops)
+        out = out.join(shares, [*cfg["group_by"], "_rn"], "left")
+    for stage in stages:
+        out = out.withColumns(stage) if stage else out
+    made = [F.when(whole, v).otherwise(F.lit(0.0)).cast(kind).alias(name) for name, v in values.items()]
+    return out.select(*columns, *[v.cast(kind).alias(name) for name, v in context.items()], *made)
+
+
+def _by_scans(df: DataFrame, cfg: dict, sliding: list, context: dict[str, Column], kind: str, rows: int) -> DataFrame:
+    """The features of hot groups (with _gid, _n and _hi), from scans over blocks of their rows."""
+    columns = [c for c in df.columns if c not in ("_gid", "_n", "_hi")]
+    needs: dict[str, tuple[str, int, str, tuple]] = {}
+    values = {name: value(ScannedFrame(frame, size, needs)) for name, frame, size, value in sliding}
+    placed = scans.with_neighbours(scans.ordered(_values(df, cfg), [F.col("_gid"), *_ordering(cfg)], rows), ["_dp", "_ts"])
+    at = lambda ts, back: F.coalesce(ts, "_hi", F.col("_rn") - back)
+    placed = placed.withColumns({"_t": at("_ts", 1), "_was": F.col("_before._dp"), "_t_was": F.when(F.col("_rn") > 1, at("_before._ts", 2))})
+    placed = _indicators(placed, cfg).withColumns({"_one": F.lit(1.0), "_end": F.coalesce("_hi", F.col("_n") - 1)}).drop("_before")
+    out = scans.with_frames(stored(placed, "placed"), rows, needs)
+    return out.select(*columns, *[v.cast(kind).alias(name) for name, v in context.items()], *[v.cast(kind).alias(name) for name, v in values.items()])
+
+
+def add_window_features(df: DataFrame, changes: dict | None = None, kind: str = "float", columns: list[str] | None = None) -> DataFrame:
+    """``df`` with the recipe's features as columns of type ``kind``, after its own columns; only those in ``columns``, if given.
 
     Rows with a missing group key keep their context features and have 0 for every sliding one. Columns that the recipe
     needs must exist: nothing is silently 0. Windows stay within a source file if the table has that column.
@@ -442,27 +497,17 @@ def add_window_features(df: DataFrame, changes: dict | None = None, kind: str =
         cfg["group_by"] = ["source_file", *cfg["group_by"]]
     if missing := [c for c in required_columns(cfg) if c not in df.columns]:
         raise ValueError(f"missing columns: {', '.join(missing)}")
-    whole, columns = _whole(cfg["group_by"]), df.columns
-    df = _in_blocks(df, cfg)
-    cfg["group_by"] = [*cfg["group_by"], "_block"]
-    stages: list[dict[str, Column]] = [{}, {}, {}]
-    tops: dict[str, tuple[str, str, int]] = {}
-    values: dict[str, Column] = {}
-    for name, frame, size, value in _frame_features(cfg):
-        values[name] = value((RowsFrame if frame == "r" else TimeFrame)(cfg["group_by"], size, stages, tops))
-    out = prelude(df, cfg)
-    for stage in stages:
-        out = out.withColumns(stage) if stage else out
-    context = [v.cast(kind).alias(name) for name, v in context_features(cfg).items()]
-    sliding = {name: F.when(whole, v).otherwise(F.lit(0.0)).cast(kind).alias(name) for name, v in values.items()}
-    if tops:
-        # What the last pass doesn't give is worked out before it, so that only results go through it.
-        late = [name for name, _, _, value in _frame_features(cfg) if value is _top_share_of_address]
-        early = [v for name, v in sliding.items() if name not in late]
-        needed = dict.fromkeys(["_own", "_block", "_rn", "_t", *(value for value, _, _ in tops.values())])
-        out = _with_top_shares(out.select(*columns, *needed, *context, *early), cfg["group_by"], tops)
-        context, sliding = [F.col(name) for name in context_features(cfg)], {name: v if name in late else F.col(name) for name, v in sliding.items()}
-    return out.where("_own").select(*columns, *context, *sliding.values())
+    asked = lambda name: columns is None or name in columns
+    sliding = [x for x in _frame_features(cfg) if asked(x[0])]
+    context = {name: v for name, v in context_features(cfg).items() if asked(name)}
+    if not sliding:
+        return _values(df, cfg).select(*df.columns, *[v.cast(kind).alias(name) for name, v in context.items()])
+    hot, rows = _hot_groups(df, cfg)
+    if hot is None:
+        return _by_windows(df, cfg, sliding, context, kind)
+    marked = df.join(F.broadcast(hot), cfg["group_by"], "left").select(*df.columns, "_gid", "_n", "_hi")
+    cold = _by_windows(marked.where("_gid is null").drop("_gid", "_n", "_hi"), cfg, sliding, context, kind)
+    return cold.unionByName(_by_scans(marked.where("_gid is not null"), cfg, sliding, context, kind, rows))
 
 
 #: Which splits' rows a split's windows may see, under the causal scope (fixed values).
@@ -475,12 +520,12 @@ CAUSAL = {
 }
 
 
-def scoped_window_features(df: DataFrame, splits: DataFrame, scope: str = "full_source_file", changes: dict | None = None, kind: str = "float") -> DataFrame:
+def scoped_window_features(df: DataFrame, splits: DataFrame, scope: str = "full_source_file", changes: dict | None = None, kind: str = "float", columns: list[str] | None = None) -> DataFrame:
     """Features of the rows in ``splits`` (row_id, split), whose windows see what the scope allows: all rows of the file
     (``full_source_file``), only the split's own (``split_only``), or the split's and those before it
     (``causal_past_only``). Other rows are left out."""
     if scope == "full_source_file":
-        return add_window_features(df, changes, kind).join(splits, "row_id")
+        return add_window_features(df, changes, kind, columns).join(splits, "row_id")
     labelled = df.join(splits, "row_id")
     if scope == "split_only":
         allowed = {name: (name,) for name in CAUSAL}
@@ -493,4 +538,4 @@ def scoped_window_features(df: DataFrame, splits: DataFrame, scope: str = "full_
     seen = labelled.withColumn("_s", F.explode(F.filter(seers, lambda x: F.array_contains(x["seen"], F.col("split"))))).withColumn("_seer", F.col("_s.seer")).drop("_s")
     cfg = dict(changes or {})
     cfg["group_by"] = [*recipe(changes)["group_by"], "_seer"]
-    return add_window_features(seen, cfg, kind).where("_seer = split").drop("_seer")
+    return add_window_features(seen, cfg, kind, columns).where("_seer = split").drop("_seer")

@@ -23,7 +23,7 @@ def _rounded(df: DataFrame, names: list[str]) -> DataFrame:
 
 def _query(flows: str, recipe: dict, names: list[str]):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return _rounded(add_window_features(view(spark, sf_dir, flows), recipe, "double"), names)
+        return _rounded(add_window_features(view(spark, sf_dir, flows), recipe, "double", names), names)
 
     return run
 
@@ -139,7 +139,8 @@ _add("window_dense_host", DENSE_FLOWS, _recipe([], [600]), ("flow_count", "uniqu
 def window_dense_host_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All features over frames of an hour that hold the whole table in the end."""
     recipe = _recipe([1000], [3600])
-    return _rounded(add_window_features(view(spark, sf_dir, DENSE_FLOWS), recipe, "double"), [n for n in feature_names(recipe) if not n.startswith("ctx_")])
+    names = [n for n in feature_names(recipe) if not n.startswith("ctx_")]
+    return _rounded(add_window_features(view(spark, sf_dir, DENSE_FLOWS), recipe, "double", names), names)
 
 
 QUERIES["window_dense_host_all"] = window_dense_host_all
@@ -148,7 +149,7 @@ QUERIES["window_dense_host_all"] = window_dense_host_all
 def window_largest_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     recipe = _recipe([20], [7 * DAY])
     names = [n for n in feature_names(recipe) if any(c in n for c in COLLECTING)]
-    return _rounded(add_window_features(view(spark, sf_dir, EVENT_FLOWS), recipe, "double"), names)
+    return _rounded(add_window_features(view(spark, sf_dir, EVENT_FLOWS), recipe, "double", names), names)
 
 
 def _largest(kind: str, bound: str) -> str:
@@ -164,8 +165,8 @@ ORACLE_SQL["window_largest_frequency"] = f"""{_prelude(EVENT_FLOWS)} SELECT row_
 
 def context_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     recipe = _recipe([5], [], include_flow_count=True)
-    df = add_window_features(view(spark, sf_dir, EVENT_FLOWS), recipe, "double")
-    return df.select("row_id", *[n for n in feature_names(recipe) if n.startswith("ctx_")])
+    names = [n for n in feature_names(recipe) if n.startswith("ctx_")]
+    return add_window_features(view(spark, sf_dir, EVENT_FLOWS), recipe, "double", names).select("row_id", *names)
 
 
 def _context_sql() -> str:
@@ -190,8 +191,9 @@ _SPLIT = "CASE row_id % 5 WHEN 0 THEN 'train' WHEN 1 THEN 'model_selection_val'
 def _scope(scope: str):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         df = view(spark, sf_dir, EVENT_FLOWS)
-        made = scoped_window_features(df, df.select("row_id", F.expr(_SPLIT).alias("split")), scope, _recipe([25], []), "double")
-        return made.select("row_id", "split", "win_flow_count_25", "win_unique_destination_port_25", "win_packets_sum_25")
+        names = ["win_flow_count_25", "win_unique_destination_port_25", "win_packets_sum_25"]
+        made = scoped_window_features(df, df.select("row_id", F.expr(_SPLIT).alias("split")), scope, _recipe([25], []), "double", names)
+        return made.select("row_id", "split", *names)
 
     return run
 

@@ -5,12 +5,12 @@ import math
 import random
 from collections import Counter, deque
 
-import pandas as pd
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from flowlark.functions.config import DEFAULTS, OFF, SHIPPED, recipe, required_columns
-from flowlark.operators import windows
+from flowlark.operators import scans, windows
 from flowlark.operators.windows import add_window_features, feature_names, scoped_window_features
 
 ALL = {f"include_{k}": True for k in OFF}
@@ -114,40 +114,81 @@ def test_features_match_a_queue(spark, seed, sizes, seconds):
             assert math.isclose(got[i][n], want[i][n], abs_tol=1e-9), (i, n, got[i][n], want[i][n])
 
 
-@pytest.mark.parametrize("sizes,seconds", [([1, 3, 5], [0, 2, 9]), ([7], []), ([], [12])])
-def test_hot_groups_in_blocks_match_a_queue(spark, monkeypatch, sizes, seconds):
-    monkeypatch.setattr(windows, "HOT_ROWS", 25)
-    rows = flows(500, 5)
-    cfg = {**ALL, "window_sizes": sizes, "time_window_seconds": seconds}
+def against_a_queue(spark, rows, sizes, seconds, **more):
+    cfg = {**ALL, "window_sizes": sizes, "time_window_seconds": seconds, **more}
     df = spark.createDataFrame(rows, SCHEMA)
-    blocks = windows._in_blocks(df, recipe(cfg))
-    assert blocks.where("_own and source_ip is not null").select("source_ip", "_block").distinct().count() > 9
-    assert df.count() == blocks.where("_own").count() < blocks.count() < 3 * df.count()
     got = {r.row_id: r.asDict() for r in add_window_features(df, cfg, "double").collect()}
     names = [c.split()[0] for c in SCHEMA.split(", ")]
-    want = brute([dict(zip([n.strip() for n in names], r)) for r in rows], sizes, seconds)
+    want = brute([dict(zip(names, r)) for r in rows], sizes, seconds)
     assert len(got) == len(rows) and got.keys() == want.keys()
     for i in want:
         for n in want[i]:
             assert math.isclose(got[i][n], want[i][n], abs_tol=1e-9), (i, n, got[i][n], want[i][n])
 
 
-def test_bins_of_blocks_hold_what_frames_reach():
-    rng = random.Random(7)
-    for _ in range(200):
-        width, n = rng.randint(1, 5), rng.randint(1, 40)
-        at = sorted(rng.sample(range(80), n))
-        bins = pd.DataFrame({"_start": [x * width for x in at], "_width": width, "_n": [rng.randint(1, 6) for _ in at]})
-        rows, seconds, enough = rng.randint(0, 9), rng.randint(0, 30), rng.randint(1, 20)
-        bin_, block, own = windows._blocks(bins, enough, rows, seconds)
-        assert sorted(bin_[own].tolist()) == list(range(n))
-        before = [0, *bins["_n"].cumsum().tolist()]
-        for b in set(block.tolist()):
-            mine, first = bin_[block == b].min(), bin_[(block == b) & own].min()
-            back = before[first] - before[mine]
-            assert mine == 0 or back > rows
-            reached = [k for k in range(n) if bins["_start"][k] + width - 1 >= bins["_start"][first] - seconds]
-            assert mine == 0 or mine < reached[0]
+@pytest.mark.parametrize("sizes,seconds,block", [([1, 3, 5], [0, 2, 9], 16), ([7, 200], [], 50), ([], [12, 9999], 7)])
+def test_hot_groups_match_a_queue(spark, monkeypatch, sizes, seconds, block):
+    monkeypatch.setattr(windows, "HOT_ROWS", 25)
+    monkeypatch.setattr(scans, "BLOCK", block)
+    against_a_queue(spark, flows(300, 5), sizes, seconds)
+
+
+def test_hot_and_other_groups_in_one_table(spark, monkeypatch):
+    monkeypatch.setattr(windows, "HOT_ROWS", 60)
+    monkeypatch.setattr(scans, "BLOCK", 20)
+    few = [(1000 + r[0], r[1], r[2] and r[2] + "few", *r[3:]) for r in flows(40, 6)]
+    against_a_queue(spark, flows(300, 7) + few, [4], [5])
+
+
+@pytest.mark.parametrize("time", [None, START])
+def test_one_second_and_no_time_at_all_are_cut_as_well(spark, monkeypatch, time):
+    monkeypatch.setattr(windows, "HOT_ROWS", 25)
+    monkeypatch.setattr(scans, "BLOCK", 16)
+    rows = [(*r[:2], "h", *r[3:6], time, *r[7:]) for r in flows(150, 8)]
+    blocks = []
+    monkeypatch.setattr(scans, "ordered", lambda df, keys, n, f=scans.ordered: blocks.append(f(df, keys, n)) or blocks[-1])
+    against_a_queue(spark, rows, [6], [3])
+    assert all(b.select("_block").distinct().count() >= 8 for b in blocks) and len(blocks) == 3
+
+
+def test_a_million_rows_of_one_second_are_many_tasks_work(spark, monkeypatch):
+    """Over 8 blocks of the rows, and of their events; every row's count, sum and largest frequency as NumPy has them."""
+    n, size = 1_000_000, 1000
+    value = F.pmod(F.col("id") * 7919, F.lit(10_007)) % 13
+    df = spark.range(n).select(
+        F.col("id").alias("row_id"), F.lit("f").alias("source_file"), F.lit("h").alias("source_ip"), F.lit(START).alias("timestamp"), value.cast("string").alias("destination_ip"),
+        (F.col("id") % 50).cast("int").alias("destination_port"), F.lit(1).alias("source_port"), *[F.lit(0).alias(f"{k}_flag_count") for k in ("syn", "ack", "rst", "fin")],
+        (F.col("id") % 11).cast("int").alias("total_fwd_packets"), *[F.lit(0).alias(c) for c in ("total_backward_packets", "total_length_of_fwd_packets", "total_length_of_bwd_packets")],
+    )
+    names = [f"win_single_dest_ratio_{size}", "time_flow_count_60s", "time_packets_sum_60s", "time_destination_ip_count_60s", "time_unique_destination_port_60s"]
+    blocks = []
+    monkeypatch.setattr(scans, "ordered", lambda df, keys, n, f=scans.ordered: blocks.append(f(df, keys, n)) or blocks[-1])
+    got = add_window_features(df, {**ALL, "window_sizes": [size], "time_window_seconds": [60]}, "double", names).select("row_id", *names).toPandas().sort_values("row_id")
+    assert all(b.select("_block").distinct().count() >= 8 for b in blocks)
+    i = np.arange(n)
+    v = i * 7919 % 10_007 % 13
+    seen = np.zeros((13, n + 1), np.int64)
+    for k in range(13):
+        seen[k, 1:] = np.cumsum(v == k)
+    frame = seen[:, 1:] - seen[:, np.maximum(0, i + 1 - size)]
+    want = [frame.max(axis=0) / np.minimum(i + 1, size), i + 1, np.cumsum(i % 11), seen[v, i + 1], np.minimum(i + 1, 50)]
+    assert len(got) == n
+    for name, x in zip(names, want):
+        assert np.allclose(got[name].to_numpy(), x, atol=1e-9), name
+
+
+def test_only_what_is_asked_for_is_worked_out(spark):
+    df = spark.createDataFrame(flows(40, 9), SCHEMA)
+    cfg = {**ALL, "window_sizes": [5], "time_window_seconds": [60]}
+    some = ["win_flow_count_5", "time_bytes_sum_60s", "ctx_dest_port_8080"]
+    out = add_window_features(df, cfg, "double", some)
+    assert set(out.columns) == {*df.columns, *some}
+    assert "Python" not in out._jdf.queryExecution().toString() and "MapInArrow" not in out._jdf.queryExecution().toString()
+    whole = {r.row_id: r for r in add_window_features(df, cfg, "double").collect()}
+    assert all(r[n] == whole[r.row_id][n] for r in out.collect() for n in some)
+    plan = add_window_features(df, cfg, "double", ["time_single_dest_ratio_60s"])._jdf.queryExecution().optimizedPlan().toString()
+    below = plan[plan.index("MapInArrow") :].split("Project [")[1].split("]")[0]
+    assert "_di" in below and "packets" not in below and "row_id" not in below
 
 
 def test_worked_example(spark):
