@@ -32,7 +32,7 @@ from . import scans
 
 #: A group is hot if it has more than HOT_ROWS rows and more than 1 / HOT_GROUPS of all rows (so HOT_GROUPS groups at most),
 #: or too many for a row's place within a second (2**PLACE_BITS).
-HOT_ROWS, HOT_GROUPS, PLACE_BITS = 1 << 16, 4096, 24
+HOT_ROWS, HOT_GROUPS, PLACE_BITS = 1 << 17, 4096, 24
 #: Rows without a whole group key have no frames; they are dealt to so many tasks.
 KEYLESS = 4096
 
@@ -368,14 +368,12 @@ def _hot_groups(df: DataFrame, cfg: dict) -> tuple[DataFrame | None, int]:
     """The keys of the hot groups with a number _gid, their rows _n and last second _hi, and the rows of all of them."""
     group = cfg["group_by"]
     counts = df.where(_whole(group)).groupBy(*group).agg(F.count(F.lit(1)).alias("_n"), F.max(_second(cfg)).alias("_hi"))
-    total = counts.agg(F.sum("_n")).first()[0] or 0
+    total, most = counts.agg(F.coalesce(F.sum("_n"), F.lit(0)), F.coalesce(F.max("_n"), F.lit(0))).first()
     enough = min(max(HOT_ROWS, total // HOT_GROUPS), (1 << PLACE_BITS) - 1)
-    if total <= enough:
+    if most <= enough:
         return None, 0
     hot = counts.where(F.col("_n") > enough)
     rows = hot.collect()  # HOT_GROUPS at most, or one for every 2**PLACE_BITS rows
-    if not rows:
-        return None, 0
     schema = T.StructType([*hot.schema.fields, T.StructField("_gid", T.LongType())])
     return df.sparkSession.createDataFrame([(*row, k) for k, row in enumerate(rows)], schema), sum(row["_n"] for row in rows)
 
