@@ -6,8 +6,8 @@ A text's margins are decoded by loss: each bit's logistic loss, weighted by how
 texts of the language, adds up to the distance to a codeword. The nearest codeword wins; a runner-up that is nearly as
 near flags the text as ambiguous.
 
-Trigram counts and the bits' accuracies cover every training text (sums per language and bucket or bit, so nothing that
-grows with the input leaves the executors).
+Trigram counts and the bits' accuracies cover every training text of the ``LANGUAGES`` most frequent languages (sums per
+language and bucket or bit, so nothing that grows with the input leaves the executors).
 """
 
 from __future__ import annotations
@@ -31,6 +31,8 @@ CHUNK = 1 << 18
 EXHAUSTIVE = 6
 #: A score gap to the runner-up below this is ambiguous.
 AMBIGUOUS = 0.2
+#: At most so many languages are learnt, the most frequent ones; it bounds what the driver holds.
+LANGUAGES = 64
 NO_LANGUAGE = "und"
 
 
@@ -80,11 +82,14 @@ def _decode(margins: np.ndarray, model: Model) -> np.ndarray:
     return p / p.sum(axis=1, keepdims=True)
 
 
-def fit(train: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Model:
-    """Learns from the rows with a language; rows without a text count for nothing."""
+def fit(train: DataFrame, text_col: str = "text", lang_col: str = "lang", most: int = LANGUAGES) -> Model:
+    """Learns from the rows with a language; rows without a text count for nothing. Of more than ``most`` languages those
+    with the most rows are learnt, of equally many the first in the alphabet."""
     train = train.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(
         F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")
     )
+    frequent = [r["lang"] for r in train.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most).collect()]
+    train = train.where(F.col("lang").isin(frequent))
 
     def count(batches):
         sums: dict[str, np.ndarray] = {}

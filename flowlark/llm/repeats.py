@@ -19,6 +19,7 @@ documents, only the earliest suffix of a path is sent to the trees; the others a
 from __future__ import annotations
 
 import hashlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -194,7 +195,7 @@ def repeated_runs(docs: DataFrame, width: int = 20) -> DataFrame:
 
     def joined(batches):
         held = [np.zeros(0, np.int64)] * 3
-        for batch in [*batches, None]:
+        for batch in chain(batches, [None]):
             if batch is not None:
                 held = [np.append(a, batch.column(k).to_numpy().astype(np.int64)) for k, a in enumerate(held)]
             doc, start, n = held
