@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.expressions import ratio, reached
+from ..functions.storage import stored
 
 RATES = ("precision", "recall", "f1", "fpr", "z_dr")
 
@@ -46,19 +47,20 @@ def metrics_at(df: DataFrame, threshold: float, by: list[str] = (), score: str =
     return metrics(df, F.col(score) >= threshold, by, y, family)
 
 
-def running_totals(df: DataFrame, key: str, columns: list[str], buckets: int = 256) -> DataFrame:
-    """``columns`` summed over all rows with the same or a larger ``key``, as columns total_<name>; keys are distinct.
+def running_totals(df: DataFrame, key: str, columns: list[str], buckets: int = 256, by: list[str] = ()) -> DataFrame:
+    """``columns`` summed over all rows with the same or a larger ``key``, as columns total_<name>; keys are distinct. With
+    ``by``, within each group of these columns.
 
     A window without a partition would put all rows into one task. Instead, rows are dealt by approximate quantiles of
     the key; each bucket is summed on its own, and the sums of the buckets above, one row each, are added.
     """
     cuts = df.approxQuantile(key, [k / buckets for k in range(1, buckets)], 1 / (2 * buckets))
     dealt = df.withColumn("_b", reached(F.col(key), sorted(set(map(float, cuts)))))
-    sums = dealt.groupBy("_b").agg(*[F.sum(c).alias(f"_s_{c}") for c in columns])
-    above = W.orderBy(F.desc("_b")).rowsBetween(W.unboundedPreceding, -1)
-    sums = sums.select("_b", *[F.coalesce(F.sum(f"_s_{c}").over(above), F.lit(0)).alias(f"_a_{c}") for c in columns])
-    own = W.partitionBy("_b").orderBy(F.desc(key))
-    out = dealt.join(F.broadcast(sums), "_b").withColumns({f"total_{c}": F.sum(c).over(own) + F.col(f"_a_{c}") for c in columns})
+    sums = dealt.groupBy(*by, "_b").agg(*[F.sum(c).alias(f"_s_{c}") for c in columns])
+    above = (W.partitionBy(*by) if by else W).orderBy(F.desc("_b")).rowsBetween(W.unboundedPreceding, -1)
+    sums = sums.select(*by, "_b", *[F.coalesce(F.sum(f"_s_{c}").over(above), F.lit(0)).alias(f"_a_{c}") for c in columns])
+    own = W.partitionBy(*by, "_b").orderBy(F.desc(key))
+    out = dealt.join(sums if by else F.broadcast(sums), [*by, "_b"]).withColumns({f"total_{c}": F.sum(c).over(own) + F.col(f"_a_{c}") for c in columns})
     return out.drop("_b", *[f"_a_{c}" for c in columns])
 
 
@@ -106,13 +108,17 @@ def reconstruction_statistics(df: DataFrame, score: str = "memory_score", y: str
     )
 
 
-def threshold_curve(df: DataFrame, score: str = "score", y: str = "y") -> DataFrame:
-    """For each distinct score as a threshold: tp and fp at it, and the numbers of positives and negatives."""
-    each = df.groupBy(F.col(score).cast("double").alias("threshold")).agg(
+def threshold_curve(df: DataFrame, score: str = "score", y: str = "y", by: list[str] = ()) -> DataFrame:
+    """For each distinct score as a threshold: tp and fp at it, and the numbers of positives and negatives; with ``by``, for
+    each group of these columns on its own."""
+    each = df.groupBy(*by, F.col(score).cast("double").alias("threshold")).agg(
         F.sum((F.col(y) == 1).cast("long")).alias("pos"), F.sum((F.col(y) != 1).cast("long")).alias("neg")
     )
-    both = each.agg(F.sum("pos").alias("positives"), F.sum("neg").alias("negatives"))
-    return running_totals(each, "threshold", ["pos", "neg"]).select("threshold", "pos", "neg", F.col("total_pos").alias("tp"), F.col("total_neg").alias("fp")).crossJoin(F.broadcast(both))
+    if by:  # read three times below
+        each = stored(each, "scores")
+    both = each.groupBy(*by).agg(F.sum("pos").alias("positives"), F.sum("neg").alias("negatives"))
+    curve = running_totals(each, "threshold", ["pos", "neg"], by=by).select(*by, "threshold", "pos", "neg", F.col("total_pos").alias("tp"), F.col("total_neg").alias("fp"))
+    return curve.join(both, by) if by else curve.crossJoin(F.broadcast(both))
 
 
 def roc_curve(df: DataFrame, score: str = "score", y: str = "y") -> DataFrame:
@@ -124,11 +130,12 @@ def precision_recall_curve(df: DataFrame, score: str = "score", y: str = "y") ->
     return threshold_curve(df, score, y).select("threshold", ratio(F.col("tp"), F.col("tp") + F.col("fp")).alias("precision"), ratio(F.col("tp"), F.col("positives")).alias("recall"))
 
 
-def areas(df: DataFrame, score: str = "score", y: str = "y") -> DataFrame:
-    """roc_auc (trapezoids between distinct scores) and average_precision (steps); null if one class is missing.
+def areas(df: DataFrame, score: str = "score", y: str = "y", by: list[str] = ()) -> DataFrame:
+    """roc_auc (trapezoids between distinct scores) and average_precision (steps); null if one class is missing. With ``by``,
+    a row for each group of these columns.
 
     A step's area needs only its own counts and the totals above it, so both are plain sums over thresholds."""
-    c = threshold_curve(df, score, y)
+    c = threshold_curve(df, score, y, by).groupBy(*by)
     both = (F.max("positives") > 0) & (F.max("negatives") > 0)
     roc = F.sum(F.col("neg") * (F.col("tp") - F.col("pos") / 2)) / (F.max("positives").cast("double") * F.max("negatives"))
     ap = F.sum(F.col("pos") * ratio(F.col("tp"), F.col("tp") + F.col("fp"))) / F.max("positives")

@@ -66,3 +66,13 @@ def balanced_sample(df: DataFrame, per_family: int, benign_ratio: float, total:
 def qualified_families(df: DataFrame, least: int, y: str = "y", family: str = "family") -> DataFrame:
     """Attack families with enough positive rows, and how many."""
     return df.where((F.col(y) == 1) & (F.col(family) != "benign")).groupBy(family).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
+
+
+def stratified_holdout(df: DataFrame, share: float, by: list[str], id_col: str = "row_id", seed: int = 42) -> DataFrame:
+    """``df`` with a boolean column _held: of each combination of the columns ``by`` the rows with the least hashes, that
+    share of them to one row (halves round to even). Ids must be unique."""
+    key = F.to_json(F.struct(*[F.col(c).cast("string").alias(c) for c in by]), {"ignoreNullFields": "false"})
+    keyed = df.select(id_col, key.alias("_stratum"))
+    sizes = keyed.groupBy("_stratum").agg(F.bround(F.count(F.lit(1)) * F.lit(share), 0).cast("long").alias("_most"))
+    held = first_by_hash(keyed, "_stratum", sizes, id_col, seed).select(id_col, F.lit(True).alias("_held"))
+    return df.join(held, id_col, "left").withColumn("_held", F.coalesce("_held", F.lit(False)))

@@ -7,6 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.storage import stored
 from .metrics import at_thresholds, exact_quantiles, fpr_drift, reached, running_totals, with_rates
 
 BUDGETS = (0.001, 0.005, 0.01, 0.02, 0.05)
@@ -36,7 +37,7 @@ def thresholds_for_fpr(scores: DataFrame, targets: list[float], score: str = "sc
         raise ValueError("finite scores are needed")
     if jitter and few <= 20 and scores.select(s).distinct().count() <= 10:
         noise = F.pmod(F.xxhash64(F.monotonically_increasing_id(), F.lit(42)), F.lit(1 << 30)) / (1 << 30) * JITTER
-        scores, s = scores.select((s + noise).alias("_jittered")).checkpoint(), F.col("_jittered")
+        scores, s = stored(scores.select((s + noise).alias("_jittered")), "jittered"), F.col("_jittered")
     counts = scores.groupBy(s.alias("s")).agg(F.count(F.lit(1)).alias("n"))
     share = F.col("total_n") / n
     least = [F.min_by(F.struct("s", "total_n"), F.when(share <= t, F.col("s"))).alias(f"t{k}") for k, t in enumerate(targets)]
@@ -54,9 +55,9 @@ def thresholds_for_fpr(scores: DataFrame, targets: list[float], score: str = "sc
     return out
 
 
-def benign_pool(df: DataFrame, mode: str = "val_only", split: str = "split", family: str = "family") -> DataFrame:
+def benign_pool(df: DataFrame, mode: str = "val_only", split: str = "split", family: str = "family", validation: str = "val") -> DataFrame:
     """The benign rows that thresholds are calibrated on: of the validation split, or of it and test_seen."""
-    splits = {"val_only": ["val"], "val_plus_test_seen": ["val", "test_seen"]}
+    splits = {"val_only": [validation], "val_plus_test_seen": [validation, "test_seen"]}
     if mode not in splits:
         raise ValueError(f"unknown mode: {mode}")
     return df.where(F.col(split).isin(splits[mode]) & (F.col(family) == "benign"))
@@ -70,25 +71,25 @@ def best_f1_threshold(df: DataFrame, low: float = 0.01, high: float = 0.99, step
     return best.threshold if best else 0.5
 
 
-def budget_grid(df: DataFrame, budgets=BUDGETS, score: str = "score", mode: str = "val_only", model: str = "model", **kw) -> DataFrame:
+def budget_grid(df: DataFrame, budgets=BUDGETS, score: str = "score", mode: str = "val_only", model: str = "model", validation: str = "val", **kw) -> DataFrame:
     """One model: for each budget the threshold from the benign pool and its metrics on every split."""
-    cuts = thresholds_for_fpr(benign_pool(df, mode), list(budgets), score, **kw)
+    cuts = thresholds_for_fpr(benign_pool(df, mode, validation=validation), list(budgets), score, **kw)
     table = df.sparkSession.createDataFrame([(model, b, c["threshold"], c["calibration_fpr"]) for b, c in zip(budgets, cuts, strict=True)], "model_name string, target_fpr double, threshold double, calibration_fpr double")
     return table.join(at_thresholds(df, [c["threshold"] for c in cuts], ["split"], score), "threshold")
 
 
-def either_grid(df: DataFrame, budgets=BUDGETS, steps: int = 11, first: str = "tree_score", second: str = "memory_score", mode: str = "val_only", y: str = "y", family: str = "family") -> DataFrame:
+def either_grid(df: DataFrame, budgets=BUDGETS, steps: int = 11, first: str = "tree_score", second: str = "memory_score", mode: str = "val_only", y: str = "y", family: str = "family", validation: str = "val", **kw) -> DataFrame:
     """Two scores joined by OR: each budget is dealt between them in ``steps`` ways; a row per way and split.
 
     Thresholds are taken once for each distinct share. Rows of the data are counted by split and by the last threshold of
     either score that they reach, in one aggregation; a way's counts are sums over these cells, which are few.
     """
-    pool = benign_pool(df, mode)
+    pool = benign_pool(df, mode, validation=validation)
     ways = [(b, k / (steps - 1), b * k / (steps - 1), b - b * k / (steps - 1)) for b in budgets for k in range(steps)]
     found: dict[str, dict[float, dict]] = {}
     for name, place in ((first, 2), (second, 3)):
         shares = sorted({max(0.0, w[place]) for w in ways})
-        found[name] = dict(zip(shares, thresholds_for_fpr(pool, shares, name), strict=True))
+        found[name] = dict(zip(shares, thresholds_for_fpr(pool, shares, name, **kw), strict=True))
     cuts = {name: sorted({float(c["threshold"]) for c in cut.values()}) for name, cut in found.items()}
     rows = []
     for k, (b, r, x, m) in enumerate(ways):
@@ -109,9 +110,9 @@ def either_grid(df: DataFrame, budgets=BUDGETS, steps: int = 11, first: str = "t
     return table.drop("_first", "_second").join(with_rates(counts), "grid_index")
 
 
-def fusion_grid(df: DataFrame, budgets=BUDGETS, score: str = "fusion_score", mode: str = "val_only") -> DataFrame:
+def fusion_grid(df: DataFrame, budgets=BUDGETS, score: str = "fusion_score", mode: str = "val_only", validation: str = "val", **kw) -> DataFrame:
     """The fused score's rows of the grid, numbered like those of the others."""
-    grid = budget_grid(df, budgets, score, mode, "logistic_fusion")
+    grid = budget_grid(df, budgets, score, mode, "logistic_fusion", validation, **kw)
     place = {b: k for k, b in enumerate(budgets)}
     number = F.coalesce(*[F.when(F.col("target_fpr") == b, F.lit(k)) for b, k in place.items()])
     return grid.withColumn("grid_index", number)

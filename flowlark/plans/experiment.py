@@ -10,7 +10,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import fusion, metrics, models, sampling, scaling, splits, thresholds, windows
+from ..operators import fusion, metrics, models, sampling, scaling, splits, thresholds, transformer, windows
 from ..sources import artifacts
 from ..sources.tables import read_json, write_json
 
@@ -51,7 +51,9 @@ def budgets(text: str) -> tuple[float, ...]:
 @dataclass
 class Experiment:
     """Settings of one run; ``folder`` is a path that Spark can write to. With the scope ``disabled`` rows get no window
-    features and the benchmark is a strict one. ``select`` retrains the trees on the features that matter to them."""
+    features and the benchmark is a strict one. ``select`` retrains the trees on the features that matter to them. With
+    ``transformer``, a table of sizes and training settings for ``fit_transformer``, its score and representation join what
+    the trees read. Thresholds come from benign rows of the validation split (``mode``: of it alone, or of test_seen too)."""
 
     spark: SparkSession
     folder: str
@@ -69,6 +71,10 @@ class Experiment:
     cap: float = 0.05
     select: bool = False
     diversity: float = 0.0
+    transformer: dict | None = None
+    mode: str = "val_only"
+    jitter: bool = True
+    fallback: str = "percentile"
     least_positives: int = 50
     least_families: int = 2
     ran: list[str] = field(default_factory=list)
@@ -105,20 +111,20 @@ class Experiment:
             "fit_sample_rows": self.fit_rows,
             "window_features": {"enabled": not strict, "columns": names[len(self.features) :], "config": None if strict else self.recipe or {}, "window_scope": self.scope},
             "latent": self.latent,
+            "transformer": self.transformer is not None,
             "representation_width": models.representation_width(len(names), self.latent),
         }
 
     def _tree_rows(self, joined: DataFrame) -> tuple[DataFrame, DataFrame]:
         """A balanced sample of train with the rows that stop the boosting (_held), and these rows alone: the validation
-        split's, or a fifth of each class of the sample where that split has too few attacks or families of them."""
+        split's, or a fifth of each family and class of the sample where that split has too few attacks or families of them."""
         train = sampling.balanced_sample(joined.where("split = 'train'"), 80_000, 2.5)
         held = joined.where(F.col("split") == thresholds.validation_split(joined))
         enough = held.where("y = 1").count() >= self.least_positives and sampling.qualified_families(held, 10).count() >= self.least_families
         if enough:
             both = train.withColumn("_held", F.lit(False)).unionByName(held.withColumn("_held", F.lit(True)))
         else:
-            fifth = F.pmod(F.xxhash64("row_id", F.lit(45)), F.lit(5)) == 0
-            both = train.withColumn("_held", fifth)
+            both = sampling.stratified_holdout(train, 0.2, ["family", "y"])
         return both, both.where("_held")
 
     def run(self, clean: DataFrame) -> dict[str, DataFrame]:
@@ -154,10 +160,15 @@ class Experiment:
             benign = scaled.where("split = 'train' and family = 'benign'")
             model = models.fit_memory_autoencoder(benign, names, self.latent, self.slots, self.epochs, diversity=self.diversity)
             artifacts.save_autoencoder(self.spark, model, f"{self.models}/autoencoder")
-            return models.flat_blocks(model.represent(scaled, names), len(names), self.latent).withColumn("memory_score", F.col("re_scalar"))
+            made = models.flat_blocks(model.represent(scaled, names), len(names), self.latent).withColumn("memory_score", F.col("re_scalar"))
+            if self.transformer is None:
+                return made
+            trained = transformer.fit_transformer(scaled.where("split = 'train'"), names, **self.transformer)
+            artifacts.save_transformer(self.spark, trained, f"{self.models}/transformer")
+            return made.join(trained.flat(scaled, names), "row_id")
 
         memory = self._table("representation", represent)
-        blocks = models.block_columns(len(names), self.latent)
+        blocks = [c for c in memory.columns if c not in ("row_id", "memory_score")]
         joined = scaled.join(memory, "row_id")
 
         def trees() -> DataFrame:
@@ -168,7 +179,7 @@ class Experiment:
                 found = models.permutation_importance(lambda d: models.tree_scores(model, d, "score"), held, inputs)
                 kept = models.selected_features(found, 0.0, models.PROTECTED)
                 model = models.fit_trees(sample, kept, rounds=self.tree_rounds, validation="_held")
-            artifacts.save_trees(model, f"{self.models}/trees")
+            artifacts.save_trees(self.spark, model, f"{self.models}/trees")
             return models.tree_scores(model, joined).select("row_id", "split", "family", "y", "memory_score", "tree_score")
 
         scored = self._table("trees", trees)
@@ -182,12 +193,12 @@ class Experiment:
         fused = self._table("fusion", fuse)
 
         def calibrate() -> DataFrame:
-            rows = []
+            rows, from_ = [], {"mode": self.mode, "validation": check, "jitter": self.jitter, "fallback": self.fallback}
             for name in ("tree_score", "memory_score", "fusion_score"):
-                grid = thresholds.budget_grid(fused, self.budgets, name, model=name)
-                rows.append(thresholds.candidates(grid.withColumn("grid_index", F.rank().over(_by_budget())), ["model_name", "grid_index", "target_fpr", "calibration_fpr"]))
-            either = thresholds.either_grid(fused, self.budgets)
-            rows.append(thresholds.candidates(either, ["model_name", "grid_index", "target_fpr", "calibration_fpr"]))
+                grid = thresholds.budget_grid(fused, self.budgets, name, model=name, **from_)
+                rows.append(thresholds.candidates(grid.withColumn("grid_index", F.rank().over(_by_budget())), ["model_name", "grid_index", "target_fpr", "calibration_fpr"], check))
+            either = thresholds.either_grid(fused, self.budgets, **from_)
+            rows.append(thresholds.candidates(either, ["model_name", "grid_index", "target_fpr", "calibration_fpr"], check))
             out = rows[0]
             for more in rows[1:]:
                 out = out.unionByName(more)
@@ -218,15 +229,18 @@ class Detector:
     schema: dict
     scaler: scaling.RobustScalerModel
     autoencoder: models.MemoryAutoencoder
-    trees: object
+    trees: models.BoostedTrees
     fusion: fusion.FusionModel
+    transformer: transformer.NumericTransformer | None = None
 
     @staticmethod
     def load(spark: SparkSession, folder: str, target: str) -> Detector:
         at = f"{folder}/{target}/models"
+        schema = read_json(spark, f"{at}/feature_schema")
         return Detector(
-            spark, read_json(spark, f"{at}/feature_schema"), artifacts.load_scaler(spark, f"{at}/scaler"),
-            artifacts.load_autoencoder(spark, f"{at}/autoencoder"), artifacts.load_trees(f"{at}/trees"), artifacts.load_fusion(spark, f"{at}/fusion"),
+            spark, schema, artifacts.load_scaler(spark, f"{at}/scaler"),
+            artifacts.load_autoencoder(spark, f"{at}/autoencoder"), artifacts.load_trees(spark, f"{at}/trees"), artifacts.load_fusion(spark, f"{at}/fusion"),
+            artifacts.load_transformer(spark, f"{at}/transformer") if schema["transformer"] else None,
         )
 
     def score(self, flows: DataFrame) -> DataFrame:
@@ -235,5 +249,7 @@ class Detector:
         wide = windows.add_window_features(flows, made["config"]) if made["enabled"] else flows
         scaled = self.scaler.transform(wide).select("row_id", *names)
         blocks = models.flat_blocks(self.autoencoder.represent(scaled, names), len(names), self.schema["latent"])
+        if self.transformer is not None:
+            blocks = blocks.join(self.transformer.flat(scaled, names), "row_id")
         scored = models.tree_scores(self.trees, scaled.join(blocks, "row_id").withColumn("memory_score", F.col("re_scalar")))
         return self.fusion.transform(scored.select("row_id", "memory_score", "tree_score"))

@@ -308,10 +308,18 @@ def single_model_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     + " UNION ALL ".join(f"SELECT {k} AS grid_index, CAST({b!r} AS DOUBLE) AS target_fpr, threshold, fpr AS calibration_fpr FROM {_threshold_sql(b, 'memory_score')}" for k, b in enumerate(thresholds.BUDGETS))
     + f"), c AS (SELECT grid_index, target_fpr, threshold, calibration_fpr, split, {_confusion_sql('memory_score >= threshold')} FROM s, t GROUP BY ALL) SELECT 'logistic_fusion' AS model_name, grid_index, target_fpr, round(threshold, 9) AS threshold, round(calibration_fpr, 9) AS calibration_fpr, split, {_RATES} FROM c"
 )
-def logistic_fusion_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+def memory_score_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(thresholds.fusion_grid(scores(spark, sf_dir), score="memory_score"), *metrics.RATES, "threshold", "calibration_fpr")
 
 
+@query()
+def logistic_fusion_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The grid of a fused score, whose logistic models and isotonic maps are fitted on the validation rows."""
+    df = scores(spark, sf_dir).withColumnRenamed("score", "tree_score")
+    fused = fusion.fit_fusion(df.where("split = 'val'")).transform(df)
+    return thresholds.fusion_grid(fused, fallback="nextafter")
+
+
 def _ways(steps: int) -> list[tuple[float, float, float, float]]:
     return [(b, k / (steps - 1), b * k / (steps - 1), b - b * k / (steps - 1)) for b in thresholds.BUDGETS for k in range(steps)]
 

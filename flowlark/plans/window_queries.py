@@ -9,7 +9,7 @@ from ..functions.config import OFF, SHIPPED
 from ..operators.windows import FEATURES, add_window_features, feature_names, scoped_window_features
 from .views import DENSE_FLOWS, EVENT_FLOWS, LINE_FLOWS, LINE_ORDER, oracle, view
 
-ALL_ON = {f"include_{k}": True for k in OFF}
+ALL_ON = dict.fromkeys(OFF, True)
 COLLECTING = ("single_dest_ratio", "dest_ip_concentration")
 
 
@@ -170,13 +170,13 @@ def context_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _context_sql() -> str:
-    from ..functions.config import SERVICE_PORTS
+    from ..functions.config import DEFAULTS
 
     yes = lambda x, name: f"CASE WHEN {x} THEN 1.0 ELSE 0.0 END AS {name}"
     out = []
     for side, p in (("dest", "dp"), ("source", "sp")):
         out += [yes(f"{p} < 1024", f"ctx_{side}_port_is_system"), yes(f"{p} >= 1024 AND {p} < 49152", f"ctx_{side}_port_is_registered"), yes(f"{p} >= 49152", f"ctx_{side}_port_is_dynamic")]
-        out += [yes(f"{p} IN ({', '.join(map(str, ports))})", f"ctx_{'source_' if side == 'source' else ''}service_{name}") for name, ports in sorted(SERVICE_PORTS.items())]
+        out += [yes(f"{p} IN ({', '.join(map(str, ports))})", f"ctx_{'source_' if side == 'source' else ''}service_{name}") for name, ports in sorted(DEFAULTS["service_family_ports"].items())]
         out += [yes(f"{p} = 8080", f"ctx_{side}_port_8080")]
     out.append(yes("sp = dp", "ctx_source_dest_same_port"))
     return f"{_prelude(EVENT_FLOWS)} SELECT row_id, {', '.join(out)} FROM c"

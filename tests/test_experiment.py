@@ -56,10 +56,12 @@ def test_trees_retrained_on_selected_features(spark, tmp_path):
         {"original_label": F.col("attack_family"), "source_ip": F.concat("source_ip", F.lit("-"), F.floor(F.col("row_id") / 25)), "total_fwd_packets": F.when(F.col("attack_family") != "benign", 50).otherwise(F.col("total_fwd_packets"))}
     )
     folder = f"file://{tmp_path}"
-    out = experiment.Experiment(spark, folder, "dos", ["total_fwd_packets"], scope="disabled", latent=1, slots=2, epochs=2, tree_rounds=2, budgets=(0.05,), select=True, diversity=0.1).run(flows)
+    out = experiment.Experiment(spark, folder, "dos", ["total_fwd_packets"], scope="disabled", latent=1, slots=2, epochs=2, tree_rounds=2, budgets=(0.05,), select=True, diversity=0.1,
+                                transformer={"embed": 8, "heads": 2, "depth": 1, "latent": 2, "epochs": 1, "batches": 1}).run(flows)
     detector = experiment.Detector.load(spark, folder, "dos")
-    kept = detector.trees.stages[0].getInputCols()
-    assert set(models.PROTECTED) <= set(kept) <= {"total_fwd_packets", *models.block_columns(1, 1)}
+    kept = detector.trees.pipeline.stages[0].getInputCols()
+    assert set(models.PROTECTED) <= set(kept) <= {"total_fwd_packets", *models.block_columns(1, 1), "transformer_score", "transformer_0", "transformer_1"}
+    assert {"transformer_score", "transformer_1"} <= set(out["representation"].columns) and detector.transformer.depth == 1
     scored = detector.score(flows).alias("d").join(out["trees"].alias("t"), "row_id").select(F.abs(F.col("d.tree_score") - F.col("t.tree_score")).alias("gap"))
     assert scored.count() == out["trees"].count() and scored.agg(F.max("gap")).first()[0] < 1e-6
 
@@ -69,11 +71,3 @@ def test_arguments():
     assert (a.families, a.budgets, a.scope, a.select, a.diversity) == (["dos", "botnet"], (0.01,), "full_source_file", False, 0.0)
     with pytest.raises(SystemExit):
         cli.parser().parse_args(["--raw", "x", "--out", "y", "--scope", "none"])
-
-
-def test_transformer_over_a_frame(spark):
-    df = spark.range(50).selectExpr("id AS row_id", "id / 50.0D AS a", "sin(id) AS b")
-    t = models.NumericTransformer.random(2, embed=16, heads=4, depth=2, latent=8)
-    x = np.array([[r.a, r.b] for r in df.orderBy("row_id").collect()])
-    got = t.apply(df, ["a", "b"]).orderBy("row_id").collect()
-    assert np.allclose([r.representation for r in got], t.represent(x)) and np.allclose([r.transformer_score for r in got], t.score(x))

@@ -13,7 +13,7 @@ from flowlark.functions.config import DEFAULTS, OFF, SHIPPED, recipe, required_c
 from flowlark.operators import scans, windows
 from flowlark.operators.windows import add_window_features, feature_names, scoped_window_features
 
-ALL = {f"include_{k}": True for k in OFF}
+ALL = dict.fromkeys(OFF, True)
 SCHEMA = (
     "row_id long, source_file string, source_ip string, source_port int, destination_ip string, destination_port int, timestamp timestamp, syn_flag_count int, ack_flag_count int,"
     " rst_flag_count int, fin_flag_count int, total_fwd_packets int, total_backward_packets int, total_length_of_fwd_packets int, total_length_of_bwd_packets int"
