@@ -1,6 +1,6 @@
 """Runs experiments from a shell: ``python -m flowlark.plans.cli --raw FOLDER --out FOLDER --families all``.
 
-Raw tables are read and cleaned, one experiment is run for each family, and the run's folder gets the primary rows, the
+Raw tables are read and cleaned, with what is known about them beside the clean table; one experiment is run for each family, and the run's folder gets the primary rows, the
 report of each family as tables, and a summary in Markdown.
 """
 
@@ -73,10 +73,11 @@ def run(spark: SparkSession, clean: DataFrame, out: str, targets: list[str], **s
 def main(argv: list[str] | None = None) -> None:
     a = parser().parse_args(argv)
     spark = SparkSession.builder.appName("flowlark").getOrCreate()
-    clean = cleaning.clean(tables.load_raw(spark, a.raw))
-    tables.write_clean(clean, f"{a.out}/clean")
+    raw = tables.load_raw(spark, a.raw)
+    tables.write_clean(cleaning.clean(raw), f"{a.out}/clean")
     clean = spark.read.parquet(f"{a.out}/clean")
-    names = a.features.split(",") if a.features else cleaning.column_schema(clean)["numerical_features"]
+    schema = tables.write_side_cars(spark, raw, clean, f"{a.out}/about", a.raw)
+    names = a.features.split(",") if a.features else schema["numerical_features"]
     recipe = tables.read_recipe(spark, a.recipe) if a.recipe else None
     run(
         spark, clean, a.out, a.families, features=names, recipe=recipe, scope=a.scope, budgets=a.budgets, cap=a.cap, epochs=a.epochs, diversity=a.diversity, tree_rounds=a.tree_rounds, select=a.select,

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.expressions import mapped, normalized_label
-from ..operators import cleaning, fusion, metrics, sampling, scaling, splits, thresholds
+from ..operators import cleaning, fusion, groups, metrics, sampling, scaling, splits, thresholds
 from .views import EVENT_FLOWS, SCORES, oracle, view
 
 QUERIES: dict = {}
@@ -111,12 +111,12 @@ def source_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"{_FLOWS} SELECT attack_family, count(*) AS n FROM f GROUP BY attack_family")
 def value_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return view(spark, sf_dir, EVENT_FLOWS).groupBy("attack_family").agg(F.count("*").alias("n"))
+    return groups.group_sizes(view(spark, sf_dir, EVENT_FLOWS), ["attack_family"])
 
 
 @query(f"{_SCORES} SELECT split, count(*) FILTER (family = 'benign') AS benign, count(*) FILTER (family = 'bot') AS bot, count(*) FILTER (family = 'dos') AS dos FROM s GROUP BY split")
 def split_family_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scores(spark, sf_dir).groupBy("split").pivot("family", ["benign", "bot", "dos"]).count()
+    return groups.value_table(scores(spark, sf_dir), "split", ["benign", "bot", "dos"], "family")
 
 
 # Scaling --------------------------------------------------------------------------------------------------------------
@@ -414,9 +414,10 @@ def leave_one_family_out(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""WITH g AS (SELECT DISTINCT o_custkey AS k FROM orders WHERE o_orderpriority LIKE '1%') SELECT c_custkey, c_custkey IN (SELECT k FROM g) AS urgent FROM customer""")
 def group_membership(spark: SparkSession, sf_dir: str) -> DataFrame:
-    groups = table(spark, sf_dir, "orders").where("o_orderpriority like '1%'").select(F.col("o_custkey").alias("c_custkey")).distinct()
+    urgent = table(spark, sf_dir, "orders").where("o_orderpriority like '1%'").select(F.col("o_custkey").alias("c_custkey"))
     customers = table(spark, sf_dir, "customer").select("c_custkey")
-    return customers.join(groups, "c_custkey", "left_semi").withColumn("urgent", F.lit(True)).unionByName(customers.join(groups, "c_custkey", "left_anti").withColumn("urgent", F.lit(False)))
+    inside, outside = groups.rows_in(customers, urgent, ["c_custkey"]), groups.rows_not_in(customers, urgent, ["c_custkey"])
+    return groups.under_each_other([inside.withColumn("urgent", F.lit(True)), outside.withColumn("urgent", F.lit(False))])
 
 
 @query(f"{_SCORES} SELECT family, count(*) AS n FROM s WHERE y = 1 AND family <> 'benign' GROUP BY family HAVING count(*) >= 100")
@@ -490,17 +491,17 @@ def boosted_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
 def union_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
     customers = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_acctbal").alias("balance"), F.col("c_mktsegment").alias("segment"))
     suppliers = table(spark, sf_dir, "supplier").select(F.col("s_acctbal").alias("balance"), F.col("s_suppkey").alias("id"))
-    return customers.unionByName(suppliers, allowMissingColumns=True)
+    return groups.under_each_other([customers, suppliers])
 
 
 @query("SELECT DISTINCT c_nationkey, c_mktsegment FROM customer")
 def distinct_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "customer").select("c_nationkey", "c_mktsegment").distinct()
+    return groups.group_sizes(table(spark, sf_dir, "customer"), ["c_nationkey", "c_mktsegment"]).drop("n")
 
 
 @query("SELECT l_suppkey, count(*) AS n FROM lineitem GROUP BY l_suppkey ORDER BY n DESC, l_suppkey LIMIT 25")
 def largest_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "l_suppkey").limit(25)
+    return groups.group_sizes(table(spark, sf_dir, "lineitem"), ["l_suppkey"], 25)
 
 
 @query(f"""{_FLOWS} SELECT '{{"source_ip":"' || source_ip || '","destination_ip":"' || destination_ip || '"}}' AS key FROM f GROUP BY source_ip, destination_ip HAVING min(row_id % 2) <> max(row_id % 2)""")
@@ -522,4 +523,4 @@ def groups_in_two_splits_all(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"{_SCORES} SELECT row_id, score FROM s WHERE row_id IN (SELECT row_id FROM s WHERE split = 'val' AND y = 1)")
 def rows_by_id_set(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = scores(spark, sf_dir)
-    return rows.select("row_id", "score").join(rows.where("split = 'val' and y = 1").select("row_id").distinct(), "row_id", "left_semi")
+    return groups.rows_in(rows.select("row_id", "score"), rows.where("split = 'val' and y = 1"), ["row_id"])

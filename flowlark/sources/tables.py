@@ -11,7 +11,12 @@ from pathlib import PurePosixPath
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.cleaning import clean_names, dense_ids, parse_timestamps
+from ..operators.cleaning import FAMILIES, clean_names, column_schema, dense_ids, parse_timestamps, quality_report
+
+try:
+    import yaml
+except ImportError:  # not everywhere installed
+    yaml = None
 
 
 def _listed(spark: SparkSession, folder: str) -> list[str]:
@@ -85,10 +90,20 @@ def read_json(spark: SparkSession, path: str) -> dict:
 
 
 def read_recipe(spark: SparkSession, path: str) -> dict:
-    """A recipe from JSON, or from the plain YAML of scalars, flat lists and one nested level that recipes use."""
+    """A recipe from JSON or YAML. Without a YAML library, only scalars, flat lists and one nested level are read, which is
+    what recipes use. A file that holds no table is an error."""
     text = spark.read.text(path, wholetext=True).first().value
     if path.endswith(".json"):
         return json.loads(text)
+    if yaml is not None:
+        found = yaml.safe_load(text)
+        if not isinstance(found, dict):
+            raise ValueError(f"no table of settings in {path}")
+        return found
+    return _plain_yaml(text)
+
+
+def _plain_yaml(text: str) -> dict:
     out: dict = {}
     key = None
     for line in text.splitlines():
@@ -125,6 +140,15 @@ def write_clean(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").partitionBy("source_file").parquet(path)
 
 
+def write_side_cars(spark: SparkSession, raw: DataFrame, clean: DataFrame, folder: str, source: str, families: dict[str, str] = FAMILIES) -> dict:
+    """What goes beside a clean table, as JSON: the families of labels, the quality report, and what each column is for
+    (fixed values: the files' names). Returns the columns' roles."""
+    schema = column_schema(clean) | {"source_data_dir": source}
+    for name, data in (("attack_family_mapping", families), ("data_quality_report", quality_report(raw, clean)), ("column_schema", schema)):
+        write_json(spark, f"{folder}/{name}.json", data)
+    return schema
+
+
 def write_splits(labelled: DataFrame, folder: str) -> None:
     """row_id, attack_family, original_label and binary_label of each split, as CSV in the order of row_id."""
     columns = ["row_id", "attack_family", "original_label", (F.col("attack_family") != "benign").cast("int").alias("binary_label")]

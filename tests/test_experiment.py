@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from flowlark.operators import models
 from flowlark.plans import cli, experiment
 from flowlark.plans.views import EVENT_FLOWS, view
+from flowlark.sources.tables import read_json
 
 
 def test_names():
@@ -71,3 +72,24 @@ def test_arguments():
     assert (a.families, a.budgets, a.scope, a.select, a.diversity) == (["dos", "botnet"], (0.01,), "full_source_file", False, 0.0)
     with pytest.raises(SystemExit):
         cli.parser().parse_args(["--raw", "x", "--out", "y", "--scope", "none"])
+
+
+def test_main_from_raw_files_with_side_cars(spark, tmp_path):
+    """The shell's way: CSV files in, the run's tables and what is known about the clean table out."""
+    label = F.when(F.col("row_id") % 10 == 0, "DoS Hulk").when(F.col("row_id") % 17 == 0, "Bot").otherwise("BENIGN")
+    host = F.concat("source_ip", F.lit("-"), F.floor(F.col("row_id") / 25))
+    flows = view(spark, "/root/testdata/sf0.001", EVENT_FLOWS).select(
+        host.alias("Source IP"), F.col("destination_ip").alias("Destination IP"), F.col("source_port").alias("Source Port"), F.col("destination_port").alias("Destination Port"), F.date_format("timestamp", "d/M/yyyy H:mm:ss").alias("Timestamp"),
+        F.when(label == "BENIGN", F.col("total_fwd_packets")).otherwise(50).alias("Total Fwd Packets"), F.col("syn_flag_count").alias("SYN Flag Count"), F.lit(0).alias("Idle"), label.alias("Label"),
+    )
+    raw = tmp_path / "raw"
+    raw.mkdir()
+    frame = flows.toPandas()
+    for day, part in (("Monday", frame[:500]), ("Friday", frame[500:])):
+        part.to_csv(raw / f"{day}-flows.csv", index=False)
+    out = f"file://{tmp_path}/out"
+    cli.main(["--raw", f"file://{raw}", "--out", out, "--families", "dos", "--scope", "disabled", "--epochs", "1", "--tree-rounds", "2", "--budgets", "0.05", "--features", "total_fwd_packets,syn_flag_count"])
+    about = {name: read_json(spark, f"{out}/about/{name}.json") for name in ("attack_family_mapping", "data_quality_report", "column_schema")}
+    assert about["data_quality_report"]["original_rows"] == 1000 and sum(about["data_quality_report"]["attack_family_counts"].values()) == about["data_quality_report"]["rows_after_dedup"]
+    assert "idle" in about["column_schema"]["dropped_columns"] and about["column_schema"]["source_data_dir"] == f"file://{raw}" and "BENIGN" in about["attack_family_mapping"]
+    assert spark.read.parquet(f"{out}/summary").count() == 1 and spark.read.parquet(f"{out}/dos/report/rates").count() > 2

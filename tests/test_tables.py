@@ -5,7 +5,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from flowlark.operators import cleaning, fusion, metrics, models, sampling, scaling, splits, thresholds
+from flowlark.operators import cleaning, fusion, groups, metrics, models, sampling, scaling, splits, thresholds
+from flowlark.plans.views import EVENT_FLOWS, view
 from flowlark.sources import tables
 
 
@@ -361,3 +362,43 @@ def test_fingerprints_and_prepared_tables(spark, tmp_path):
     for bad in (lambda: tables.find_prepared(spark, [f"{tmp_path}/run"]), lambda: tables.drop_tables(spark, str(tmp_path), [".."])):
         with pytest.raises((FileNotFoundError, ValueError)):
             bad()
+
+
+def test_groups_with_missing_keys(spark):
+    df = spark.createDataFrame([(1, "a", None), (2, "a", 1), (3, None, None), (4, "b", 1), (5, "a", None)], "row_id long, k string, v int")
+    keys = spark.createDataFrame([("a", None), ("a", None), (None, None), ("z", 9)], "k string, v int")
+    ids = lambda d: sorted(r.row_id for r in d.collect())
+    assert ids(groups.rows_in(df, keys, ["k", "v"])) == [1, 3, 5] and ids(groups.rows_not_in(df, keys, ["k", "v"])) == [2, 4]
+    assert {r.row_id: r["in"] for r in groups.with_membership(df, keys, ["k", "v"], "in").collect()} == {1: True, 2: False, 3: True, 4: False, 5: True}
+    assert [(r.k, r.n) for r in groups.group_sizes(df, ["k"], 2).collect()] == [("a", 3), ("b", 1)]
+    assert {(r.k, r["1"], r["None"]) for r in groups.value_table(df, "k", [1, None], "v").collect()} == {("a", 1, 2), ("b", 1, 0), (None, 0, 1)}
+    both = groups.under_each_other([df, spark.createDataFrame([(7, 2.5)], "row_id long, w double")])
+    assert both.count() == 6 and both.where("row_id = 7").first().asDict() == {"row_id": 7, "k": None, "v": None, "w": 2.5}
+    with pytest.raises(ValueError):
+        groups.under_each_other([])
+
+
+def test_samples_hold_the_rows_with_the_least_hashes(spark):
+    """The members of both samples, not their number alone."""
+    flows = view(spark, "/root/testdata/sf0.001", EVENT_FLOWS).select("row_id", "source_file", "attack_family")
+    rows = flows.withColumn("h", sampling.shuffled("row_id", 42)).toPandas().sort_values(["h", "row_id"])
+    want = {i for _, g in rows.groupby("source_file") for i in g.row_id.head(max(1, round(len(g) * 0.1)))}
+    assert {r.row_id for r in sampling.sample_per_file(flows, 0.1).collect()} == want
+    attacks = rows[rows.attack_family != "benign"].groupby("attack_family")
+    kept = {i for _, g in attacks for i in g.row_id.head(30)}
+    kept |= set(rows[rows.attack_family == "benign"].row_id.head(int(len(kept) * 2.5)))
+    assert {r.row_id for r in sampling.balanced_sample(flows, 30, 2.5, family="attack_family").collect()} == kept
+
+
+def test_recipes_in_whole_yaml(spark, tmp_path, monkeypatch):
+    text = "window_sizes: [5, 50]  # rows\nservice_family_ports:\n  web:\n    - 80\n    - 443\n  other: {a: 1}\nburst_gap_seconds: 1.5\nnote: >\n  two\n  lines\n"
+    (tmp_path / "r.yaml").write_text(text)
+    path = f"file://{tmp_path}/r.yaml"
+    if tables.yaml is not None:
+        assert tables.read_recipe(spark, path) == {"window_sizes": [5, 50], "service_family_ports": {"web": [80, 443], "other": {"a": 1}}, "burst_gap_seconds": 1.5, "note": "two lines\n"}
+        (tmp_path / "l.yaml").write_text("- 1\n- 2\n")
+        with pytest.raises(ValueError):
+            tables.read_recipe(spark, f"file://{tmp_path}/l.yaml")
+    monkeypatch.setattr(tables, "yaml", None)
+    (tmp_path / "p.yaml").write_text("window_sizes: [5]\nports:\n  web: [80]\n")
+    assert tables.read_recipe(spark, f"file://{tmp_path}/p.yaml") == {"window_sizes": [5], "ports": {"web": [80]}}

@@ -248,3 +248,21 @@ def test_scopes(spark):
     assert all(made["split_only"][i] <= made["causal_past_only"][i] <= made["full_source_file"][i] for i in made["split_only"])
     with pytest.raises(ValueError):
         scoped_window_features(df, split, "other", cfg)
+
+
+@pytest.mark.parametrize("hot", [1 << 17, 500])
+def test_every_feature_of_a_dense_host(spark, monkeypatch, hot):
+    """The query of one host's hour, whose frames hold the whole table in the end, by windows and by scans."""
+    from flowlark.plans.registry import QUERIES
+    from flowlark.plans.views import DENSE_FLOWS, view
+
+    monkeypatch.setattr(windows, "HOT_ROWS", hot)
+    monkeypatch.setattr(scans, "BLOCK", 300)
+    folder = "/root/testdata/sf0.001"
+    rows = [{**r.asDict(), "timestamp": r.timestamp.astimezone(dt.timezone.utc)} for r in view(spark, folder, DENSE_FLOWS).collect()]
+    want = brute(rows, [1000], [3600])
+    got = {r.row_id: r.asDict() for r in QUERIES["window_dense_host_all"](spark, folder).collect()}
+    assert got.keys() == want.keys() and len(got[0]) == 64
+    for i in want:
+        for n in want[i]:
+            assert math.isclose(got[i][n], want[i][n], abs_tol=2e-6), (i, n, got[i][n], want[i][n])
