@@ -6,7 +6,9 @@ quarter, its second quarter and its second half. Only suffixes that may occur tw
 the whole corpus is unique. Those least grams, about two in w + 1, are counted over all documents.
 
 Suffixes are dealt to subtrees by the shortest prefix of their path - one, two or three labels - that isn't heavy; a
-prefix is heavy if it would fill more than a quarter of a partition, so a common beginning is split by what follows it.
+prefix is heavy if it would fill more than a quarter of a partition, so a common beginning is split by what follows it. A
+whole path that is heavy (one very common window) is split by its documents: each part sends on its earliest suffix alone,
+few rows in all, and the earliest of these is the path's.
 Each subtree is its suffixes in sorted order: neighbours with the same path hang below one internal node of depth
 ``width`` or more, whose earliest suffix stays and whose others repeat it. Spark sorts the partitions on disk if need be, and
 they are read as a stream, so a subtree need not fit into memory. Repeated windows that overlap in a document
@@ -24,6 +26,7 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import chunks, distinct_ids_filter, mix64, stored, utf8, window_hashes, word_hashes, words
@@ -77,7 +80,7 @@ def _prefixes(paths: np.ndarray) -> np.ndarray:
 
 def _survey(docs: DataFrame, width: int) -> DataFrame:
     """doc_id, n_words, seq_key (of texts with a window: a digest of all words), least (the distinct least grams, twice
-    if the text holds the gram twice), sampled (prefix hashes of sampled suffixes, two for each)."""
+    if the text holds the gram twice), sampled (prefix hashes of sampled suffixes, three for each)."""
 
     def run(batches):
         for part in chunks(batches):
@@ -96,7 +99,7 @@ def _survey(docs: DataFrame, width: int) -> DataFrame:
                 keys.append(key)
                 least.append(np.concatenate([mine, mine[n[np.searchsorted(own, mine)] > 1]]))
                 at = np.arange(a + key[0] % SAMPLED, b - width + 1, SAMPLED)
-                sampled.append(_prefixes(c.paths(at))[:2].T.ravel())
+                sampled.append(_prefixes(c.paths(at)).T.ravel())
             lists = lambda x: pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum([len(v) for v in x])), pa.int32()), pa.array(np.concatenate(x).view(np.int64)))
             yield pa.RecordBatch.from_arrays(
                 [part.column("doc_id"), pa.array(np.diff(c.first)), pa.array(keys, pa.binary()), lists(least), lists(sampled)], ["doc_id", "n_words", "seq_key", "least", "sampled"]
@@ -105,12 +108,17 @@ def _survey(docs: DataFrame, width: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, n_words long, seq_key binary, least array<long>, sampled array<long>")
 
 
-def _heavy(survey: DataFrame, partitions: int) -> np.ndarray:
-    """Prefixes of one or two labels with more than 1 / (4 * partitions) of the sampled suffixes: 8 * partitions at most."""
+def _heavy(survey: DataFrame, sent: int, partitions: int) -> tuple[np.ndarray, np.ndarray]:
+    """Prefixes with more than 1 / (4 * partitions) of what is about to be sent, and how many quarters of a partition each
+    would fill. ``sent``: about how many suffixes that is; it counts as a sixteenth of all at least, so that prefixes are
+    192 * partitions at most."""
     counts = survey.select(F.explode("sampled").alias("prefix")).groupBy("prefix").count()
-    total = (survey.agg(F.sum(F.size("sampled"))).first()[0] or 0) / 2
-    rows = counts.where(F.col("count") > max(32.0, total / (4 * partitions))).select("prefix").toPandas()
-    return np.sort(rows["prefix"].to_numpy(np.int64).view(np.uint64))
+    every = (survey.agg(F.sum(F.size("sampled"))).first()[0] or 0) / 3
+    share = max(sent / SAMPLED, every / 16) / (4 * partitions)
+    rows = counts.where(F.col("count") > max(32.0, share)).toPandas()
+    prefix, parts = rows["prefix"].to_numpy(np.int64).view(np.uint64), np.ceil(rows["count"].to_numpy(float) / max(share, 1.0)).astype(np.int64)
+    order = np.argsort(prefix)
+    return prefix[order], parts[order]
 
 
 def _runs_of(doc: np.ndarray, at: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -146,7 +154,9 @@ def repeated_runs(docs: DataFrame, width: int = 20) -> DataFrame:
     once = classes.select(F.col("rep").alias("doc_id"), F.explode(F.array_distinct("least")).alias("gram"))
     found = once.where(distinct_ids_filter(twice, "gram")(F.col("gram"))).join(twice, "gram")
     wanted = stored(found.groupBy("doc_id").agg(F.collect_list("gram").alias("grams")), "candidates")
-    heavy = docs.sparkSession.sparkContext.broadcast(_heavy(survey, partitions))
+    # A gram is the least one of half of the windows that hold it, about.
+    sent = (wanted.agg(F.sum(F.size("grams"))).first()[0] or 0) * (width - width // 4 + 2) // 2
+    heavy = docs.sparkSession.sparkContext.broadcast(_heavy(survey, sent, partitions))
 
     def suffixes(batches):
         for part in chunks(batches, most=1 << 18):
@@ -166,32 +176,44 @@ def repeated_runs(docs: DataFrame, width: int = 20) -> DataFrame:
             order = np.lexsort((pos, doc, prefix[2]))
             doc, pos, paths, prefix = doc[order], pos[order], paths[:, order], prefix[:, order]
             first, repeat = _repeats(paths, doc, pos)
-            depth = np.where(np.isin(prefix[0], heavy.value), np.where(np.isin(prefix[1], heavy.value), 3, 2), 1)[first]
+            common, parts = heavy.value
+            depth = np.where(np.isin(prefix[0], common), np.where(np.isin(prefix[1], common), 3, 2), 1)[first]
+            place = np.minimum(np.searchsorted(common, prefix[2][first]), max(0, len(common) - 1))
+            hot = common[place] == prefix[2][first] if len(common) else np.zeros(len(first), bool)
+            # A hot path's suffixes name the part of their documents, from 1 on; other suffixes have none.
+            part_of = np.zeros(len(first), np.int64)
+            part_of[hot] = 1 + (mix64(doc[first][hot].astype(np.uint64)) % parts[place[hot]].astype(np.uint64)).astype(np.int64)
+            depth[hot] = 3
             own = np.lexsort((pos[repeat], doc[repeat]))
             rd, rp, rn = _runs_of(doc[repeat][own], pos[repeat][own], np.full(len(own), width))
             zero = np.zeros(len(rd), np.int64)
             label = lambda k: np.append(paths[k][first].view(np.int64), rd if k == 0 else zero)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(x) for x in (label(0), label(1), label(2), np.append(doc[first], rd), np.append(pos[first] << 32 | depth, rp << 32 | rn << 2))],
+                [pa.array(x) for x in (label(0), label(1), label(2), np.append(doc[first], rd), np.append(pos[first] << 32 | part_of << 2 | depth, rp << 32 | rn << 2))],
                 ["s1", "s2", "s3", "doc_id", "at"],
             )
 
     def subtrees(batches):
-        """Reads sorted suffixes; passes on the runs that were known before (those with a length)."""
+        """Reads sorted suffixes; passes on the runs that were known before (those without a depth), and with its path the
+        earliest suffix of a hot path's part."""
         last = None
         for batch in batches:
             s, doc, at = np.stack([batch.column(k).to_numpy().view(np.uint64) for k in range(3)]), batch.column(3).to_numpy(), batch.column(4).to_numpy()
-            known, pos, n = at >> 2 & ((1 << 30) - 1) > 0, at >> 32, at >> 2 & ((1 << 30) - 1)
-            out = [(doc[known], pos[known], n[known])]
-            s, doc, pos = s[:, ~known], doc[~known], pos[~known]
+            known, pos, n = at & 3 == 0, at >> 32, at >> 2 & ((1 << 30) - 1)
+            out, open_ = [(doc[known], pos[known], n[known])], np.zeros(0, np.int64)
+            s, doc, pos, hot = s[:, ~known], doc[~known], pos[~known], n[~known] > 0
             if last is not None:
+                hot = np.append(False, hot)  # it was passed on with its own batch
                 s, doc, pos = np.concatenate([last[0], s], axis=1), np.append(last[1], doc), np.append(last[2], pos)
             if len(doc):
                 first, repeat = _repeats(s, doc, pos)
                 last = s[:, first[-1:]], doc[first[-1:]], pos[first[-1:]]
                 out.append((doc[repeat], pos[repeat], np.full(int(repeat.sum()), width)))
+                open_ = first[hot[first]]
+                out.append((doc[open_], pos[open_], np.full(len(open_), width)))
             d, p, k = (np.concatenate(x) for x in zip(*out, strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(d), pa.array(p.astype(np.int32)), pa.array(k.astype(np.int32))], ["doc_id", "start", "n"])
+            paths = [pa.concat_arrays([pa.nulls(len(d) - len(open_), pa.int64()), pa.array(s[j][open_].view(np.int64))]) for j in range(3)]
+            yield pa.RecordBatch.from_arrays([pa.array(d), pa.array(p.astype(np.int32)), pa.array(k.astype(np.int32)), *paths], ["doc_id", "start", "n", "s1", "s2", "s3"])
 
     def joined(batches):
         held = [np.zeros(0, np.int64)] * 3
@@ -211,9 +233,14 @@ def repeated_runs(docs: DataFrame, width: int = 20) -> DataFrame:
 
     texts = docs.select("doc_id", "text").where(distinct_ids_filter(wanted, "doc_id")(F.col("doc_id"))).join(wanted, "doc_id")
     sent = texts.mapInArrow(suffixes, "s1 long, s2 long, s3 long, doc_id long, at long")
-    depth = F.col("at").bitwiseAND(F.lit(3))
-    subtree = F.when(depth <= 1, F.col("s1")).when(depth == 2, F.xxhash64("s1", "s2")).otherwise(F.xxhash64("s1", "s2", "s3"))
-    trees = sent.repartition(partitions, subtree).sortWithinPartitions("s1", "s2", "s3", "doc_id", "at").mapInArrow(subtrees, "doc_id long, start int, n int")
+    depth, part_of = F.col("at").bitwiseAND(F.lit(3)), F.shiftright("at", 2).bitwiseAND(F.lit((1 << 30) - 1))
+    subtree = F.when(depth <= 1, F.col("s1")).when(depth == 2, F.xxhash64("s1", "s2")).otherwise(F.xxhash64("s1", "s2", "s3", part_of))
+    trees = sent.repartition(partitions, subtree).sortWithinPartitions("s1", "s2", "s3", "doc_id", "at").mapInArrow(subtrees, "doc_id long, start int, n int, s1 long, s2 long, s3 long")
+    trees = stored(trees, "repeated-windows")
+    # The parts' earliest suffixes, few for each partition: all but the earliest of a path are repeats.
+    place = F.rank().over(W.partitionBy("s1", "s2", "s3").orderBy("doc_id", "start"))
+    late = trees.where("s1 is not null").withColumn("_place", place).where("_place > 1")
+    trees = trees.where("s1 is null").select("doc_id", "start", "n").unionByName(late.select("doc_id", "start", "n"))
     runs = trees.repartition(partitions, "doc_id").sortWithinPartitions("doc_id", "start", "n").mapInArrow(joined, _RUNS)
     return stored(runs.unionByName(copied.distinct()), "runs")
 

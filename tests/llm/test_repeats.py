@@ -82,3 +82,26 @@ def test_texts_of_over_a_megabyte(spark, tmp_path):
     texts = [" ".join(words), "one two " + " ".join(words[5000:150_000]) + " three", "y" * 1_500_000]
     got = {r.doc_id: tuple(r)[1:] for r in op6_substring_dedup(spark, save(documents(spark, texts), tmp_path, "documents")).collect()}
     assert got == brute(texts) and got[1][1] == 145_000
+
+
+def test_a_window_of_a_third_of_all_documents_is_many_tasks_work(spark, tmp_path, monkeypatch):
+    """Its suffixes are dealt by their documents, and no partition finds most of the copies."""
+    monkeypatch.setattr(repeats, "SAMPLED", 1)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")  # so that few copies meet in a chunk
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    kept = {}
+    monkeypatch.setattr(repeats, "stored", lambda df, name, f=repeats.stored: kept.setdefault(name, f(df, name)))
+    r = random.Random(11)
+    passage = " ".join(f"p{k}" for k in range(20))
+    plain = lambda: " ".join(f"w{r.randrange(3000)}" for _ in range(r.randint(20, 40)))
+    texts = [plain() + (f" {passage} " if i % 3 == 0 else " ") + plain() for i in range(600)]
+    try:
+        got = {x.doc_id: tuple(x)[1:] for x in op6_substring_dedup(spark, save(documents(spark, texts), tmp_path, "documents")).collect()}
+        assert got == brute(texts) and sum(v[1] for v in got.values()) >= 199 * 20
+        open_ = kept["repeated-windows"].where("s1 is not null")
+        assert open_.select("s1", "s2", "s3").distinct().count() == 1 and open_.count() >= 4
+        done = kept["repeated-windows"].where("s1 is null").groupBy(F.input_file_name()).count().toPandas()["count"]
+        assert len(done) >= 4 and done.max() <= done.sum() / 2
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
