@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -21,13 +23,33 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+#: The paths that each open ``scratch`` has to delete.
+_SCRATCH: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Deletes at its end the tables that were stored within. What is made of them must have been written by then, to a
+    path that was taken before."""
+    _SCRATCH.append([])
+    try:
+        yield
+    finally:
+        for name in _SCRATCH.pop():
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A new path in a folder of this application, which is deleted when its driver ends."""
     sc = spark.sparkContext
     folder = f"{shared_dir(spark)}/{sc.applicationId}"
     path = sc._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(sc._jsc.hadoopConfiguration()).deleteOnExit(path)
-    return f"{folder}/{name}-{uuid.uuid4().hex}"
+    made = f"{folder}/{name}-{uuid.uuid4().hex}"
+    if _SCRATCH:
+        _SCRATCH[-1].append(made)
+    return made
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import math
 import time
+from contextlib import nullcontext
 
 import numpy as np
 import pytest
@@ -177,7 +178,7 @@ def test_trees_are_cut_at_the_round_with_the_best_precision(spark):
     assert all(math.isclose(whole[i], full[i], abs_tol=1e-12) for i in whole)
 
 
-def test_importance_of_many_features_in_one_pass(spark):
+def test_importance_of_many_features_in_one_pass(spark, monkeypatch):
     """60,000 rows and 50 features: the precisions are those of NumPy for the very same shuffles, within a minute."""
     n, k = 60_000, 50
     weights = np.zeros(k)
@@ -186,6 +187,7 @@ def test_importance_of_many_features_in_one_pass(spark):
     df = spark.range(n).select(F.col("id").alias("row_id"), F.pmod(F.xxhash64("id"), F.lit(5)).alias("_y"), *[(F.rand(j) + (F.pmod(F.xxhash64("id"), F.lit(5)) == 0).cast("double")).alias(c) for j, c in enumerate(names)])
     df = df.withColumn("y", (F.col("_y") == 0).cast("int")).drop("_y")
     seen = []
+    monkeypatch.setattr(models, "scratch", lambda spark: nullcontext())  # the shuffled rows are looked at below
 
     def score(d):
         out = d.withColumn("score", F.round(sum(F.col(c) * float(w) for c, w in zip(names, weights) if w), 6))
@@ -244,3 +246,19 @@ def test_logistic_fusion_grid_is_that_of_the_fitted_score(spark):
         mine = fused[fused.split == row.split]
         hit, real = mine.fusion_score.to_numpy() >= row.threshold, mine.y.to_numpy() == 1
         assert math.isclose(row.recall, (hit & real).sum() / max(1, real.sum())) and math.isclose(row.fpr, (hit & ~real).sum() / max(1, (~real).sum()))
+
+
+def test_scratch_tables_go_and_others_stay(spark):
+    from pathlib import Path
+
+    from flowlark.functions.storage import fresh_path, scratch, stored
+
+    out = fresh_path(spark, "kept")
+    with scratch(spark):
+        inner = stored(spark.range(5), "inner")
+        with scratch(spark):
+            stored(spark.range(3), "innermost")
+        inner.write.parquet(out)
+        gone = Path(inner.inputFiles()[0].removeprefix("file://")).parent
+        assert gone.exists()
+    assert not gone.exists() and spark.read.parquet(out).count() == 5
