@@ -12,7 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from flowlark.llm import langid, minhash, packing, repeats, toxicity
-from flowlark.llm.common import crc_mod, distinct_ids_filter, light_workers, read, stored, without_ids
+from flowlark.llm.common import crc_mod, distinct_ids_filter, fresh_path, light_workers, read, scratch, stored, without_ids
 from flowlark.llm.queries import toxicity_model
 from flowlark.llm.tokens import public
 
@@ -87,10 +87,19 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages one after the other; each one's result is a table in the shared folder that the next one reads."""
+    """The stages one after the other; each one's result is a table in the shared folder that the next one reads, and what
+    a stage stored on its way is deleted when its result is there.
+
+    Null, empty and very long texts, rows that repeat an id, and an empty table are each stage's matter, see there; an
+    empty table of documents gives no pieces. Columns of ``documents`` beyond its own are not read.
+    """
     docs = read(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        path = fresh_path(spark, name.replace(" ", "-"))
+        with scratch(spark):
+            made = stage(spark, docs, sf_dir)
+            made.write.parquet(path)
+        docs = spark.read.schema(made.schema).parquet(path)
     return STAGES[-1][1](spark, docs, sf_dir)
 
 

@@ -38,7 +38,8 @@ def linear_tree(turns: DataFrame) -> DataFrame:
     """Conversations (conv_id, turn, role, text) as reply trees: each message answers the one before it.
 
     Order within a conversation is by turn, nulls last, then role and text; rows that agree in all of them are messages
-    of their own. Null texts and roles are empty strings. A null conv_id is a conversation too.
+    of their own. Null texts and roles are empty strings. A null conv_id is a conversation too. Very long texts stay whole;
+    an empty table gives no messages; other columns are not read.
     """
     said = turns.select(F.col("conv_id").alias("tree_id"), "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     place = F.row_number().over(W.partitionBy("tree_id").orderBy(F.col("turn").asc_nulls_last(), "role", "text")).cast("long") - 1
@@ -106,7 +107,11 @@ def _expanded(jumps: list[DataFrame], leaves: DataFrame) -> DataFrame:
 
 
 def root_to_leaf_paths(messages: DataFrame) -> DataFrame:
-    """The paths of every tree as rows (tree_id, leaf_id, msg_id, up): ``up`` counts the steps from the leaf, 0 at it."""
+    """The paths of every tree as rows (tree_id, leaf_id, msg_id, up): ``up`` counts the steps from the leaf, 0 at it.
+
+    (tree_id, msg_id) must be unique, as ``linear_tree`` makes it: where it is repeated, each path through it is there once
+    for every combination of its rows. A message whose parent isn't in its tree, or is null, is a root; an empty table
+    gives no paths."""
     return _expanded(*_walks(messages))
 
 

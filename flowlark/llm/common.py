@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.storage import fresh_path, shared_dir, stored  # noqa: F401
+from ..functions.storage import fresh_path, scratch, shared_dir, stored  # noqa: F401
 
 #: Bytes of text that a task holds as NumPy arrays at a time; one longer text is a chunk of its own.
 CHUNK_BYTES = 1 << 19

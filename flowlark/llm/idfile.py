@@ -128,7 +128,10 @@ def write_ids(df: DataFrame, path: str, tokenizer: str, end_id: int | None = Non
 
 def read_ids(spark, path: str, make=None, schema: str = "ids array<int>") -> DataFrame:
     """Per document, from the files alone: doc_id, start (ids of all documents before it), n_tokens, and its ids, or
-    what ``make(starts, ids)`` makes of those of a chunk. Chunks are read on their own, wherever they are needed."""
+    what ``make(starts, ids)`` makes of those of a chunk. Chunks are read on their own, wherever they are needed.
+
+    A null or empty text's document has its end id alone, a very long one's is a chunk of its own, repeated ids are documents
+    of their own; files of an empty table give no rows."""
     table = spark.read.schema(SCHEMA).parquet(path)
     # One row a shard: their sums, and not ids, are put in order in one place.
     shards = table.groupBy("shard").agg(F.sum("n_ids").alias("n"))

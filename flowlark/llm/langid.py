@@ -146,7 +146,8 @@ def _trust(train: DataFrame, model: Model) -> np.ndarray:
 
 
 def share_column(spark, model: Model, text: Column) -> Column:
-    """The nearest codeword's share as a column, null where the language is ``und``; for filters."""
+    """The nearest codeword's share as a column, null where the language is ``und`` (null, empty and letterless texts); for
+    filters. Very long texts are read whole, repeated rows each; an empty table stays empty."""
     held = spark.sparkContext.broadcast(model)
 
     def share(texts: list) -> np.ndarray:

@@ -33,7 +33,8 @@ def statistics(df: DataFrame, text_col: str = "text", width: int = 5) -> DataFra
     ``n_repeat_words`` counts the words that lie in a run of ``width`` words found twice or more in the text, the first
     place included. Runs are compared by a 64-bit hash: sorted (hash, place) pairs put equal runs side by side, and the
     places with an equal neighbour, sorted again, cover ``width`` words each, less what the next place covers too.
-    Columns of ``df`` whose names clash with a statistic's are replaced.
+    Columns of ``df`` whose names clash with a statistic's are replaced. Null and empty texts have zeros, very long ones are
+    counted whole, repeated rows each; an empty table gives an empty one.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     stop = sorted({w for line in STOP_WORDS for w in line.split()})

@@ -164,7 +164,8 @@ def _scores(texts: list, model: Model, mark: np.ndarray) -> np.ndarray:
 
 
 def score_column(spark, model: Model, text: Column) -> Column:
-    """The score as a column, for filters that keep their rows as they are."""
+    """The score as a column, for filters that keep their rows as they are. Null, empty and letterless texts get the bias'
+    score, very long ones are scored whole, repeated rows each; an empty table stays empty."""
     held = spark.sparkContext.broadcast(model)
 
     @F.arrow_udf("double")

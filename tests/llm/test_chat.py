@@ -77,3 +77,14 @@ def test_a_text_of_over_a_megabyte(spark):
     df = spark.createDataFrame([(1, 0, "user", "x:#" * 500_000)], "conv_id long, turn long, role string, text string")
     row = chat.format_reply_trees(chat.linear_tree(df)).select(chat.read_back(F.col("formatted")).alias("t")).first()
     assert row.t[0].text == "x:#" * 500_000
+
+
+def test_clashing_columns_and_repeated_messages(spark):
+    turns = spark.createDataFrame([(1, 0, "user", "hi"), (1, 1, "assistant", "ho")], "conv_id long, turn long, role string, text string")
+    clash = turns.withColumns({c: F.lit("clash") for c in ("tree_id", "msg_id", "parent_id", "score", "leaf_id", "branch", "formatted", "up", "to", "gained")})
+    plain, other = (chat.format_reply_trees(chat.linear_tree(d)).collect() for d in (turns, clash))
+    assert plain == other and len(plain) == 1
+    tree = chat.linear_tree(turns)
+    again = tree.union(tree.where("msg_id = 1")).withColumn("up", F.lit("clash"))
+    paths = sorted((r.leaf_id, r.msg_id, r.up) for r in chat.root_to_leaf_paths(again).collect())
+    assert paths == [(1, 0, 1)] * 4 + [(1, 1, 0)] * 2
