@@ -6,9 +6,11 @@ no band with probability (1 - 0.8**4)**28 = 4e-7.
 
 Documents with the same set are one class, whose members never meet each other; only classes are banded. In each
 bucket all members are compared with its smallest one, links are checked on the full sets of words, and components are
-built; then the members of a bucket that are still in different components are compared with each other, all of them: pair
-by pair in small buckets, in blocks where a bucket is large. So a bucket of thousands of copies mostly costs one comparison
-a member, and no candidate between different components is left out.
+built; then the members of a bucket that are still in different components are compared with each other. In small buckets
+these are all pairs. Members of large buckets are compared if they share one of their rarest shingles: of two sets with the
+wanted similarity, each has a common shingle among its first n - ceil(percent * n / 100) + 1 in any order of all shingles,
+and the order taken has those first that only one component holds (see ``rare_shingles``). So a bucket of thousands of copies
+mostly costs one comparison a member, and no candidate between different components is left out.
 
 Hashes only find links: each link is confirmed on the two texts' words themselves.
 """
@@ -26,7 +28,8 @@ from .common import chunks, distinct_ids_filter, mix64, stored, utf8, window_has
 from .components import components
 
 ROWS, BANDS = 4, 28
-#: Buckets with more members than SMALL are compared in blocks of about BLOCK documents.
+#: Buckets with more members than SMALL are compared by their rarest shingles, and what shares such a shingle with more
+#: than SMALL others in blocks of about BLOCK documents.
 SMALL, BLOCK = 32, 512
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -171,6 +174,47 @@ def _linked(sets: list[np.ndarray], roots: np.ndarray, apart: np.ndarray, percen
     return out
 
 
+def rare_shingles(large: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """key (a shingle's hash), rep, root, held (set size), least (smallest rep of the key) and n (members) for what the
+    members of large buckets (rows: rep, root) have to be compared by: whoever is linked across components shares a key.
+
+    All shingles are ordered: first those that one component alone holds, then by the number of members that hold them,
+    then by hash. A set's first held - ceil(percent * held / 100) + 1 shingles are its prefix, and two sets that have no
+    common shingle among these can't have the wanted similarity. A shingle of one component can't be common to two, so
+    only the others are sorted, and a set that shares too few of its shingles with other components drops out.
+    Rows that repeat an id with other texts have a prefix for each text.
+    """
+    held = stored(large.select("rep", "root").distinct(), "apart")
+    texts = docs.where(distinct_ids_filter(held, "rep")(F.col("doc_id")))
+    texts = held.join(texts, F.col("rep") == F.col("doc_id")).select("rep", "root", F.xxhash64("text").alias("copy"), "text")
+
+    def run(batches):
+        for part in chunks(batches):
+            sets = shingle_sets(part.column("text"), size)
+            sizes = np.array([len(s) for s in sets], np.int64)
+            of = pa.array(np.repeat(np.arange(len(sets)), sizes))
+            columns = [*(part.column(name).take(of) for name in ("rep", "root", "copy")), pa.array(np.repeat(sizes, sizes))]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(np.concatenate(sets).view(np.int64))], ["rep", "root", "copy", "held", "key"])
+
+    # Stored, as is what is counted of it, so that a shingle of very many members is a split join, not one task's.
+    rows = stored(texts.mapInArrow(run, "rep long, root long, copy long, held long, key long"), "shingles")
+    across = lambda of: of.groupBy("key").agg(F.count("*").alias("n"), F.min("rep").alias("least"), F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 < r2")
+    common = stored(across(rows).select("key", "n"), "common-shingles")
+    sets = rows.join(common, "key").groupBy("rep", "copy", "root", "held").agg(F.array_sort(F.collect_list(F.struct("n", "key"))).alias("common"))
+    take = F.size("common") + 1 - F.ceil(F.col("held") * percent / 100)
+    first = sets.withColumn("take", take.cast("int")).where("take > 0").select("rep", "root", "held", F.explode(F.slice("common", 1, F.col("take"))).alias("c"))
+    first = stored(first.select("rep", "root", "held", "c.key"), "prefixes")
+    return first.join(across(first).select("key", "least", "n"), "key")
+
+
+def _pairs_apart(rows: DataFrame, also: str) -> DataFrame:
+    """The pairs (a, b) of what shares a key (rows: key, rep, root, n) and isn't in one component, where the key has at most
+    SMALL members and ``also``, a condition on the two rows x and y, holds."""
+    x, y = rows.where(F.col("n") <= SMALL).alias("x"), rows.where(F.col("n") <= SMALL).alias("y")
+    met = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.root") != F.col("y.root")))
+    return met.where(also).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
+
+
 def _compared_in_blocks(rows: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
     """Links (a, b) among the members of large buckets (rows: least, rep, root), all of them against each other.
 
@@ -225,22 +269,22 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, text_col:
     rows = stored(rows.join(buckets.hint("shuffle_hash"), "key").distinct(), "buckets")
     links = stored(confirmed(stored(rows.where("rep <> least").select(F.col("least").alias("a"), F.col("rep").alias("b")).distinct(), "pairs"), docs, size, percent), "links")
     roots = components(links)
-    # Second round: what shares a bucket and is still apart, pair by pair in small buckets, by blocks in large ones.
+    # Second round: what shares a bucket and is still apart, in large buckets only if it shares a rare shingle too.
     named = rows.join(roots, rows["rep"] == roots["node"], "left").select("key", "least", "rep", F.coalesce("root", "rep").alias("root"))
     apart = named.groupBy("key").agg(F.min("root").alias("r1"), F.max("root").alias("r2"), F.count("*").alias("n")).where("r1 < r2").select("key", "n")
     open_ = stored(named.join(apart.hint("shuffle_hash"), "key"), "open-buckets")
-    x, y = open_.where(F.col("n") <= SMALL).alias("x"), open_.where(F.col("n") <= SMALL).alias("y")
-    rest = (
-        x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.root") != F.col("y.root")))
-        .where("x.rep <> x.least")  # those were compared in the first round
-        .select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
-        .distinct()
-    )
-    pairs = stored(rest, "pairs")
-    more = [] if pairs.isEmpty() else [confirmed(pairs, docs, size, percent)]
+    rest = _pairs_apart(open_, "x.rep <> x.least")  # those were compared in the first round
     large = open_.where(F.col("n") > SMALL)
+    more = []
     if not large.isEmpty():
-        more.append(_compared_in_blocks(large.select("least", "rep", "root"), docs, size, percent))
+        by_shingle = stored(rare_shingles(large, docs, size, percent), "rare-shingles")
+        rest = rest.union(_pairs_apart(by_shingle, f"100 * least(x.held, y.held) >= {percent} * greatest(x.held, y.held)"))
+        many = by_shingle.where(F.col("n") > SMALL)
+        if not many.isEmpty():
+            more.append(_compared_in_blocks(many.select("least", "rep", "root"), docs, size, percent))
+    pairs = stored(rest.distinct(), "pairs")
+    if not pairs.isEmpty():
+        more.append(confirmed(pairs, docs, size, percent))
     done = members.join(roots, members["rep"] == roots["node"], "left").select("doc_id", "n_shingles", F.coalesce("root", "rep", "doc_id").alias("root"))
     component = F.col("root")
     if more:

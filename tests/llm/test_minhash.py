@@ -55,6 +55,48 @@ def test_components_match_brute_force(spark, tmp_path, monkeypatch, small, block
     assert got == brute(texts)
 
 
+def offshoots(n, own, seed):
+    """Texts of one passage, each with words of its own after it; every fourth has three near copies."""
+    r = random.Random(seed)
+    passage = [f"p{k}" for k in range(60)]
+    out = []
+    for k in range(n):
+        w = [*passage, *(f"o{k}-{j}" for j in range(own))]
+        out.append(" ".join(w))
+        for c in range(3 if k % 4 == 0 else 0):
+            w[r.randrange(60, len(w))] = f"c{k}-{c}"
+            out.append(" ".join(w))
+    return out
+
+
+@pytest.mark.parametrize("own,blocks", [(24, False), (12, True)])
+def test_large_buckets_are_compared_by_rare_shingles(spark, tmp_path, monkeypatch, own, blocks):
+    """Texts that share a passage but not enough of it meet nobody; those near the bound are compared in blocks."""
+    used = []
+    compare = minhash._compared_in_blocks
+    monkeypatch.setattr(minhash, "_compared_in_blocks", lambda *a: used.append(1) or compare(*a))
+    monkeypatch.setattr(minhash, "SMALL", 6)
+    texts = offshoots(120, own, 5)
+    random.Random(6).shuffle(texts)
+    got = {r.doc_id: tuple(r)[1:] for r in op5_minhash_dedup(spark, save(documents(spark, texts), tmp_path, "documents")).collect()}
+    assert got == brute(texts) and bool(used) == blocks
+
+
+def test_rare_shingles_lose_no_link(spark, tmp_path):
+    """Every pair of different components with the wanted similarity shares a key, for random sets and components."""
+    r = random.Random(9)
+    texts = [*family(40, 8, 11), *family(40, 2, 12), *offshoots(30, 13, 13)]
+    docs = documents(spark, texts).select("doc_id", "text")
+    roots = [r.randrange(i // 3 + 1) for i in range(len(texts))]
+    rows = spark.createDataFrame(list(enumerate(roots)), "rep long, root long")
+    keys = {}
+    for x in minhash.rare_shingles(rows, docs, 4, 80).collect():
+        keys.setdefault(x.rep, set()).add(x.key)
+    sets = [shingles(t, 4) for t in texts]
+    wanted = [(i, j) for i, j in combinations(range(len(texts)), 2) if roots[i] != roots[j] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])]
+    assert len(wanted) > 100 and all(keys.get(i, set()) & keys.get(j, set()) for i, j in wanted)
+
+
 def test_empty_null_ids_and_repeated_rows(spark):
     df = documents(spark, ["a b c d e f", "a b c d e f"])
     assert minhash.near_duplicates(df.limit(0)).count() == 0
