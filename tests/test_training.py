@@ -52,6 +52,22 @@ def test_rounds_are_those_of_numpy_on_the_union(spark):
     assert all(np.allclose(mine[k], theirs[k], atol=1e-10) for k in w)
 
 
+def test_equal_rows_are_learnt_from_once_with_their_number(spark):
+    """A batch of copies holds each row once; sums, counts and gradients are those of all rows."""
+    r = np.random.default_rng(7)
+    base = r.normal(size=(40, 3))
+    df, names = frame(spark, base[r.integers(0, 40, 2000)])
+    plain, merged = training.dealt(df, names, "row_id", None, 2, 5), training.dealt(df, names, "row_id", None, 2, 5, merged=True)
+    assert merged.count() <= 3 * 40 and merged.agg(F.sum("n")).first()[0] == 2000
+    small = lambda *s: r.normal(0, 0.4, s)
+    w = {"e1": small(3, 70), "e2": small(70, 2), "memory": small(5, 2), "d1": small(2, 70), "d2": small(70, 3), "e1b": small(70), "e2b": small(2), "d1b": small(70), "d2b": small(3)}
+    model = models.MemoryAutoencoder(w, 0.1)
+    for k in (-1, 0, 1):
+        a = training.summed(plain.where(F.col("_batch") == k), w, lambda w, x, y: ({c: g * len(x) for c, g in models._gradients(model, x, 2e-2).items()}, float(len(x))), 64)
+        b = training.summed(merged.where(F.col("_batch") == k), w, lambda w, x, y, n: ({c: g * n.sum() for c, g in models._gradients(model, x, 2e-2, number=n).items()}, float(n.sum())), 64)
+        assert a[1:] == b[1:] and all(np.allclose(a[0][c], b[0][c], atol=1e-9) for c in w)
+
+
 def test_training_stops_and_keeps_the_best(spark):
     df, names = frame(spark, np.random.default_rng(2).normal(size=(200, 2)))
     rows = training.dealt(df, names, "row_id")
