@@ -266,3 +266,18 @@ def test_every_feature_of_a_dense_host(spark, monkeypatch, hot):
     for i in want:
         for n in want[i]:
             assert math.isclose(got[i][n], want[i][n], abs_tol=2e-6), (i, n, got[i][n], want[i][n])
+
+
+def test_a_tasks_rows_do_not_grow_with_the_table(spark, monkeypatch):
+    """Groups are dealt to more tasks where there are more rows or more features, and features stay the same."""
+    rows = [(i, "f", f"h{i % 300}", i % 7, f"d{i % 5}", i % 11, START + dt.timedelta(seconds=i // 3), *[i % 2, i % 3, 0, 1, i % 9, 2, i % 700, 40]) for i in range(6000)]
+    df = spark.createDataFrame(rows, SCHEMA).withColumn("source_file", F.lit("f"))  # a constant key must not deal them again
+    names = ["win_flow_count_20", "time_dest_repeat_ratio_60s", "win_single_dest_ratio_20"]
+    make = lambda: add_window_features(df, {**ALL, "window_sizes": [20], "time_window_seconds": [60]}, "double", names)
+    want = sorted(make().select("row_id", *names).collect())
+    monkeypatch.setattr(windows, "TASK_ROWS", 100)
+    for values, tasks in ((1 << 20, 60), (150, 120)):
+        monkeypatch.setattr(windows, "TASK_VALUES", values)
+        got = make()
+        assert got.rdd.getNumPartitions() == tasks
+    assert sorted(got.select("row_id", *names).collect()) == want
