@@ -55,18 +55,20 @@ class FusionModel:
 
 
 def fit_fusion(df: DataFrame, y: str = "y", id_col: str = "row_id", folds: int = 3) -> FusionModel:
-    """Folds by a hash of the id. Each fold's isotonic map is learnt on it, its logistic model on the others."""
+    """Folds by a hash of the id. Each fold's isotonic map is learnt on it, its logistic model on the others. Rows of a fold
+    that are equal in label and scores are learnt from as one that weighs their number."""
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.functions import vector_to_array
     from pyspark.ml.regression import IsotonicRegression
 
-    data = class_weights(with_fusion_features(df).withColumn("_y", F.col(y).cast("double")), "_y")
-    data = VectorAssembler(inputCols=[f"fusion_{n}" for n in NAMES], outputCol="_features").transform(data).withColumn("_fold", F.pmod(F.xxhash64(id_col), F.lit(folds))).select("_features", "_y", "weight", "_fold").cache()
+    rows = df.select(F.col(y).cast("double").alias("_y"), "tree_score", "memory_score", F.pmod(F.xxhash64(id_col), F.lit(folds)).alias("_fold"))
+    data = with_fusion_features(class_weights(rows, "_y").groupBy(*rows.columns, "weight").agg(F.count(F.lit(1)).cast("double").alias("_n")))
+    data = VectorAssembler(inputCols=[f"fusion_{n}" for n in NAMES], outputCol="_features").transform(data).select("_features", "_y", (F.col("weight") * F.col("_n")).alias("weight"), "_n", "_fold").cache()
     parts = []
     for k in range(folds):
         logistic = LogisticRegression(featuresCol="_features", labelCol="_y", weightCol="weight", maxIter=200).fit(data.where(F.col("_fold") != k))
         held = logistic.transform(data.where(F.col("_fold") == k)).withColumn("_p", vector_to_array("probability")[1])
-        parts.append((logistic, IsotonicRegression(featuresCol="_p", labelCol="_y").fit(held.select("_p", "_y"))))
+        parts.append((logistic, IsotonicRegression(featuresCol="_p", labelCol="_y", weightCol="_n").fit(held.select("_p", "_y", "_n"))))
     data.unpersist()
     return FusionModel(parts)

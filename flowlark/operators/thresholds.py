@@ -31,14 +31,17 @@ def thresholds_for_fpr(scores: DataFrame, targets: list[float], score: str = "sc
     if fallback not in ("nextafter", "percentile"):
         raise ValueError(f"unknown fallback: {fallback}")
     s = F.col(score).cast("double")
-    bad = s.isNull() | F.isnan(s) | (F.abs(s) == float("inf"))
-    n, broken, top, few = scores.agg(F.count(F.lit(1)), F.sum(bad.cast("int")), F.max(s), F.approx_count_distinct(s)).first()
+    bad = F.col("s").isNull() | F.isnan("s") | (F.abs("s") == float("inf"))
+    count = lambda scores, s: stored(scores.groupBy(s.alias("s")).agg(F.count(F.lit(1)).alias("n")), "score-counts")
+    counts = count(scores, s)  # the one pass over the rows
+    n, broken, top, few = counts.agg(F.sum("n"), F.sum(F.when(bad, F.col("n"))), F.max("s"), F.count(F.lit(1))).first()
     if not n or broken:
         raise ValueError("finite scores are needed")
-    if jitter and few <= 20 and scores.select(s).distinct().count() <= 10:
+    if jitter and few <= 10:
         noise = F.pmod(F.xxhash64(F.monotonically_increasing_id(), F.lit(42)), F.lit(1 << 30)) / (1 << 30) * JITTER
         scores, s = stored(scores.select((s + noise).alias("_jittered")), "jittered"), F.col("_jittered")
-    counts = scores.groupBy(s.alias("s")).agg(F.count(F.lit(1)).alias("n"))
+        counts = count(scores, s)
+        top = counts.agg(F.max("s")).first()[0]
     share = F.col("total_n") / n
     least = [F.min_by(F.struct("s", "total_n"), F.when(share <= t, F.col("s"))).alias(f"t{k}") for k, t in enumerate(targets)]
     reached = [F.min(F.when(share <= t, F.col("s"))).isNotNull().alias(f"r{k}") for k, t in enumerate(targets)]

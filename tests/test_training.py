@@ -248,6 +248,24 @@ def test_thresholds_come_from_the_split_that_is_asked_for(spark):
         assert cut in {v.first_threshold for v in either.collect()}
 
 
+def test_fits_go_through_equal_rows_once(spark, monkeypatch):
+    """Trees and fusion see one row for all copies of it; a table and its fifty copies give the same scores."""
+    from pyspark.ml.classification import GBTClassifier, LogisticRegression
+
+    r = np.random.default_rng(12)
+    rows = [(i, int(r.random() < 0.2 + 0.1 * (i % 7)), float(i % 7) / 8, float(i % 4)) for i in range(56)]
+    once = spark.createDataFrame(rows, "row_id long, y int, tree_score double, memory_score double")
+    many = once.crossJoin(spark.range(50).withColumnRenamed("id", "copy")).drop("copy")
+    seen = []
+    for kind in (GBTClassifier, LogisticRegression):
+        monkeypatch.setattr(kind, "fit", lambda self, data, params=None, fit=kind.fit: seen.append(data.count()) or fit(self, data, params))
+    names = ["tree_score", "memory_score"]
+    read = lambda df, column: [v[column] for v in df.orderBy("row_id").collect()]
+    trees = [read(models.tree_scores(models.fit_trees(df, names, depth=3, rounds=4), once), "tree_score") for df in (once, many)]
+    fused = [read(fusion.fit_fusion(df).transform(once), "fusion_score") for df in (once, many)]
+    assert np.allclose(*trees) and np.allclose(*fused, atol=1e-4) and max(seen) <= 56
+
+
 def test_logistic_fusion_grid_is_that_of_the_fitted_score(spark):
     folder = "/root/testdata/sf0.001"
     got = QUERIES["logistic_fusion_grid"](spark, folder).collect()
