@@ -3,6 +3,7 @@
 import datetime as dt
 import math
 import random
+import re
 from collections import Counter, deque
 
 import numpy as np
@@ -281,3 +282,28 @@ def test_a_tasks_rows_do_not_grow_with_the_table(spark, monkeypatch):
         got = make()
         assert got.rdd.getNumPartitions() == tasks
     assert sorted(got.select("row_id", *names).collect()) == want
+
+
+def test_scans_deal_rows_by_their_numbers_only(spark, monkeypatch):
+    """What blocks begin with is broadcast, whatever Spark thinks of its size: nothing is dealt by blocks for it."""
+    monkeypatch.setattr(windows, "HOT_ROWS", 25)
+    monkeypatch.setattr(scans, "BLOCK", 16)
+    df = spark.createDataFrame([(*r[:2], "h", *r[3:]) for r in flows(150, 12)], SCHEMA)
+    had = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = add_window_features(df, {**ALL, "window_sizes": [6], "time_window_seconds": [3]}, "double")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", had)
+    assert re.search(r"hashpartitioning\(_gid#\d+L, _rn#\d+L", plan) and not re.search(r"hashpartitioning\(_gid#\d+L, _block#\d+L", plan)
+
+
+def test_millionths_are_those_of_round(spark):
+    from flowlark.plans.window_queries import sixth
+
+    r = random.Random(3)
+    xs = [None, math.nan, math.inf, -math.inf, 0.0, -0.0, -1e-12, 5e-7, -5e-7, 1e17, -1e300, 537719024.9020485, -275249721.5836645, *[(k + 0.5) / 1e6 for k in range(-500, 500)]]
+    xs += [r.uniform(-2, 2) * 10 ** r.randint(-8, 12) for _ in range(20_000)] + [r.randint(-(10**9), 10**9) / 10 ** r.randint(3, 7) for _ in range(20_000)]
+    df = spark.createDataFrame([(x,) for x in xs], "x double")
+    got = df.select("x", F.round("x", 6).cast("string").alias("want"), sixth(F.col("x")).cast("string").alias("got"))
+    assert got.where("not (want <=> got)").collect() == [] and got.count() == len(xs)
