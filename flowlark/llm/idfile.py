@@ -25,11 +25,13 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import chunks
-from .tokens import white_space_ids
+from .tokens import white_space_ids_of
 
 BLOCK = 1 << 14
 #: A chunk is closed when it has this many ids; one longer document is a chunk of its own.
 CHUNK_IDS = 1 << 18
+#: Bytes of text whose words are looked up together; the more, the more of them are equal.
+TEXT_BYTES = 1 << 23
 PLANE_BITS = 8
 MAGIC = b"BPZ1"
 _HEAD = struct.Struct("<4sBIIQ")
@@ -110,11 +112,12 @@ def write_ids(df: DataFrame, path: str, tokenizer: str, end_id: int | None = Non
                 {"shard": pa.array([shard], pa.int32()), "chunk": pa.array([number], pa.int32()), "first": [first], "n_ids": [held], "payload": pa.array([write_chunk(docs, ids)], pa.binary())}
             )
 
-        end = np.array([] if end_id is None else [end_id], np.uint32).tobytes()
-        for part in chunks(batches, most=1 << 20):
-            for doc, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist(), strict=True):
+        end = np.array([] if end_id is None else [end_id], np.uint32)
+        for part in chunks(batches, most=TEXT_BYTES):
+            found = white_space_ids_of(tokenizer, part.column("text").to_pylist())
+            for doc, own in zip(part.column("doc_id").to_pylist(), found, strict=True):
                 docs.append(doc)
-                ids.append(np.frombuffer(white_space_ids(tokenizer, text) + end, np.uint32))
+                ids.append(np.append(own, end))
                 held += len(ids[-1])
                 if held >= CHUNK_IDS:
                     yield chunk()

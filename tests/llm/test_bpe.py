@@ -1,3 +1,5 @@
+import json
+
 import numpy as np
 import pytest
 from hypothesis import given, settings
@@ -41,6 +43,49 @@ def test_every_token_encodes_to_itself():
     assert all(t.encode_piece(s) == [k] for k, s in enumerate(t.text))
 
 
+LATIN = [chr(c) for c in range(256)]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text(st.sampled_from([*LATIN, *"''''sstmdrevell  aA1!", "’", "İ"]), max_size=30) | st.sampled_from([" ", "<|endoftext|> a", "it's", "'ll'd!'s"]), max_size=6))
+def test_ids_of_several_texts_are_the_librarys(texts):
+    assert [x.tolist() for x in tokens.white_space_ids_of(WORDS, texts)] == [library(WORDS, x) for x in texts]
+
+
+def test_every_pair_of_latin_characters():
+    plain = [c for c in LATIN if not "\x1c" <= c <= "\x1f"]
+    texts = [a + "".join(b + a for b in plain if {a, b} != {"<", "|"}) for a in plain]
+    assert all(tokens._plain(x) is not None for x in texts)
+    assert [x.tolist() for x in tokens.white_space_ids_of(WORDS, texts)] == [library(WORDS, x) for x in texts]
+
+
+def test_a_part_is_encoded_once_for_many_texts(monkeypatch):
+    encode, seen = tokens._part_encoder(WORDS), []
+
+    def counting(parts, starts):
+        seen.extend(parts.tobytes().decode("latin-1").split(" "))
+        return encode(parts, starts)
+
+    monkeypatch.setattr(tokens, "_part_encoder", lambda path: counting)
+    texts = [f"Words, wörds{mark} {word}'s words" for mark in ",.;:!?" for word in ("one", "two", "Words")] * 50
+    assert [x.tolist() for x in tokens.white_space_ids_of(WORDS, texts)] == [library(WORDS, x) for x in texts]
+    assert sorted(seen) == sorted({"words", "wörds", "one", "two", "'s", *",.;:!?"})
+
+
+@pytest.mark.parametrize("change", ["no suffix", "other pattern"])
+def test_files_of_another_kind_give_the_librarys_ids_too(tmp_path, change):
+    spec = tokens.load(WORDS)
+    if change == "no suffix":
+        spec["model"]["end_of_word_suffix"] = None
+    else:
+        spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"] = r"\p{L}+|[^\s\p{L}]+"
+    path = str(tmp_path / "other.json")
+    with open(path, "w", encoding="utf-8") as f:
+        json.dump(spec, f)
+    texts = ["It's a text of 1999, isn't it?", "", "Écoute </w> ça"]
+    assert [x.tolist() for x in tokens.white_space_ids_of(path, texts)] == [library(path, x) for x in texts]
+
+
 def test_remembering_forgets_but_stays_right():
     r = tokens.Remembering(lambda new: {x: x.encode() for x in new}, most=3)
     for _ in range(3):
