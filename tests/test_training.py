@@ -68,6 +68,32 @@ def test_equal_rows_are_learnt_from_once_with_their_number(spark):
         assert a[1:] == b[1:] and all(np.allclose(a[0][c], b[0][c], atol=1e-9) for c in w)
 
 
+def test_copies_are_counted_under_one_key_for_all_batches(spark, monkeypatch):
+    """What is moved is a row for each different row, not for each and batch; with very many batches the counts are the same."""
+    df = spark.range(4000).selectExpr("cast(id % 50 AS double) AS _x0", "0.0D AS y", "cast(id % 7 - 1 AS int) AS _batch")
+    few = training.counted(df, ["_x0"], 6)
+    plan = few._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(_x0" in plan and "_batch" not in plan.split("hashpartitioning(")[1].split(")")[0]
+    monkeypatch.setattr(training, "COUNTED", 5)
+    many = training.counted(df, ["_x0"], 6)
+    got = sorted(few.select("_x0", "_batch", "n").collect())
+    assert got == sorted(many.select("_x0", "_batch", "n").collect()) and len(got) == 350 and sum(r.n for r in got) == 4000
+
+
+def test_scaler_takes_all_quantiles_of_a_column_at_once(spark, monkeypatch):
+    from flowlark.operators import scaling
+
+    asked = []
+    monkeypatch.setattr(scaling, "exact_quantiles", lambda df, columns, shares, f=scaling.exact_quantiles: asked.append(shares) or f(df, columns, shares))
+    x = np.random.default_rng(5).lognormal(size=3001)
+    df = spark.createDataFrame([(float(v), None) for v in x] + [(None, None)] * 40, "a double, b double")
+    s = scaling.fit_robust_scaler(df, ["a", "b"]).stats
+    low, high = np.quantile(x, [scaling.LOW, scaling.HIGH])
+    full = np.append(np.clip(x, low, high), [np.median(np.clip(x, low, high))] * 40)
+    assert len(asked) == 1 and np.allclose([s["a"][k] for k in ("low", "high", "median", "mean", "std")], [low, high, np.median(np.clip(x, low, high)), full.mean(), full.std()])
+    assert s["b"] == {"low": 0.0, "high": 0.0, "median": 0.0, "mean": 0.0, "std": 1.0}
+
+
 def test_training_stops_and_keeps_the_best(spark):
     df, names = frame(spark, np.random.default_rng(2).normal(size=(200, 2)))
     rows = training.dealt(df, names, "row_id")
