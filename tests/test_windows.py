@@ -192,6 +192,41 @@ def test_only_what_is_asked_for_is_worked_out(spark):
     assert "_di" in below and "packets" not in below and "row_id" not in below
 
 
+def test_wide_recipes_take_one_pass_whatever_their_features(spark, monkeypatch):
+    """Parts of many features come from one pass, not from a window each. Batches cut groups anywhere; fractions are added as
+    windows add them, and an infinite number stays in its group."""
+    few = [(1000 + r[0], r[1], r[2] and f"few{r[0] % 9}", *r[3:]) for r in flows(60, 22)]
+    df = spark.createDataFrame(flows(240, 21) + few, SCHEMA).withColumns(
+        {"total_fwd_packets": F.col("total_fwd_packets") * 0.1, "total_length_of_fwd_packets": F.when(F.col("row_id") % 100 == 3, math.inf).otherwise(F.col("total_length_of_fwd_packets") / 3)}
+    )
+    monkeypatch.setattr(windows.frames, "AT_ONCE", 16)
+    had = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        cfg, got = {**ALL, "window_sizes": [7], "time_window_seconds": [9]}, {}
+        for wide in (0, 1 << 30):
+            monkeypatch.setattr(windows, "WIDE", wide)
+            made = add_window_features(df, cfg, "double")
+            plan = made._jdf.queryExecution().optimizedPlan().toString()
+            got[wide] = ({r.row_id: r.asDict() for r in made.collect()}, len(re.findall(r"\bWindow \[", plan)))
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", had)
+    (one, passes), (other, many) = got.values()
+    assert passes <= 2 < many and one.keys() == other.keys() and len(one) == 300
+    same = lambda a, b: a == b or math.isnan(a) and math.isnan(b) or math.isclose(a, b, abs_tol=1e-9)
+    for i in one:
+        for n in feature_names(cfg):
+            assert same(one[i][n], other[i][n]), (i, n, one[i][n], other[i][n])
+    assert any(math.isnan(r["win_bytes_sum_7"]) for r in one.values()) and any(math.isfinite(r["win_bytes_sum_7"]) and r["win_bytes_sum_7"] > 0 for r in one.values())
+
+
+def test_the_shipped_recipe_goes_through_arrays(spark):
+    from flowlark.plans.registry import QUERIES
+
+    plan = QUERIES["window_shipped_recipe"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and len(re.findall(r"\bWindow \[", plan)) <= 2
+
+
 def test_worked_example(spark):
     at = lambda s: START + dt.timedelta(seconds=s)
     rows = [
