@@ -94,6 +94,21 @@ def test_scaler_takes_all_quantiles_of_a_column_at_once(spark, monkeypatch):
     assert s["b"] == {"low": 0.0, "high": 0.0, "median": 0.0, "mean": 0.0, "std": 1.0}
 
 
+def test_few_brackets_of_quantiles_are_compared_without_a_join(spark, monkeypatch):
+    """What lies in a few brackets is found by literals, in many by a join: the same exact quantiles."""
+    from flowlark.operators import metrics
+
+    r = np.random.default_rng(6)
+    x = np.stack([r.lognormal(size=2500), np.round(r.normal(size=2500), 1)], axis=1)
+    df = spark.createDataFrame([tuple(map(float, v)) for v in x] + [(None, None)] * 9, "a double, b double")
+    shares = [0.001, 0.5, 0.999]
+    joined, want = [], np.quantile(x, shares, axis=0).T
+    monkeypatch.setattr(type(df), "unpivot", lambda self, *a, f=type(df).unpivot: joined.append(1) or f(self, *a))
+    for literals, joins in ((metrics.LITERALS, 0), (0, 1)):
+        monkeypatch.setattr(metrics, "LITERALS", literals)
+        assert np.allclose(metrics.exact_quantiles(df, ["a", "b"], shares), want) and len(joined) == joins
+
+
 def test_training_stops_and_keeps_the_best(spark):
     df, names = frame(spark, np.random.default_rng(2).normal(size=(200, 2)))
     rows = training.dealt(df, names, "row_id")
